@@ -1 +1,4 @@
 """Registered queries, each with the SQL that states the same result."""
+
+from . import basic  # noqa: F401
+from .registry import QUERIES, SQL, forget  # noqa: F401

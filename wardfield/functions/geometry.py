@@ -108,12 +108,23 @@ def point_to_arc(p: Column, a: Column, b: Column) -> Column:
     return F.when(inside, perp).otherwise(F.least(angle(p, a), angle(p, b)))
 
 
+def _plus(a: Column, b: Column) -> Column:
+    return F.struct(*[(a[c] + b[c]).alias(c) for c in ("x", "y", "z")])
+
+
 def arcs_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """True where the arcs a-b and c-d properly cross (both shorter than half a turn)."""
+    """True where the arcs a-b and c-d properly cross (both shorter than half a turn).
+
+    Arcs on one great circle give side products that are only rounding noise, so the
+    arcs must also be near enough for a common point: their middles no further apart
+    than their two half lengths.
+    """
     n, m = cross(a, b), cross(c, d)
     sc, sd = dot(n, c), dot(n, d)
     sa, sb = dot(m, a), dot(m, b)
-    return (sc * sd < 0) & (sa * sb < 0) & (sc * sb > 0)
+    reach = (angle(a, b) + angle(c, d)) / 2 + F.lit(1e-9)
+    return ((sc * sd < 0) & (sa * sb < 0) & (sc * sb > 0)
+            & (angle(_plus(a, b), _plus(c, d)) <= reach))
 
 
 def arc_distance(a: Column, b: Column, c: Column, d: Column) -> Column:

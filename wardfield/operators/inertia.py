@@ -61,9 +61,14 @@ def weighted_inertia(q: DataFrame) -> DataFrame:
                                         F.col("t0") + F.col("t1")))
 
 
+# Weights that give the same partition must tie, though their sums were added in
+# different orders; values are compared to this many decimals.
+TIE_DIGITS = 12
+
+
 def alpha_star_balance(q: DataFrame) -> DataFrame:
     """Per K the smallest weight at which the two normalised inertias are closest."""
-    gap = F.abs(F.col("q0norm") - F.col("q1norm"))
+    gap = F.round(F.abs(F.col("q0norm") - F.col("q1norm")), TIE_DIGITS)
     return q.where(gap.isNotNull()).groupBy("scenario", "k").agg(
         F.min(F.struct(gap.alias("gap"), "alpha_step"))["alpha_step"].alias("alpha_step"))
 
@@ -71,7 +76,7 @@ def alpha_star_balance(q: DataFrame) -> DataFrame:
 def alpha_star_max(q: DataFrame) -> DataFrame:
     """Per K the smallest weight with the largest weighted explained inertia."""
     return q.where(F.col("tot").isNotNull()).groupBy("scenario", "k").agg(
-        (-F.max(F.struct("tot", (-F.col("alpha_step")).alias("m")))["m"]).alias("alpha_step"))
+        (-F.max(F.struct(F.round("tot", TIE_DIGITS).alias("tot"), (-F.col("alpha_step")).alias("m")))["m"]).alias("alpha_step"))
 
 
 def alpha_stars(q: DataFrame) -> DataFrame:
