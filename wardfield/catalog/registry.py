@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
 
 
 class Workspace:

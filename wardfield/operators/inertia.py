@@ -66,17 +66,25 @@ def weighted_inertia(q: DataFrame) -> DataFrame:
 TIE_DIGITS = 12
 
 
+def argmin_alpha(q: DataFrame, value) -> DataFrame:
+    """Per scenario and K the weight of the smallest value; ties go to the smallest weight."""
+    goal = F.round(value, TIE_DIGITS)
+    return q.where(goal.isNotNull()).groupBy("scenario", "k").agg(
+        F.min(F.struct(goal.alias("goal"), "alpha_step"))["alpha_step"].alias("alpha_step"))
+
+
+def argmax_alpha(q: DataFrame, value) -> DataFrame:
+    return argmin_alpha(q, -value)
+
+
 def alpha_star_balance(q: DataFrame) -> DataFrame:
-    """Per K the smallest weight at which the two normalised inertias are closest."""
-    gap = F.round(F.abs(F.col("q0norm") - F.col("q1norm")), TIE_DIGITS)
-    return q.where(gap.isNotNull()).groupBy("scenario", "k").agg(
-        F.min(F.struct(gap.alias("gap"), "alpha_step"))["alpha_step"].alias("alpha_step"))
+    """Per K the weight at which the two normalised inertias are closest."""
+    return argmin_alpha(q, F.abs(F.col("q0norm") - F.col("q1norm")))
 
 
 def alpha_star_max(q: DataFrame) -> DataFrame:
-    """Per K the smallest weight with the largest weighted explained inertia."""
-    return q.where(F.col("tot").isNotNull()).groupBy("scenario", "k").agg(
-        (-F.max(F.struct(F.round("tot", TIE_DIGITS).alias("tot"), (-F.col("alpha_step")).alias("m")))["m"]).alias("alpha_step"))
+    """Per K the weight with the largest weighted explained inertia."""
+    return argmax_alpha(q, F.col("tot"))
 
 
 def alpha_stars(q: DataFrame) -> DataFrame:
@@ -87,14 +95,29 @@ def alpha_stars(q: DataFrame) -> DataFrame:
 
 
 def distinct_alphas(stars: DataFrame) -> DataFrame:
-    """Sorted distinct weights chosen by either rule."""
-    return stars.select("scenario", "alpha_step").distinct().orderBy("scenario", "alpha_step")
+    """Distinct weights chosen by either rule."""
+    return stars.select("scenario", "alpha_step").distinct()
+
+
+def sort_alphas(stars: DataFrame) -> DataFrame:
+    """Distinct chosen weights, ascending, with their position (at most two per K)."""
+    position = F.row_number().over(Window.partitionBy("scenario").orderBy("alpha_step"))
+    return distinct_alphas(stars).withColumn("position", position).orderBy("scenario", "alpha_step")
+
+
+def distinct_combos(stars: DataFrame, ks: list[int]) -> DataFrame:
+    """Distinct (K, weight) for the chosen numbers of clusters."""
+    return stars.where(F.col("k").isin(ks)).select("scenario", "k", "alpha_step").distinct()
+
+
+def lookup_alpha(q: DataFrame, stars: DataFrame) -> DataFrame:
+    """The rows of the sweep at the chosen weights; weights are integers, so this is an equi-join."""
+    return stars.join(q, ["scenario", "k", "alpha_step"])
 
 
 def inertia_at_alpha_star(q: DataFrame, stars: DataFrame) -> DataFrame:
     """q0, q1 and their weighted total at the chosen weights; nothing is explained at K = 1."""
-    chosen = stars.join(q, ["scenario", "k", "alpha_step"]).select(
-        "scenario", "criterion", "k", "alpha_step", "q0", "q1", "tot")
+    chosen = lookup_alpha(q, stars).select("scenario", "criterion", "k", "alpha_step", "q0", "q1", "tot")
     one = stars.select("scenario", "criterion").distinct().select(
         "scenario", "criterion", F.lit(1).alias("k"), F.lit(None).cast("int").alias("alpha_step"),
         *[F.lit(0.0).alias(c) for c in ("q0", "q1", "tot")])

@@ -80,10 +80,11 @@ def global_max(pairs: DataFrame, column: str) -> DataFrame:
 
 
 def cluster_profile(units: DataFrame, labels: DataFrame, value: str, keys: list[str],
-                    on: str = "unit") -> DataFrame:
+                    on: list[str] | None = None) -> DataFrame:
     """Mean, sd, skewness and raw kurtosis of ``value`` per cluster, for all partitions at once."""
+    on = ["unit"] if on is None else on
     v = no_nan(F.col(value))
-    return (labels.join(units.select(on, value), on).groupBy(*keys, "cluster")
+    return (labels.join(units.select(*on, value), on).groupBy(*keys, "cluster")
             .agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"),
                  F.skewness(v).alias("skew"), (F.kurtosis(v) + 3).alias("kurt")))
 

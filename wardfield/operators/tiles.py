@@ -269,10 +269,11 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     return result
 
 
-def vector_inertia(units: DataFrame, x: str = "x") -> DataFrame:
+def vector_inertia(units: DataFrame, x: str = "x", by: list[str] | None = None) -> DataFrame:
     """Total inertia with weights 1/n from column variances: linear, no pairs."""
-    spread = units.select(F.posexplode(x).alias("pos", "v")).groupBy("pos").agg(F.var_pop("v").alias("s"))
-    return spread.agg(F.sum("s").alias("inertia"))
+    by = by or []
+    spread = units.select(*by, F.posexplode(x).alias("pos", "v")).groupBy(*by, "pos").agg(F.var_pop("v").alias("s"))
+    return spread.groupBy(*by).agg(F.sum("s").alias("inertia"))
 
 
 def _nearest(clusters: DataFrame, per_tree: int, split: int, scale: tuple[float, float],

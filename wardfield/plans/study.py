@@ -125,14 +125,17 @@ class Study:
         """The five indices at weight 0, one row per index and K."""
         return self.index_long.where("alpha_step = 0").select("scenario", "k", "index", "value")
 
-    def gain_loss(self, ks: list[int]) -> DataFrame:
-        """Percent change of each index against weight 0, split by sign."""
+    def gain_loss(self, ks: dict[str, list[int]]) -> DataFrame:
+        """Percent change of each index against weight 0 at each scenario's K, split by sign."""
         chosen = self.index_by_criterion.select("scenario", "k", "index", "criterion",
                                                 F.col("value").alias("index_val"))
         base = self.index_baseline().withColumnRenamed("value", "index_val0")
         joined = join_baseline(chosen, base)
         change = pct_change(F.col("index_val"), F.col("index_val0"))
-        return (joined.where(F.col("k").isin(ks)).withColumn("diff_index0", change)
+        wanted = F.lit(False)
+        for scenario, values in ks.items():
+            wanted = wanted | ((F.col("scenario") == scenario) & F.col("k").isin(values))
+        return (joined.where(wanted).withColumn("diff_index0", change)
                 .select("scenario", "index", "k", "criterion", "diff_index0",
                         sign_part(F.col("diff_index0")).alias("part")))
 
@@ -201,7 +204,8 @@ def named_combos(labels: DataFrame, style: str = "cell") -> DataFrame:
 
 def profiles(units: DataFrame, labels: DataFrame, value: str) -> DataFrame:
     """Moments of ``value`` per cluster; ``sheet`` names the partition's own table."""
-    out = stats.cluster_profile(units, labels, value, ["scenario", "k", "alpha_step"])
+    on = ["scenario", "unit"] if "scenario" in units.columns else ["unit"]
+    out = stats.cluster_profile(units, labels, value, ["scenario", "k", "alpha_step"], on)
     return out.withColumn("sheet", combo_column(F.col("k"), F.col("alpha_step")))
 
 
