@@ -17,10 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_xyz
-from ..state import BLOCK_ROWS, maybe_broadcast, new_folder, ship_package, written, written_counted
+from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written
 from .indices import c_index_rows, dunn, mcclain_rao, silhouette_from_sums
 from .ranks import BINS
-from .ward import GROUP, Tree
+from .ward import GROUP, Tree, all_merges
 
 
 def block_count(units: int, block_rows: int = BLOCK_ROWS) -> int:
@@ -306,6 +306,36 @@ def _nearest(clusters: DataFrame, per_tree: int, split: int, scale: tuple[float,
     return near.groupBy("alpha_step", "node").agg(F.min(F.struct("ward", "nbr")).alias("best"))
 
 
+def _merged_vectors(clusters: DataFrame, best: DataFrame, split: int, scale: tuple[float, float],
+                    step: int) -> DataFrame:
+    """The reciprocal nearest neighbours as merges, with the weight and vector sum they form."""
+    pair = best.select("alpha_step", F.least("node", "best.nbr").alias("left"),
+                       F.greatest("node", "best.nbr").alias("right"), "best.ward")
+    met = pair.groupBy("alpha_step", "left", "right").agg(
+        F.count(F.lit(1)).alias("votes"), F.max("ward").alias("ward")).where("votes = 2").drop("votes")
+
+    def end(name: str) -> DataFrame:
+        return clusters.select("scenario", "alpha_step", F.col("unit").alias(name), F.col("w").alias(f"w_{name}"),
+                               F.col("z").alias(f"z_{name}"), F.col("h").alias(f"h_{name}"))
+
+    both = met.join(end("left"), ["alpha_step", "left"]).join(
+        end("right").drop("scenario"), ["alpha_step", "right"])
+    gap = F.zip_with("z_left", "z_right", lambda a, b: F.pow(
+        a / F.col("w_left") - b / F.col("w_right"), F.lit(2.0)))
+    half = F.col("w_left") * F.col("w_right") / (F.col("w_left") + F.col("w_right"))
+
+    def growth(part, top):
+        return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) * half / F.lit(float(top) ** 2)
+
+    return both.select(
+        *GROUP, F.lit(step).alias("round"), "left", "right",
+        F.greatest("ward", "h_left", "h_right").alias("height"),
+        growth(F.slice(gap, 1, split), scale[0]).alias("dw0"),
+        growth(F.slice(gap, split + 1, 3), scale[1]).alias("dw1"),
+        (F.col("w_left") + F.col("w_right")).alias("w"),
+        F.zip_with("z_left", "z_right", lambda a, b: a + b).alias("z"))
+
+
 def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[float, float] | None = None,
                       scenario: str = "all", block_rows: int = BLOCK_ROWS) -> Tree:
     """Exact Ward trees (squared mix) for units(unit, x, g) with linear state.
@@ -322,52 +352,26 @@ def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[flo
     if scale is None:
         top0, top1 = largest_distances(units, n, True, block_rows)
         scale = (top0 or 1.0, 2 * np.sin(top1 / 2) or 1.0)
-    folder = new_folder(spark, "ward-vectors")
     steps = F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])).alias("alpha_step")
     weighted = F.transform(F.concat("x", "g"), lambda v: v / F.lit(float(n)))
-    clusters = written(units.select(
+    rounds, done = Rounds(spark, "ward-vectors"), []
+    clusters = rounds.keep(units.select(
         F.lit(scenario).alias("scenario"), steps, F.col("unit").cast("bigint"), F.lit(1.0 / n).alias("w"),
-        weighted.alias("z"), F.lit(0.0).alias("h")), "clusters", f"{folder}/clusters-0")
-    alive, trees, step = n * len(alpha_steps), len(alpha_steps), 0
+        weighted.alias("z"), F.lit(0.0).alias("h")), "clusters-0")
+    alive, trees = n * len(alpha_steps), len(alpha_steps)
     while alive > trees:
-        step += 1
+        step = len(done) + 1
         # Every tree has at most this many clusters left.
         per_tree = min(n, alive - trees + 1)
-        best = _nearest(clusters, per_tree, split, scale, block_rows)
-        pair = best.select("alpha_step", F.least("node", "best.nbr").alias("left"),
-                           F.greatest("node", "best.nbr").alias("right"), "best.ward")
-        met = pair.groupBy("alpha_step", "left", "right").agg(
-            F.count(F.lit(1)).alias("votes"), F.max("ward").alias("ward")).where("votes = 2").drop("votes")
-
-        def end(name: str) -> DataFrame:
-            return clusters.select("scenario", "alpha_step", F.col("unit").alias(name), F.col("w").alias(f"w_{name}"),
-                                   F.col("z").alias(f"z_{name}"), F.col("h").alias(f"h_{name}"))
-
-        both = met.join(end("left"), ["alpha_step", "left"]).join(
-            end("right").drop("scenario"), ["alpha_step", "right"])
-        gap = F.zip_with("z_left", "z_right", lambda a, b: F.pow(
-            a / F.col("w_left") - b / F.col("w_right"), F.lit(2.0)))
-        half = F.col("w_left") * F.col("w_right") / (F.col("w_left") + F.col("w_right"))
-
-        def growth(part, top):
-            return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) * half / F.lit(float(top) ** 2)
-
-        formed = both.select(
-            *GROUP, F.lit(step).alias("round"), "left", "right",
-            F.greatest("ward", "h_left", "h_right").alias("height"),
-            growth(F.slice(gap, 1, split), scale[0]).alias("dw0"),
-            growth(F.slice(gap, split + 1, 3), scale[1]).alias("dw1"),
-            (F.col("w_left") + F.col("w_right")).alias("w"),
-            F.zip_with("z_left", "z_right", lambda a, b: a + b).alias("z"))
-        merges, seen = written_counted(formed, "merges", f"{folder}/merges/step={step}")
-        alive -= seen["rows"]
+        rounds.fit(alive * block_count(per_tree, block_rows))
+        formed = _merged_vectors(clusters, _nearest(clusters, per_tree, split, scale, block_rows), split, scale, step)
+        merges, merged = rounds.keep_counted(formed, f"merges-{step}")
+        done.append(merges.drop("w", "z"))
+        alive -= merged
         if alive > trees:
             touched = merges.select("alpha_step", F.explode(F.array("left", "right")).alias("unit"))
-            kept = clusters.join(maybe_broadcast(touched, 2 * seen["rows"]), ["alpha_step", "unit"], "left_anti")
+            kept = clusters.join(maybe_broadcast(touched, 2 * merged), ["alpha_step", "unit"], "left_anti")
             fresh = merges.select(*GROUP, F.col("left").alias("unit"), "w", "z", F.col("height").alias("h"))
-            clusters = written(kept.select(fresh.columns).unionByName(fresh), "clusters",
-                               f"{folder}/clusters-{step}")
-    schema = "scenario string, alpha_step int, round int, left bigint, right bigint, height double, dw0 double, dw1 double"
-    done = spark.read.schema(schema).parquet(f"{folder}/merges") if step else spark.createDataFrame([], schema)
-    done = done.select(*[c.split()[0] for c in schema.split(", ")])
-    return Tree(units.select(F.lit(scenario).alias("scenario"), "unit"), done, list(alpha_steps), {scenario: n})
+            clusters = rounds.keep(kept.select(fresh.columns).unionByName(fresh), f"clusters-{step}")
+    return Tree(units.select(F.lit(scenario).alias("scenario"), "unit"), all_merges(rounds, done, spark),
+                list(alpha_steps), {scenario: n})

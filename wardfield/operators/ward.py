@@ -15,17 +15,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from ..state import BROADCAST_ROWS, new_folder
+from ..state import BROADCAST_ROWS, Rounds
 from .pairs import with_alphas
 
 GROUP = ["scenario", "alpha_step"]
 
 
-
 @dataclass
 class Tree:
     """``merges``: one row per merge, ``left`` keeps its id and ``right`` disappears.
@@ -58,8 +57,8 @@ def _given(c: str):
     return F.coalesce(F.col(c), missing)
 
 
-STATE = ("scenario string, alpha_step int, a bigint, b bigint, w double, s0 double, s1 double, "
-         "h double, gone bigint, dw0 double, dw1 double, alive boolean")
+MERGES = ("scenario string, alpha_step int, round int, left bigint, right bigint, height double, "
+          "dw0 double, dw1 double")
 
 
 def _start(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str,
@@ -72,12 +71,12 @@ def _start(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str,
         m = {c: 2 * _given(c) for c in ("d0", "d1")}
     else:
         raise ValueError(f"mix must be 'squared' or 'linear', not {mix!r}")
-    zero, none, no_id = F.lit(0.0), F.lit(None).cast("double"), F.lit(None).cast("bigint")
+    zero = F.lit(0.0)
 
     def rows(df: DataFrame, a: str, b: str, own, s0, s1, alive: bool) -> DataFrame:
         return df.select("scenario", F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"),
-                         own.alias("w"), s0.alias("s0"), s1.alias("s1"), zero.alias("h"), no_id.alias("gone"),
-                         none.alias("dw0"), none.alias("dw1"), F.lit(alive).alias("alive"))
+                         own.alias("w"), s0.alias("s0"), s1.alias("s1"), zero.alias("h"),
+                         F.lit(alive).alias("alive"))
 
     clusters = rows(units, "unit", "unit", w, zero, zero, True)
     edges = rows(pairs, "i", "j", zero, m["d0"], m["d1"], False)
@@ -129,40 +128,31 @@ best AS (
   FROM edges GROUP BY scenario, alpha_step),
 merges AS (SELECT scenario, alpha_step, m.l, m.r, m.height, m.dw0, m.dw1 FROM best)"""
 
-# Relabel the vanished id on both ends and add up. Both joins read the same columns
-# of ``merges`` so that its exchange is computed once.
+_MERGES = """
+SELECT scenario, alpha_step, {step} AS round, l AS left, r AS right, height, dw0, dw1 FROM merges"""
+
+# Relabel the vanished id on both ends and add up.
 _RELABEL = """
-moved AS (
-  SELECT {hint_merges} s.scenario, s.alpha_step, s.alive, s.b, s.w, s.s0, s.s1, s.h,
-         coalesce(ma.l, s.a) AS na, coalesce(mb.l, s.b) AS nb,
-         greatest(ma.height, mb.height) AS mh, greatest(ma.dw0, mb.dw0) AS m0, greatest(ma.dw1, mb.dw1) AS m1
+WITH moved AS (
+  SELECT {hint_merges} s.scenario, s.alpha_step, s.alive, s.w, s.s0, s.s1, s.h, mb.height AS mh,
+         coalesce(ma.left, s.a) AS na, coalesce(mb.left, s.b) AS nb
   FROM {state} s
-  LEFT JOIN merges ma ON ma.scenario = s.scenario AND ma.alpha_step = s.alpha_step AND ma.r = s.a
-  LEFT JOIN merges mb ON mb.scenario = s.scenario AND mb.alpha_step = s.alpha_step AND mb.r = s.b),
-marked AS (SELECT *, NOT alive AND na = nb AS formed FROM moved)
-SELECT scenario, alpha_step, least(na, nb) AS a, greatest(na, nb) AS b,
-       sum(w) AS w, sum(s0) AS s0, sum(s1) AS s1, max(CASE WHEN formed THEN mh ELSE h END) AS h,
-       max(CASE WHEN formed THEN b END) AS gone, max(CASE WHEN formed THEN m0 END) AS dw0,
-       max(CASE WHEN formed THEN m1 END) AS dw1, least(na, nb) = greatest(na, nb) AS alive
-FROM marked GROUP BY scenario, alpha_step, least(na, nb), greatest(na, nb)"""
+  LEFT JOIN {merges} ma ON ma.scenario = s.scenario AND ma.alpha_step = s.alpha_step AND ma.right = s.a
+  LEFT JOIN {merges} mb ON mb.scenario = s.scenario AND mb.alpha_step = s.alpha_step AND mb.right = s.b)
+SELECT scenario, alpha_step, least(na, nb) AS a, greatest(na, nb) AS b, sum(w) AS w, sum(s0) AS s0, sum(s1) AS s1,
+       max(CASE WHEN NOT alive AND na = nb THEN mh ELSE h END) AS h, least(na, nb) = greatest(na, nb) AS alive
+FROM moved GROUP BY scenario, alpha_step, least(na, nb), greatest(na, nb)"""
 
 
-def _round_sql(order: str, broadcast: bool) -> str:
+def _linkage_sql(order: str, clusters: int, step: int) -> str:
+    # Cluster and merge rows are under 100 bytes, and their number is known.
+    hint = "/*+ BROADCAST(x, y) */" if clusters <= BROADCAST_ROWS else ""
     pick = {"batched": _RECIPROCAL, "sequential": _SINGLE}[order]
-    hints = {"{hint_clusters}": "/*+ BROADCAST(x, y) */" if broadcast else "",
-             "{hint_merges}": "/*+ BROADCAST(ma, mb) */" if broadcast else ""}
-    text = "WITH " + ",".join([_EDGES, pick, _RELABEL])
-    for name, hint in hints.items():
-        text = text.replace(name, hint)
-    return text
+    return f"WITH {_EDGES},{pick} {_MERGES}".replace("{hint_clusters}", hint).replace("{step}", str(step))
 
 
-def _write_state(state: DataFrame, path: str) -> int:
-    """Write the state, cluster rows apart from edge rows; returns the cluster count."""
-    seen = Observation()
-    (state.observe(seen, F.count_if(F.col("alive")).alias("clusters"))
-     .write.partitionBy("alive").parquet(path))
-    return seen.get["clusters"]
+def _relabel_sql(merges: int) -> str:
+    return _RELABEL.replace("{hint_merges}", "/*+ BROADCAST(ma, mb) */" if merges <= BROADCAST_ROWS else "")
 
 
 def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str = "squared",
@@ -175,32 +165,37 @@ def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: s
     reciprocal neighbours per round; ``'sequential'`` one pair per tree and round (needed
     only to reproduce a fixed choice among ties).
 
-    Each round is one job that reads the last state and writes the next one to shared
-    storage; nothing but the cluster count comes back to the driver.
+    A round keeps its merges and then the next state in shared storage; nothing but row
+    counts comes back to the driver.
     """
     spark = units.sparkSession
     if not isinstance(units.schema["unit"].dataType, T.IntegralType):
         raise TypeError("units must be integers; number them with row_index")
     sizes = unit_counts(units)
-    folder = new_folder(spark, f"ward-{mix}")
     trees = len(sizes) * len(alpha_steps)
-    clusters = _write_state(_start(units, pairs, alpha_steps, mix, sizes), f"{folder}/round=0")
-    step = 0
+    clusters = sum(sizes.values()) * len(alpha_steps)
+    rows = sum(n * (n + 1) // 2 for n in sizes.values()) * len(alpha_steps)
+    rounds, done = Rounds(spark, f"ward-{mix}"), []
+    state = rounds.keep(_start(units, pairs, alpha_steps, mix, sizes), "state-0")
     while clusters > trees:
-        state = spark.read.schema(STATE).parquet(f"{folder}/round={step}")
-        step += 1
-        # Cluster and merge rows are under 100 bytes, and their number is known here.
-        sql = _round_sql(order, clusters <= BROADCAST_ROWS)
-        left = _write_state(spark.sql(sql, state=state), f"{folder}/round={step}")
-        if left == clusters:
+        rounds.fit(rows)
+        step = len(done) + 1
+        linked = rounds.session.sql(_linkage_sql(order, clusters, step), state=state)
+        merges, merged = rounds.keep_counted(linked, f"merges-{step}")
+        if merged == 0:
             raise ValueError("the pair table does not connect all units")
-        clusters = left
-    return Tree(units.select("scenario", "unit"), read_merges(spark, folder), list(alpha_steps), sizes)
-
-
-def read_merges(spark, folder: str) -> DataFrame:
-    """The merges of all rounds, from the cluster rows of each state."""
-    rows = spark.read.schema(f"{STATE}, round int").parquet(folder)
-    return rows.where(F.col("alive") & F.col("gone").isNotNull()).select(
-        *GROUP, "round", F.col("a").alias("left"), F.col("gone").alias("right"),
-        F.col("h").alias("height"), "dw0", "dw1")
+        done.append(merges)
+        # Pairs shrink with the square of the clusters; an estimate is enough to size the next step.
+        rows = int(rows * ((clusters - merged) / clusters) ** 2) + 1
+        clusters -= merged
+        if clusters > trees:
+            moved = rounds.session.sql(_relabel_sql(merged), state=state, merges=merges)
+            state = rounds.keep(moved, f"state-{step}")
+    return Tree(units.select("scenario", "unit"), all_merges(rounds, done, spark), list(alpha_steps), sizes)
+
+
+def all_merges(rounds: Rounds, done: list[DataFrame], spark) -> DataFrame:
+    """The merges of all rounds; a tree of one unit has none."""
+    if not done:
+        return spark.createDataFrame([], MERGES)
+    return rounds.give(done, spark)

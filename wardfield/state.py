@@ -84,3 +84,46 @@ def written_counted(df: DataFrame, label: str, path: str | None = None,
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a side of counted size; beyond the limit leave it to a shuffle join."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+# Rows per task of an iteration; its shuffle partitions follow from the table's size.
+TASK_ROWS = 500_000
+
+
+class Rounds:
+    """A session for the steps of an iteration, sized to a table that shrinks as it runs.
+
+    The caller's session keeps its settings. Small steps use few tasks and skip
+    re-planning between stages, which would outlast the work itself; both come back
+    with size. Every kept table is in shared storage, so a lost executor re-reads it.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.folder = new_folder(spark, label)
+        self.session = spark.newSession()
+
+    def fit(self, rows: int) -> None:
+        self.session.conf.set("spark.sql.shuffle.partitions", str(max(1, -(-rows // TASK_ROWS))))
+        self.session.conf.set("spark.sql.adaptive.enabled", str(rows > 4 * TASK_ROWS).lower())
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table, of this session or the caller's, and open it in this one."""
+        path = f"{self.folder}/{name}"
+        df.write.parquet(path)
+        return self.session.read.schema(df.schema).parquet(path)
+
+    def keep_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Like :meth:`keep`, with the row count gathered during the write."""
+        seen = Observation()
+        table = self.keep(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return table, seen.get["rows"]
+
+    def give(self, tables: list[DataFrame], spark: SparkSession) -> DataFrame:
+        """The tables of all steps as one table of the caller's session."""
+        path = f"{self.folder}/result"
+        for start in range(0, len(tables), 64):
+            part = tables[start]
+            for t in tables[start + 1:start + 64]:
+                part = part.unionByName(t)
+            part.write.mode("append").parquet(path)
+        return spark.read.schema(tables[0].schema).parquet(path)
