@@ -27,21 +27,21 @@ def coords(key):
     return [((k * 137.507764) % 360 - 180).alias("lon"), ((k * 77.319) % 140 - 70).alias("lat")]
 
 
-# Per-order sums over its lines; then, weighted by the line count, the order's own columns.
-_LINE_SUMS = {
-    "n": F.count(F.lit(1)),
-    "tax": F.sum("l_tax"),
-    "qty": F.sum("l_quantity"),
-    "ext": F.sum("l_extendedprice"),
-    "disc": F.sum("l_discount"),
-    "net": F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))),
-}
-_ORDER_SUMS = {
-    "price": F.col("o_totalprice") * F.col("n"),
-    "price2": F.col("o_totalprice") * F.col("o_totalprice") * F.col("n"),
-    "urgent": F.when(F.col("o_orderpriority") == "1-URGENT", F.col("n")).otherwise(0),
-}
-_SUMS = list(_LINE_SUMS) + list(_ORDER_SUMS)
+def line_sums() -> dict:
+    """Sums over the lines of an order."""
+    return {"n": F.count(F.lit(1)), "tax": F.sum("l_tax"), "qty": F.sum("l_quantity"),
+            "ext": F.sum("l_extendedprice"), "disc": F.sum("l_discount"),
+            "net": F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))}
+
+
+def order_sums() -> dict:
+    """The order's own columns, weighted by its line count."""
+    return {"price": F.col("o_totalprice") * F.col("n"),
+            "price2": F.col("o_totalprice") * F.col("o_totalprice") * F.col("n"),
+            "urgent": F.when(F.col("o_orderpriority") == "1-URGENT", F.col("n")).otherwise(0)}
+
+
+_SUMS = ["n", "tax", "qty", "ext", "disc", "net", "price", "price2", "urgent"]
 
 
 def _measures(p: str) -> dict:
@@ -57,10 +57,10 @@ def _measures(p: str) -> dict:
 def nation_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Summed columns per nation for both periods: prefixes ``e`` (early) and ``f`` (full)."""
     lines = star(spark, folder, "lineitem").groupBy("l_orderkey").agg(
-        *[e.alias(c) for c, e in _LINE_SUMS.items()])
+        *[e.alias(c) for c, e in line_sums().items()])
     orders = star(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumns(_ORDER_SUMS)
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).withColumns(order_sums())
     early = F.col("o_orderdate") < F.lit(EARLY_END).cast("timestamp")
     per_customer = joined.groupBy("o_custkey").agg(
         *[F.sum(F.when(early, F.col(c))).alias(f"e_{c}") for c in _SUMS],
