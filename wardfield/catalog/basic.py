@@ -209,8 +209,7 @@ def _(ws: Workspace):
 @query("grid_cross", S.query(S.POINTS, S.ALL_ALPHAS, select="""
 SELECT unit, k, alpha_step FROM points, alphas, (SELECT unnest(range(2, 16))::INT AS k)"""))
 def _(ws: Workspace):
-    ks = F.explode(F.array(*[F.lit(k) for k in range(2, study.K_MAX + 1)])).alias("k")
-    return pairs.with_alphas(ws.points.select("unit", ks), study.ALPHA_STEPS)
+    return pairs.grid_cross(ws.points.select("unit"), list(range(2, study.K_MAX + 1)), study.ALPHA_STEPS)
 
 
 @query("row_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS idx FROM customer")

@@ -70,21 +70,25 @@ def angle(a: Column, b: Column) -> Column:
     return F.atan2(norm(cross(a, b)), dot(a, b))
 
 
-def spherical_centroid(ring: Column) -> Column:
-    """Direction of the area centroid on the sphere: half the sum over edges of
-    (edge angle x unit normal), turned to the side the ring lies on."""
+def ring_vectors(ring: Column) -> Column:
+    """The ring's vertices as unit vectors."""
+    return F.transform(ring, lambda p: to_xyz(p["lon"], p["lat"]))
+
+
+def sphere_moment(vectors: Column) -> Column:
+    """Area moment of a ring on the sphere: the sum over edges of (edge angle x unit normal)."""
     zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    normals = F.transform(edges(vectors), lambda e: F.struct(
+        cross(e["a"], e["b"]).alias("n"), dot(e["a"], e["b"]).alias("d")))
+    scaled = F.transform(normals, lambda e: F.struct(e["n"].alias("n"), F.coalesce(
+        F.try_divide(F.atan2(norm(e["n"]), e["d"]), norm(e["n"])), F.lit(0.0)).alias("s")))
+    return F.aggregate(scaled, zero, lambda acc, e: F.struct(
+        *[(acc[c] + e["n"][c] * e["s"]).alias(c) for c in ("x", "y", "z")]))
 
-    def step(acc: Column, e: Column) -> Column:
-        a = to_xyz(e["a"]["lon"], e["a"]["lat"])
-        b = to_xyz(e["b"]["lon"], e["b"]["lat"])
-        n = cross(a, b)
-        scale = F.coalesce(F.try_divide(angle(a, b), norm(n)), F.lit(0.0))
-        return F.struct(*[(acc[c] + n[c] * scale).alias(c) for c in ("x", "y", "z")])
 
-    total = F.aggregate(edges(ring), zero, step)
-    first = to_xyz(ring[0]["lon"], ring[0]["lat"])
-    side = F.when(dot(total, first) < 0, -1.0).otherwise(1.0)
+def moment_direction(total: Column, inner: Column) -> Column:
+    """Direction of a moment, turned to the side on which the ring's vertex ``inner`` lies."""
+    side = F.when(dot(total, inner) < 0, -1.0).otherwise(1.0)
     return F.struct(
         F.degrees(F.atan2(total["y"] * side, total["x"] * side)).alias("lon"),
         F.degrees(F.atan2(total["z"] * side,

@@ -23,12 +23,6 @@ def top_merges(tree: Tree, count: int) -> DataFrame:
     return tree.merges.withColumn("top", F.row_number().over(last_first)).where(F.col("top") <= count)
 
 
-def ranked_merges(tree: Tree) -> DataFrame:
-    """All merges with their position 1..n-1 in the tree (a report; cutting does not need it)."""
-    order = Window.partitionBy(*GROUP).orderBy("height", "round", "left")
-    return tree.merges.withColumn("rank", F.row_number().over(order))
-
-
 def _unit_rows(tree: Tree) -> DataFrame:
     steps = F.explode(F.array(*[F.lit(int(a)) for a in tree.alpha_steps])).alias("alpha_step")
     return tree.units.select("scenario", steps, "unit")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import euclidean
 from ..functions.columns import no_nan, safe_div
 from ..functions.geometry import haversine_m
-from ..state import BLOCK_ROWS
+from ..state import BLOCK_ROWS, maybe_broadcast, written_counted
 
 # Largest unit set for which a pair table (a dissimilarity matrix) may be written.
 PAIR_UNITS = 50_000
@@ -61,15 +61,18 @@ def geo_distance(pairs: DataFrame) -> DataFrame:
 
 
 def range_normalise(pairs: DataFrame, columns: tuple[str, ...] = ("d0", "d1")) -> DataFrame:
-    """Divide each distance by its largest value in the scenario (one row per scenario)."""
-    tops = pairs.groupBy("scenario").agg(*[F.max(no_nan(F.col(c))).alias(f"max_{c}") for c in columns])
-    scaled = {c: safe_div(F.col(c), F.col(f"max_{c}")) for c in columns}
-    return pairs.join(tops, "scenario").withColumns(scaled).drop(*[f"max_{c}" for c in columns])
+    """Divide each distance by its largest value in the scenario.
 
+    All pairs of a scenario share one key, so nothing is joined: the maxima, one row
+    per scenario, become literals of a projection.
+    """
+    tops = pairs.groupBy("scenario").agg(*[F.max(no_nan(F.col(c))).alias(c) for c in columns]).collect()
+
+    def top(c: str):
+        cells = [F.lit(v) for r in tops for v in (r["scenario"], r[c])]
+        return F.create_map(*cells)[F.col("scenario")] if cells else F.lit(None).cast("double")
 
-def alpha_grid(spark, steps: int = 100) -> DataFrame:
-    """0..steps as integers; the weight is alpha_step / steps."""
-    return spark.range(1).select(F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("alpha_step"))
+    return pairs.withColumns({c: safe_div(F.col(c), top(c)) for c in columns})
 
 
 def with_alphas(df: DataFrame, alpha_steps: list[int]) -> DataFrame:
@@ -77,10 +80,9 @@ def with_alphas(df: DataFrame, alpha_steps: list[int]) -> DataFrame:
     return df.withColumn("alpha_step", F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])))
 
 
-def grid_cross(spark, ks: list[int], alpha_steps: list[int]) -> DataFrame:
-    """K x weight grid, made from literals."""
-    k = F.explode(F.array(*[F.lit(int(v)) for v in ks])).alias("k")
-    return with_alphas(spark.range(1).select(k), alpha_steps).select("k", "alpha_step")
+def grid_cross(df: DataFrame, ks: list[int], alpha_steps: list[int]) -> DataFrame:
+    """Each row once per number of clusters and weight, made in place: no join."""
+    return with_alphas(df.withColumn("k", F.explode(F.array(*[F.lit(int(v)) for v in ks]))), alpha_steps)
 
 
 def weight():
@@ -99,8 +101,9 @@ def blend_squared(pairs: DataFrame) -> DataFrame:
 
 def blend_rescale(pairs: DataFrame) -> DataFrame:
     """Divide the linear blend by its largest value per scenario and weight."""
-    tops = pairs.groupBy("scenario", "alpha_step").agg(F.max("d").alias("max_d"))
-    return (pairs.join(tops, ["scenario", "alpha_step"])
+    group = ["scenario", "alpha_step"]
+    tops, seen = written_counted(pairs.groupBy(*group).agg(F.max("d").alias("max_d")), "blend-maxima")
+    return (pairs.join(maybe_broadcast(tops, seen["rows"]), group)
             .withColumn("d", safe_div(F.col("d"), F.col("max_d"))).drop("max_d"))
 
 

@@ -10,6 +10,9 @@ from pyspark.sql import types as T
 
 from ..state import written
 
+# Polygons are heavy rows: only this many are broadcast.
+BROADCAST_SHAPES = 5_000
+
 
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Select and rename: new name -> source column."""
@@ -50,8 +53,17 @@ def filter_points(df: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def join_geometry(boundaries: DataFrame, panel: DataFrame) -> DataFrame:
-    """Every boundary with its panel rows; boundaries without rows stay with NULLs."""
-    return boundaries.join(panel, "code", "left")
+    """Every boundary with its panel rows; boundaries without rows stay with NULLs.
+
+    A unit may own a large share of the panel. With a counted, small boundary table the
+    panel is matched where it lies and the boundaries that found nothing are added.
+    """
+    if boundaries.count() > BROADCAST_SHAPES:
+        return boundaries.join(panel, "code", "left")
+    found = panel.join(F.broadcast(boundaries), "code")
+    alone = boundaries.join(panel.select("code").distinct(), "code", "left_anti")
+    return alone.unionByName(found, allowMissingColumns=True).select(
+        *boundaries.columns, *[c for c in panel.columns if c != "code"])
 
 
 def pivot_variables(panel: DataFrame, variables: list[str], value: str,

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import (EARTH_RADIUS_M, angle, arc_distance, edges, planar_centroid,
-                                  point_in_ring, signed_area, spherical_centroid, to_xyz, unwrapped)
+from ..functions.geometry import (EARTH_RADIUS_M, angle, arc_distance, edges, moment_direction, norm,
+                                  planar_centroid, point_in_ring, ring_vectors, signed_area, sphere_moment,
+                                  to_xyz, unwrapped)
+from ..state import written
 from .pairs import unit_pairs
 
 # Consecutive boundary segments that share one bounding cap.
@@ -26,36 +28,48 @@ def largest_part(boundaries: DataFrame, key: str = "code") -> DataFrame:
 
 def centroid(boundaries: DataFrame, key: str = "code", spherical: bool = False) -> DataFrame:
     """Centroid of the largest part, planar in lon/lat or on the sphere."""
-    c = spherical_centroid(F.col("ring")) if spherical else planar_centroid(unwrapped(F.col("ring")))
-    return largest_part(boundaries, key).select(key, c.alias("c")).select(key, "c.lon", "c.lat")
+    rings = largest_part(boundaries, key).select(key, "ring")
+    if not spherical:
+        return rings.select(key, planar_centroid(unwrapped(F.col("ring"))).alias("c")).select(key, "c.lon", "c.lat")
+    moments = rings.withColumn("v", ring_vectors(F.col("ring"))).withColumn("total", sphere_moment(F.col("v")))
+    return moments.select(key, moment_direction(F.col("total"), F.col("v")[0]).alias("c")).select(
+        key, "c.lon", "c.lat")
 
 
-def _chunks(boundaries: DataFrame) -> DataFrame:
-    """Boundary segments in runs of at most CHUNK, each run with a cap that holds it."""
+def _cap(segs: str):
+    """(mid, reach): a cap on the sphere that holds all segments of the array."""
+    def mean(axis: str):
+        return F.aggregate(segs, F.lit(0.0), lambda s, e: s + e["a"][axis] + e["b"][axis])
+
+    return F.struct(*[mean(c).alias(c) for c in "xyz"])
+
+
+def _capped(rows: DataFrame) -> DataFrame:
+    """Adds mid and reach of column ``segs``; a cap wider than a hemisphere reaches everything."""
+    # Materialising the centre first keeps it from being recomputed per vertex.
+    summed = rows.withColumn("sum", _cap("segs"))
+    reach = F.array_max(F.transform("segs", lambda e: F.greatest(angle(F.col("sum"), e["a"]),
+                                                                 angle(F.col("sum"), e["b"]))))
+    return summed.withColumn("reach", reach).withColumnRenamed("sum", "mid").withColumn(
+        "reach", F.when((F.col("reach") < 1.5) & (norm(F.col("mid")) > 1e-9), F.col("reach")).otherwise(3.2))
+
+
+def _segments(boundaries: DataFrame) -> DataFrame:
+    """One row per part with its boundary segments as pairs of unit vectors."""
     def seg(e):
         return F.struct(to_xyz(e["a"]["lon"], e["a"]["lat"]).alias("a"),
                         to_xyz(e["b"]["lon"], e["b"]["lat"]).alias("b"))
 
     segs = F.filter(F.transform(edges(F.col("part.ring")), seg), lambda e: e["a"] != e["b"])
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("segs") - 1) / CHUNK).cast("int")),
-                       lambda at: F.slice("segs", at * CHUNK + 1, F.lit(CHUNK)))
-    rows = (boundaries.select("unit", F.explode("parts").alias("part")).select("unit", segs.alias("segs"))
-            .where(F.size("segs") > 0).select("unit", F.explode(runs).alias("segs")))
+    return (boundaries.select("unit", F.explode("parts").alias("part")).select("unit", segs.alias("segs"))
+            .where(F.size("segs") > 0))
 
-    def mean(axis: str):
-        return F.aggregate("segs", F.lit(0.0), lambda s, e: s + e["a"][axis] + e["b"][axis])
 
-    mid = rows.withColumns({"mx": mean("x"), "my": mean("y"), "mz": mean("z")})
-    size = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz"))
-    first = F.col("segs")[0]["a"]
-    # A run whose vertices cancel out keeps its first vertex as centre.
-    axis = [F.coalesce(F.try_divide(F.col(f"m{c}"), size), first[c]).alias(c) for c in "xyz"]
-    placed = mid.select("unit", "segs", F.struct(*axis).alias("mid"))
-    reach = F.array_max(F.transform("segs", lambda e: F.greatest(angle(F.col("mid"), e["a"]),
-                                                                 angle(F.col("mid"), e["b"]))))
-    # Half a turn bounds any cap wider than a hemisphere.
-    reach = F.when(reach < 1.5, reach).otherwise(3.2)
-    return placed.select("unit", "segs", "mid", reach.alias("reach"))
+def _chunks(parts: DataFrame) -> DataFrame:
+    """Segments in runs of at most CHUNK, each with its cap."""
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("segs") - 1) / CHUNK).cast("int")),
+                       lambda at: F.slice("segs", at * CHUNK + 1, F.lit(CHUNK)))
+    return _capped(parts.select("unit", F.explode(runs).alias("segs")))
 
 
 def _inside(outer: str, inner: str):
@@ -71,15 +85,15 @@ def boundary_distance(boundaries: DataFrame) -> DataFrame:
     are compared by their caps first; only runs that can still beat the best upper
     bound of the pair are measured segment by segment, inside the row.
     """
-    chunks = _chunks(boundaries)
-    ids = boundaries.select("unit", "parts")
-    met = unit_pairs(ids, ["parts"], by=[])
+    parts = written(_segments(boundaries), "segments")
+    chunks = written(_chunks(parts), "segment-runs")
+    met = written(unit_pairs(boundaries.select("unit"), [], by=[]), "boundary-pairs")
 
-    def side(unit: str) -> DataFrame:
-        return chunks.select(F.col("unit").alias(unit), *[F.col(c).alias(f"{c}_{unit}") for c in (
-            "segs", "mid", "reach")])
+    def side(df: DataFrame, unit: str, *columns: str) -> DataFrame:
+        return df.select(F.col("unit").alias(unit), *[F.col(c).alias(f"{c}_{unit}") for c in columns])
 
-    caps = met.select("i", "j").join(side("i"), "i").join(side("j"), "j")
+    run = ("segs", "mid", "reach")
+    caps = met.join(side(chunks, "i", *run), "i").join(side(chunks, "j", *run), "j")
     apart = angle(F.col("mid_i"), F.col("mid_j"))
     bounded = caps.withColumns({
         "least": F.greatest(apart - F.col("reach_i") - F.col("reach_j"), F.lit(0.0)),
@@ -90,6 +104,13 @@ def boundary_distance(boundaries: DataFrame) -> DataFrame:
     nearest = F.array_min(F.transform("segs_i", lambda e: F.array_min(F.transform(
         "segs_j", lambda f: arc_distance(e["a"], e["b"], f["a"], f["b"])))))
     lines = close.select("i", "j", nearest.alias("d")).groupBy("i", "j").agg(F.min("d").alias("d"))
-    nested = met.select("i", "j", (_inside("parts_i", "parts_j") | _inside("parts_j", "parts_i")).alias("nested"))
-    return lines.join(nested, ["i", "j"]).select(
+    # Only units with overlapping caps can nest; just their polygons are looked at.
+    part_caps = _capped(parts).select("unit", "mid", "reach")
+    over = (met.join(side(part_caps, "i", "mid", "reach"), "i").join(side(part_caps, "j", "mid", "reach"), "j")
+            .where(angle(F.col("mid_i"), F.col("mid_j")) <= F.col("reach_i") + F.col("reach_j") + 1e-9)
+            .select("i", "j").distinct())
+    shapes = over.join(side(boundaries, "i", "parts"), "i").join(side(boundaries, "j", "parts"), "j")
+    nested = shapes.where(_inside("parts_i", "parts_j") | _inside("parts_j", "parts_i")).select(
+        "i", "j", F.lit(True).alias("nested"))
+    return lines.join(nested, ["i", "j"], "left").select(
         "i", "j", F.when(F.col("nested"), 0.0).otherwise(F.col("d") * EARTH_RADIUS_M).alias("d1"))

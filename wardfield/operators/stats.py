@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import no_nan, safe_div
+from ..state import maybe_broadcast, written_counted
 from .ranks import quantiles
 
 # Up to this many values an exact percentile may live in one aggregation buffer.
@@ -127,11 +128,13 @@ def melt_matrix(long: DataFrame, value: str = "value") -> DataFrame:
 def zscore_by_group(df: DataFrame, value: str = "value", by: str = "name") -> DataFrame:
     """(value - mean) / sd within each group.
 
-    Group means and deviations come from a partial aggregate and are joined back,
-    so a large group is never gathered in one task as a window would.
+    Group means and deviations come from a partial aggregate and are joined back by
+    a size-checked broadcast, so a large group is never gathered in one task.
     """
-    g = df.groupBy(by).agg(F.avg(value).alias("g_mean"), F.stddev_samp(value).alias("g_sd"))
-    return (df.join(g, by).withColumn("value_std", safe_div(F.col(value) - F.col("g_mean"), F.col("g_sd")))
+    g, seen = written_counted(df.groupBy(by).agg(
+        F.avg(value).alias("g_mean"), F.stddev_samp(value).alias("g_sd")), "group-moments")
+    return (df.join(maybe_broadcast(g, seen["rows"]), by)
+            .withColumn("value_std", safe_div(F.col(value) - F.col("g_mean"), F.col("g_sd")))
             .drop("g_mean", "g_sd"))
 
 
@@ -149,5 +152,5 @@ def number_clusters(labels: DataFrame, keys: list[str], cluster: str = "cid") ->
     """
     ids = labels.select(*keys, cluster).distinct()
     rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(cluster))
-    numbered = ids.withColumn("cluster", rank.cast("int"))
-    return labels.join(numbered, [*keys, cluster]).drop(cluster)
+    numbered, seen = written_counted(ids.withColumn("cluster", rank.cast("int")), "cluster-numbers")
+    return labels.join(maybe_broadcast(numbered, seen["rows"]), [*keys, cluster]).drop(cluster)

@@ -34,7 +34,7 @@ def combo_rows(spark, combos: list[tuple[int, int]] | None = None) -> DataFrame:
 def centroid_pairs(units: DataFrame) -> DataFrame:
     """units(scenario, unit, x, lon, lat) to normalised pairs(scenario, i, j, d0, d1)."""
     met = geo_distance(feature_distance(unit_pairs(units, ["x", "lon", "lat"])))
-    return range_normalise(met.select("scenario", "i", "j", "d0", "d1"))
+    return range_normalise(written(met.select("scenario", "i", "j", "d0", "d1"), "raw-pairs"))
 
 
 def scenario_units(wide: DataFrame, points: DataFrame, scenarios: dict[str, list[str]],
