@@ -131,7 +131,7 @@ def test_vector_tree_equals_pair_tree(spark):
 
 def test_pairs_are_complete_in_any_number_of_blocks(spark, monkeypatch):
     units = spark.range(60).select(F.lit("s").alias("scenario"), F.col("id").alias("unit"))
-    monkeypatch.setattr(pairs, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(pairs, "PAIR_BLOCK", 7)
     got = pairs.unit_pairs(units, []).select("i", "j")
     assert got.count() == got.distinct().count() == 60 * 59 // 2
     assert got.where("i >= j").count() == 0

@@ -15,6 +15,7 @@ from ..state import new_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+MODULES: dict[str, str] = {}
 TARGETS = {"R12": ["R12"], "R34": ["R34"]}
 
 
@@ -22,6 +23,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(workspace)`` under ``name``."""
     def register(fn):
         QUERIES[name] = lambda spark, folder: fn(workspace(spark, folder))
+        MODULES[name] = fn.__module__
         if sql is not None:
             SQL[name] = sql
         return fn

@@ -12,11 +12,10 @@ def euclidean(x: Column, y: Column) -> Column:
     The squared sum over the shared coordinates is scaled up by
     (all coordinates / shared ones); no shared coordinate gives NULL.
     """
-    sq = F.zip_with(x, y, lambda a, b: (a - b) * (a - b))
-    kept = F.filter(sq, lambda v: v.isNotNull() & ~F.isnan(v))
-    total = F.aggregate(kept, F.lit(0.0), lambda acc, v: acc + v)
-    return F.sqrt(F.try_divide(total * F.size(sq), F.size(kept)))
-
-
-def add(x: Column, y: Column) -> Column:
-    return F.zip_with(x, y, lambda a, b: a + b)
+    gaps = F.zip_with(x, y, lambda a, b: a - b)
+    whole = F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, v: acc + v * v))
+    # Any missing coordinate makes ``whole`` NULL or NaN; only then the gaps are sifted.
+    kept = F.filter(gaps, lambda v: v.isNotNull() & ~F.isnan(v))
+    total = F.aggregate(kept, F.lit(0.0), lambda acc, v: acc + v * v)
+    partial = F.sqrt(F.try_divide(total * F.size(gaps), F.size(kept)))
+    return F.coalesce(F.nanvl(whole, F.lit(None).cast("double")), partial)

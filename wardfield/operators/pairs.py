@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.arrays import euclidean
 from ..functions.columns import no_nan, safe_div
 from ..functions.geometry import haversine_m
-from ..state import BLOCK_ROWS, maybe_broadcast, written_counted
+from ..state import maybe_broadcast, written_counted
 
+# Units per block of a pair table: a task holds at most this many against as many.
+PAIR_BLOCK = 256
 # Largest unit set for which a pair table (a dissimilarity matrix) may be written.
 PAIR_UNITS = 50_000
 
@@ -31,7 +33,7 @@ def unit_pairs(units: DataFrame, payload: list[str], by: list[str] | None = None
     if sizes > PAIR_UNITS:
         raise ValueError(f"{sizes} units: a pair table is for at most {PAIR_UNITS}; "
                          "use the tiled operators, which keep linear state")
-    blocks = max(1, -(-sizes // BLOCK_ROWS))
+    blocks = max(1, -(-sizes // PAIR_BLOCK))
     block = F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int")
     base = units.select(*by, "unit", *payload).withColumn("blk", block)
     left = base.withColumn("other", F.explode(F.sequence("blk", F.lit(blocks - 1))))
@@ -40,7 +42,8 @@ def unit_pairs(units: DataFrame, payload: list[str], by: list[str] | None = None
                     *[F.col(c).alias(f"{c}_u") for c in payload])
     b = right.select(*by, F.col("own").alias("p"), F.col("blk").alias("q"), F.col("unit").alias("v"),
                      *[F.col(c).alias(f"{c}_v") for c in payload])
-    met = a.join(b, [*by, "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("u") < F.col("v")))
+    # Shuffled by tile even when small in bytes: the work is the pairs, not the rows read.
+    met = a.join(b.hint("shuffle_hash") if blocks > 1 else b, [*by, "p", "q"]).where((F.col("p") < F.col("q")) | (F.col("u") < F.col("v")))
     ordered = F.col("u") < F.col("v")
 
     def first(x: str, y: str):
