@@ -10,10 +10,10 @@ from ..plans import scenarios, study
 from ..sources import sinks, tables, views
 from ..state import new_folder
 from . import sqltext as S
-from .registry import Workspace, query, rounded
+from .registry import Workspace, by_size, by_size_sql, query, rounded
 
 FULL, EARLY = views.FULL, views.EARLY
-PANEL_ROUNDED = f"round({EARLY}, 4) AS {EARLY}, round({FULL}, 4) AS {FULL}"
+PANEL_ROUNDED = f"{by_size_sql(EARLY)} AS {EARLY}, {by_size_sql(FULL)} AS {FULL}"
 HIGH = "Medium-high and high climate awareness"
 LOW = "Medium-low and low climate awareness"
 
@@ -44,7 +44,7 @@ def w(select: str) -> str:
 
 @query("load_panel", p(f"SELECT code, entity, variable, {PANEL_ROUNDED} FROM panel"))
 def _(ws: Workspace):
-    return rounded(tables.load_panel(ws.spark, ws.panel_path, views.PERIODS), EARLY, FULL, digits=4)
+    return by_size(tables.load_panel(ws.spark, ws.panel_path, views.PERIODS), EARLY, FULL)
 
 
 @query("load_boundaries", S.query(SQUARES, select="""
@@ -76,11 +76,11 @@ def _(ws: Workspace):
 
 
 @query("map_layer", S.query(S.PANEL, SQUARES, select=f"""
-SELECT code, max(entity) AS entity, count(DISTINCT part_id)::INT AS n_parts, round(max({EARLY}), 4) AS fill
+SELECT code, max(entity) AS entity, count(DISTINCT part_id)::INT AS n_parts, {by_size_sql(f"max({EARLY})")} AS fill
 FROM kept LEFT JOIN (SELECT * FROM panel WHERE variable = 'R34') USING (code) GROUP BY code"""))
 def _(ws: Workspace):
     layer = study.map_layer(ws.boundaries, ws.panel, "R34", EARLY)
-    return rounded(layer.select("code", "entity", F.size("parts").alias("n_parts"), "fill"), "fill", digits=4)
+    return by_size(layer.select("code", "entity", F.size("parts").alias("n_parts"), "fill"), "fill")
 
 
 # ---- projections, filters, scalar functions --------------------------------
@@ -90,11 +90,11 @@ def _(ws: Workspace):
     return rounded(reshape.pick(ws.wide, {"Code": "code", "entity": "entity", "R": "R12"}), "R")
 
 
-@query("select_period", p(f"""SELECT code, variable, round({EARLY}, 4) AS period, FALSE AS missing_period_kept FROM panel"""))
+@query("select_period", p(f"""SELECT code, variable, {by_size_sql(EARLY)} AS period, FALSE AS missing_period_kept FROM panel"""))
 def _(ws: Workspace):
     chosen = reshape.with_period(ws.panel, EARLY, ["code", "variable"])
     absent = reshape.with_period(ws.panel, "avg_1900_1901", ["code", "variable"])
-    return rounded(chosen, "period", digits=4).withColumn(
+    return by_size(chosen, "period").withColumn(
         "missing_period_kept", F.lit("period" in absent.columns))
 
 
@@ -122,11 +122,11 @@ def _(ws: Workspace):
 
 
 @query("drop_geometry", S.query(S.PANEL, SQUARES, select=f"""
-SELECT code, entity, variable, round({FULL}, 4) AS {FULL}
+SELECT code, entity, variable, {by_size_sql(FULL)} AS {FULL}
 FROM (SELECT DISTINCT code FROM kept) JOIN panel USING (code)"""))
 def _(ws: Workspace):
     joined = reshape.known_units(reshape.join_geometry(ws.boundaries, ws.panel))
-    return rounded(reshape.drop_geometry(joined).drop(EARLY), FULL, digits=4)
+    return by_size(reshape.drop_geometry(joined).drop(EARLY), FULL)
 
 
 @query("filter_not_null", S.query(S.PANEL, SQUARES, select="""
@@ -136,16 +136,16 @@ def _(ws: Workspace):
     return stats.count_groups(reshape.known_units(reshape.join_geometry(ws.boundaries, ws.panel)), "code")
 
 
-@query("filter_in", p(f"SELECT code, variable, round({FULL}, 4) AS value FROM panel WHERE variable IN ('R12', 'R34')"))
+@query("filter_in", p(f"SELECT code, variable, {by_size_sql(FULL)} AS value FROM panel WHERE variable IN ('R12', 'R34')"))
 def _(ws: Workspace):
     hit = ws.panel.where(C.in_list(F.col("variable"), ["R12", "R34"]))
-    return rounded(hit.select("code", "variable", F.col(FULL).alias("value")), "value", digits=4)
+    return by_size(hit.select("code", "variable", F.col(FULL).alias("value")), "value")
 
 
-@query("filter_not_in", p(f"SELECT code, variable, round({FULL}, 4) AS value FROM panel WHERE variable NOT IN ('R12', 'R34')"))
+@query("filter_not_in", p(f"SELECT code, variable, {by_size_sql(FULL)} AS value FROM panel WHERE variable NOT IN ('R12', 'R34')"))
 def _(ws: Workspace):
     hit = ws.panel.where(C.not_in_list(F.col("variable"), ["R12", "R34"]))
-    return rounded(hit.select("code", "variable", F.col(FULL).alias("value")), "value", digits=4)
+    return by_size(hit.select("code", "variable", F.col(FULL).alias("value")), "value")
 
 
 @query("split_by_sign", w("""SELECT code, CASE WHEN R34 - avg_all >= 0 THEN 'up' ELSE 'down' END AS part
@@ -194,11 +194,6 @@ def _(ws: Workspace):
     return rounded(ws.panel.select("code", "variable", change.alias("change")), "change")
 
 
-@query("round_label", p(f"SELECT code, variable, round({FULL}, 2) AS label FROM panel WHERE variable <> 'cdd'"))
-def _(ws: Workspace):
-    return ws.panel.where("variable <> 'cdd'").select("code", "variable", C.round_label(F.col(FULL)).alias("label"))
-
-
 @query("alpha_grid", S.query(S.POINTS, S.ALL_ALPHAS, select="""
 SELECT unit, alpha_step, alpha_step / 100.0 AS alpha FROM points, alphas"""))
 def _(ws: Workspace):
@@ -225,11 +220,11 @@ def _(ws: Workspace):
 # ---- joins -----------------------------------------------------------------
 
 @query("join_geometry", S.query(S.PANEL, SQUARES, select=f"""
-SELECT code, entity, variable, round({FULL}, 4) AS value
+SELECT code, entity, variable, {by_size_sql(FULL)} AS value
 FROM (SELECT DISTINCT code FROM kept) LEFT JOIN panel USING (code)"""))
 def _(ws: Workspace):
     joined = reshape.join_geometry(ws.boundaries, ws.panel)
-    return rounded(joined.select("code", "entity", "variable", F.col(FULL).alias("value")), "value", digits=4)
+    return by_size(joined.select("code", "entity", "variable", F.col(FULL).alias("value")), "value")
 
 
 @query("join_features_centroids", S.query(S.PANEL, S.WIDE, S.POINTS, S.scaled(["HDI", "R12"]), select="""
@@ -261,16 +256,16 @@ def _(ws: Workspace):
 # ---- reshape ---------------------------------------------------------------
 
 @query("pivot_variables", w("SELECT code, entity, " + ", ".join(
-    f'round({v}, 4) AS "{v}"' for v in views.VARIABLES) + " FROM wide"))
+    f'{by_size_sql(v)} AS "{v}"' for v in views.VARIABLES) + " FROM wide"))
 def _(ws: Workspace):
     wide = reshape.pivot_variables(ws.panel, views.VARIABLES, FULL)
-    return rounded(wide, *views.VARIABLES, digits=4)
+    return by_size(wide, *views.VARIABLES)
 
 
-@query("unpivot_rest", w("""SELECT code, entity, name, round(value, 4) AS value
+@query("unpivot_rest", w(f"""SELECT code, entity, name, {by_size_sql("value")} AS value
 FROM (SELECT code, entity, R12 AS "R12", HDI AS "HDI", tas FROM wide) UNPIVOT INCLUDE NULLS (value FOR name IN ("R12", "HDI", tas))"""))
 def _(ws: Workspace):
-    return rounded(reshape.unpivot_rest(ws.wide.select("code", "entity", "R12", "HDI", "tas")), "value", digits=4)
+    return by_size(reshape.unpivot_rest(ws.wide.select("code", "entity", "R12", "HDI", "tas")), "value")
 
 
 @query("pivot_partitions", "SELECT n_nationkey::BIGINT AS unit, n_regionkey AS region, n_nationkey % 4 AS mod4 FROM nation")
@@ -316,6 +311,12 @@ def _(ws: Workspace):
     return rounded(_correlations(ws), "value")
 
 
+# The labels written on the cells of the correlation chart.
+@query("round_label", CORR + "SELECT reg1, reg2, round(value, 2) + 0.0 AS label FROM corr_cells")
+def _(ws: Workspace):
+    return _correlations(ws).select("reg1", "reg2", C.round_label(F.col("value")).alias("label"))
+
+
 @query("melt_matrix", CORR + "SELECT reg1, reg2, round(value, 6) + 0.0 AS value FROM corr_cells WHERE NOT isnan(value)")
 def _(ws: Workspace):
     return rounded(stats.melt_matrix(_correlations(ws)), "value")

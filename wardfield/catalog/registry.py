@@ -34,6 +34,19 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(f"`{c}`"), digits) for c in columns})
 
 
+def by_size(df: DataFrame, *columns: str) -> DataFrame:
+    """Round panel values for comparison: fewer digits for large sums, and enough for
+    averages of cents not to end on a half."""
+    def one(c: str):
+        v = F.col(f"`{c}`")
+        return F.when(F.abs(v) >= 1e6, F.round(v, 2)).when(F.abs(v) >= 1000, F.round(v, 6)).otherwise(F.round(v, 8))
+    return df.withColumns({c: one(c) for c in columns})
+
+
+def by_size_sql(c: str) -> str:
+    return f"CASE WHEN abs({c}) >= 1e6 THEN round({c}, 2) WHEN abs({c}) >= 1000 THEN round({c}, 6) ELSE round({c}, 8) END"
+
+
 class Workspace:
     """Tables of one input folder that several queries start from, each built once."""
 
