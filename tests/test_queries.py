@@ -52,5 +52,6 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_entry_points_need_no_session_to_import():
-    code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql())"
+    code = ("import __spark_entry__ as e; from wardfield import catalog as c; "
+            "assert set(c.QUERIES) == set(c.SQL) <= set(e.queries()); assert set(e.oracle_sql()) <= set(e.queries())")
     subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent)
