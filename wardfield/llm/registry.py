@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash
+from . import pieces, simhash, substring
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     slim = simhash.near_duplicates(docs).select("doc_id", hex_of("fingerprint").alias("fingerprint"), "component_id")
     return slim
+
+
+@query("op9_substring_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.kept_digests(table(spark, folder, "documents"))
