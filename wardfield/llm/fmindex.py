@@ -98,7 +98,6 @@ class Index:
         self.n = len(text)
         self.first = np.searchsorted(text[order], np.arange(len(words) + 2))
         self.tree = Wavelet(before, len(words) + 1)
-        self.base = np.array([0])
         # The tree's bottom holds symbols in bit order: a symbol's block starts where position 0 arrives.
         at0, _ = self.tree.steps(np.arange(len(words) + 1), np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64))
         self.shift = self.first[:-1] - at0

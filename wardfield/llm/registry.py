@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pieces, simhash, substring
-from .common import table
+from . import language, mixing, pieces, simhash, substring
+from .common import fold, split_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: Production parameters of the mixture.
+MIXTURE = {"entropy": 0.98, "max_repeats": 4.0}
 
 
 def query(name: str, sql: str | None = None):
@@ -49,3 +51,18 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return substring.kept_digests(table(spark, folder, "documents"))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = fold(F.col("doc_id"), 4) == 2
+    net = language.learn(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_mixing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs.withColumn("n_tokens", F.size(split_words(F.col("text"))).cast("long")), **MIXTURE)
+    return mixed.select("doc_id", "source", "n_tokens", "epoch", "block")

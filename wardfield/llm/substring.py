@@ -312,7 +312,8 @@ def without_repeats(documents: DataFrame, id_: str = "doc_id", text: str = "text
     except what followed a removed word. Other columns pass through.
     """
     joined, spans = _with_spans(documents, id_, text, window)
-    at = documents.columns.index(text)
+    names = documents.columns
+    at = names.index(text)
 
     def run(batches):
         import re
@@ -337,6 +338,6 @@ def without_repeats(documents: DataFrame, id_: str = "doc_id", text: str = "text
                 stay.append(not gone.all())
             cols = [c for c, name in zip(b.columns, b.schema.names) if name != spans]
             cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=documents.columns).filter(pa.array(stay, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay, pa.bool_()))
 
     return over_batches(joined, run, documents.schema)
