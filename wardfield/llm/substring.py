@@ -83,7 +83,8 @@ def anchors(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _digest(h: np.ndarray, lo: int, words: int) -> int:
-    return xxhash.xxh64_intdigest(h[lo:lo + words].tobytes())
+    """Digest of a word range as a signed 64-bit integer."""
+    return int.from_bytes(xxhash.xxh64_digest(h[lo:lo + words].tobytes()), "big", signed=True)
 
 
 def _anchor_rows(window: int):
@@ -97,14 +98,14 @@ def _anchor_rows(window: int):
                     a, lo, n = anchors(h, window)
                     if len(a):
                         out[0].append(a)
-                        out[1].append(np.array([_digest(h, x, y + window - 1) for x, y in zip(lo.tolist(), n.tolist())], np.uint64))
+                        out[1].append(np.array([_digest(h, x, y + window - 1) for x, y in zip(lo.tolist(), n.tolist())], np.int64))
                         out[2].append(np.full(len(a), id_))
                         out[3].append(lo)
                         out[4].append(n)
                 if out[0]:
                     a, d, i, lo, n = (np.concatenate(x) for x in out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.view(np.int64)), pa.array(d.view(np.int64)), pa.array(i.astype(np.int64)),
+                        [pa.array(a.view(np.int64)), pa.array(d), pa.array(i.astype(np.int64)),
                          pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "digest", "id", "lo", "n"])
     return run
 
@@ -119,11 +120,11 @@ def _passage_rows(window: int, single: bool):
                 for w in wanted:
                     lo, n = w["lo"], w["n"] + window - 1
                     # Another row with the same id may have another text: its passage is elsewhere.
-                    if lo + n > len(h) or _digest(h, lo, n) != w["digest"] & (1 << 64) - 1:
+                    if lo + n > len(h) or _digest(h, lo, n) != w["digest"]:
                         continue
                     if single:
                         for j in range(w["n"]):
-                            for c, v in zip(cols, (w["anchor"], w["digest"], id_, j, _digest(h, lo + j, window) - (1 << 63))):
+                            for c, v in zip(cols, (w["anchor"], w["digest"], id_, j, _digest(h, lo + j, window))):
                                 c.append(v)
                     else:
                         for c, v in zip(cols, (w["anchor"], w["digest"], id_, w["n"], h[lo:lo + n].tobytes())):
@@ -223,7 +224,7 @@ def _crowded(named: DataFrame, shared: DataFrame, window: int) -> DataFrame:
                                            F.count(F.lit(1)).alias("passages"))
     counted = written(counted.select("whole", "first.*", "passages"), "substring-counted")
     again = counted.where("passages > 1").join(places, ["anchor", "digest"]).select(
-        F.col("whole").alias("anchor"), (F.col("whole") + F.lit(-2**63)).alias("digest"), "id",
+        F.col("whole").alias("anchor"), F.col("whole").alias("digest"), "id",
         (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
     least = _judged(_fetch(named, again, _passage_rows(window, False),
                            "anchor long, digest long, id long, n int, words binary"), window)
@@ -270,7 +271,7 @@ def removed(words: list[bytes], found: list[dict] | None) -> np.ndarray:
     if found:
         h = hashes(words)
         for f in found:
-            if f["lo"] + f["words"] <= len(words) and _digest(h, f["lo"], f["words"]) == f["digest"] & (1 << 64) - 1:
+            if f["lo"] + f["words"] <= len(words) and _digest(h, f["lo"], f["words"]) == f["digest"]:
                 for s in f["spans"]:
                     gone[s["start"]:s["stop"]] = True
     return gone
