@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, pieces, simhash, substring
+from . import chat, language, mixing, pieces, simhash, substring, topk
 from .common import fold, split_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,62 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs.withColumn("n_tokens", F.size(split_words(F.col("text"))).cast("long")), **MIXTURE)
     return mixed.select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
+_TOP = """
+WITH parts AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query("op4_topk", _TOP)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top(topk.integers(table(spark, folder, "embeddings")))
+
+
+_CHAT = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+chats AS (
+  SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS turns FROM turns GROUP BY conv_id),
+rated AS (
+  SELECT conv_id, turns, turns[1] AS opening,
+    coalesce(list_sum(list_transform(list_filter(turns, lambda t: t.role = 'assistant'), lambda t: length(t.text))), 0) AS said FROM chats),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY opening ORDER BY said DESC, conv_id) AS place FROM rated),
+openings AS (
+  SELECT 'opening' AS kind, c.conv_id AS chosen_id, r.conv_id AS rejected_id, c.turns AS chosen, r.turns AS rejected
+  FROM best c JOIN best r ON c.opening = r.opening AND c.place = 1 AND r.place > 1),
+cut AS (
+  SELECT conv_id, turns[:last - 1] AS before, turns[last] AS reply FROM (
+    SELECT *, list_max(list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant')) AS last FROM chats) WHERE last IS NOT NULL),
+stale AS (
+  SELECT 'stale' AS kind, conv_id AS chosen_id, conv_id AS rejected_id, list_append(before, reply) AS chosen,
+    list_append(before, {'role': reply.role, 'text': coalesce(list_filter(before, lambda t: t.role = 'assistant')[-1].text, before[-1].text, '')})
+      AS rejected FROM cut),
+pairs AS (SELECT * FROM openings UNION ALL SELECT * FROM stale),
+placed AS (
+  SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(chosen), len(rejected)) + 1), lambda i: chosen[i] IS DISTINCT FROM rejected[i])),
+    greatest(len(chosen), len(rejected)) + 1) - 1 AS prompt_turns FROM pairs),
+parts AS (
+  SELECT kind, chosen_id, rejected_id, prompt_turns, chosen[:prompt_turns] AS p, chosen[prompt_turns + 1:] AS c,
+    rejected[prompt_turns + 1:] AS r FROM placed WHERE prompt_turns < greatest(len(chosen), len(rejected)))
+SELECT kind, chosen_id, rejected_id, CAST(prompt_turns AS INTEGER) AS prompt_turns,
+""" + ",\n".join(
+    f"array_to_string(list_transform({c}, lambda t: concat('<|', t.role, '|>', chr(10), t.text, '<|end|>', chr(10))), '') AS {name}"
+    for c, name in (("p", "prompt"), ("c", "chosen"), ("r", "rejected"))) + ",\n" + ",\n".join(
+    f"array_to_string(list_transform({c}, lambda t: concat('-', length(t.role) + 5, ' ', CASE WHEN t.role = 'assistant' THEN '+' ELSE '-' END, "
+    f"length(t.text) + 8)), ' ') AS {name}" for c, name in (("c", "chosen_mask"), ("r", "rejected_mask"))) + " FROM parts"
+
+
+@query("op7_chat", _CHAT)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_all(table(spark, folder, "conversations"))
