@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, pieces, simhash, substring, topk
+from . import chat, language, lm, mixing, pieces, quality, rules, simhash, substring, topk
 from .common import fold, split_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,19 @@ SELECT kind, chosen_id, rejected_id, CAST(prompt_turns AS INTEGER) AS prompt_tur
 @query("op7_chat", _CHAT)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return chat.format_all(table(spark, folder, "conversations"))
+
+
+@query("op3_lm_score")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score(table(spark, folder, "documents"), fold(F.col("doc_id"), 5) == 1)
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    judged, _ = rules.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
