@@ -214,6 +214,14 @@ class Reader:
 _READERS: dict[int, Reader] = {}
 
 
+def _reader(token: int, net: Network) -> Reader:
+    """This worker's reader of a network; tasks of one query share it."""
+    if token not in _READERS:
+        _READERS.clear()
+        _READERS[token] = Reader(net)
+    return _READERS[token]
+
+
 def identify(documents: DataFrame, net: Network | None, text: str = "text", lang: str = "lang_pred",
              score: str = "score") -> DataFrame:
     """``documents`` with the predicted language and its probability.
@@ -222,15 +230,12 @@ def identify(documents: DataFrame, net: Network | None, text: str = "text", lang
     Rows are judged one by one: repeated rows get the same answer. Whole texts are read. Other columns pass
     through; ``lang`` and ``score`` must be new names. An empty table stays empty.
     """
-    token = np.random.default_rng().integers(1 << 62)
+    token = int(np.random.default_rng().integers(1 << 62))
 
     def make(b: pa.RecordBatch):
         if net is None:
             return [pa.array([UNKNOWN] * b.num_rows), pa.array([0.0] * b.num_rows)]
-        if token not in _READERS:
-            _READERS.clear()
-            _READERS[token] = Reader(net)
-        got = _READERS[token].predict(b.column(text).to_pylist())
+        got = _reader(token, net).predict(b.column(text).to_pylist())
         return [pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())]
 
     return with_columns(documents, [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())], make)

@@ -26,51 +26,102 @@ ROUNDS, EPOCHS, BATCH, RATE, PENALTY, SEED = 100, 30, 128, 0.05, 1e-4, 3
 #: Mean weights are multiplied by this, so that weights stay near one.
 SCALE = 10.0
 
-_SYMBOLS = b"#*$%&|<>"
+_SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
 _CAPITALS = re.compile(rb"[A-Z]+")
 _DIGITS = re.compile(rb"[0-9]+")
 
 
-def measures(text: str | None) -> dict[str, float]:
-    """What the labellers look at, for a whole text; a null counts as empty."""
-    raw = b"" if text is None else text.encode()
-    words = raw.split()
-    n = max(1, len(words))
-    lines = [x for x in raw.split(b"\n") if x.split()]
-    return {
-        "words": len(words), "symbols": sum(raw.count(c) for c in (bytes([s]) for s in _SYMBOLS)) / n,
-        "marked": sum(w[-1:] in b"!?#*$%&|<>" for w in words) / n, "capitals": sum(w.isupper() for w in words) / n,
-        "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "distinct": len(set(words)) / n,
-        "short": sum(len(w) <= 3 for w in words) / n, "mean": sum(map(len, words)) / n,
-        "digits": sum(w[:1].isdigit() for w in words) / n}
+def buckets(word: bytes) -> tuple[int, int]:
+    """Hashed features of a word: itself in lower case, and its shape (letters a, capitals A, digits 0)."""
+    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", word)))
+    return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(b"\0" + shape) % BUCKETS
+
+
+#: Features of a word by whether it repeats the word before it.
+AGAIN, FRESH = (zlib.crc32(x) % BUCKETS for x in (b"\0again", b"\0fresh"))
+
+
+class Words:
+    """Numbers of words, with what is looked at in each; those seen lately are remembered."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.facts, self.bucket = np.zeros((0, 6)), np.zeros((0, 2), np.int64)
+
+    def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = [words_of(t) for t in texts]
+        new = {w for ws in split for w in ws if w not in self.place}
+        if len(self.place) + len(new) > 300_000:
+            self.__init__()
+            new = {w for ws in split for w in ws}
+        if new:
+            new = list(new)
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            self.facts = np.concatenate([self.facts, [
+                (len(w), sum(map(w.count, _SYMBOLS)), w[-1:] in b"!?#*$%&|<>", w.isupper(), len(w) <= 3, w[:1].isdigit()) for w in new]])
+            self.bucket = np.concatenate([self.bucket, [buckets(w) for w in new]])
+        return [np.array([self.place[w] for w in ws], np.int64) for ws in split]
+
+    def measures(self, text: str | None, at: np.ndarray) -> dict[str, float]:
+        """What the labellers look at, for a whole text and the numbers of its words."""
+        n = max(1, len(at))
+        sums = self.facts[at].sum(axis=0) if len(at) else np.zeros(6)
+        lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
+        return {"words": len(at), "mean": sums[0] / n, "symbols": sums[1] / n, "marked": sums[2] / n, "capitals": sums[3] / n,
+                "short": sums[4] / n, "digits": sums[5] / n, "dup_lines": 1 - len(set(lines)) / max(1, len(lines)),
+                "distinct": len(np.unique(at)) / n, "again": float((at[1:] == at[:-1]).sum()) / n}
+
+    def features(self, at: np.ndarray) -> np.ndarray:
+        again = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, bool)
+        return np.r_[self.bucket[at].ravel(), np.where(again, AGAIN, FRESH)]
+
+
+_WORDS = Words()
 
 
 def _vote(bad: bool, good: bool) -> int:
     return BAD if bad else GOOD if good else NONE
 
 
+def _prose(m: dict[str, float]) -> bool:
+    return m["words"] >= 20
+
+
+#: Shares that need some words to mean anything are not voted on in shorter texts.
 LABELLERS: list[tuple[str, Callable[[dict[str, float]], int]]] = [
-    ("length", lambda m: _vote(m["words"] < 20, m["words"] >= 50)),
+    ("length", lambda m: _vote(False, _prose(m))),
     ("symbols", lambda m: _vote(m["symbols"] > 0.1, m["symbols"] < 0.01)),
     ("marked", lambda m: _vote(m["marked"] > 0.2, m["marked"] < 0.02)),
     ("capitals", lambda m: _vote(m["capitals"] > 0.4, m["capitals"] < 0.05)),
-    ("dup_lines", lambda m: _vote(m["dup_lines"] > 0.3, False)),
-    ("distinct", lambda m: _vote(m["words"] >= 50 and m["distinct"] < 0.3, m["words"] >= 50 and m["distinct"] > 0.5)),
-    ("short", lambda m: _vote(m["short"] < 0.08, m["short"] > 0.15)),
-    ("mean", lambda m: _vote(not 3 <= m["mean"] <= 9, 3.5 <= m["mean"] <= 7.5)),
-    ("digits", lambda m: _vote(m["digits"] > 0.2, False)),
+    ("dup_lines", lambda m: _vote(m["dup_lines"] > 0.3, _prose(m) and m["dup_lines"] < 0.1)),
+    ("distinct", lambda m: _vote(_prose(m) and m["distinct"] < 0.3, _prose(m) and m["distinct"] > 0.4)),
+    ("again", lambda m: _vote(m["again"] > 0.1, _prose(m) and m["again"] < 0.03)),
+    ("short", lambda m: _vote(_prose(m) and m["short"] < 0.08, _prose(m) and m["short"] > 0.15)),
+    ("mean", lambda m: _vote(_prose(m) and not 3 <= m["mean"] <= 9, _prose(m) and 3.5 <= m["mean"] <= 7.5)),
+    ("digits", lambda m: _vote(_prose(m) and m["digits"] > 0.2, False)),
 ]
 
 
-def pattern(text: str | None) -> int:
+def pattern(m: dict[str, float]) -> int:
     """All votes as one number in base three."""
-    m, out = measures(text), 0
+    out = 0
     for _, label in LABELLERS:
         out = 3 * out + label(m)
     return out
 
 
+def features_of(numbers: np.ndarray) -> np.ndarray:
+    """Hashed features of the words that :func:`patterns_of` numbered in the same batch."""
+    return _WORDS.features(numbers)
+
+
+def patterns_of(texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
+    """Vote patterns, and the numbers of the words, of whole texts."""
+    numbers = _WORDS.numbers(texts)
+    return [pattern(_WORDS.measures(t, at)) for t, at in zip(texts, numbers)], numbers
+
+
 def _votes(patterns: np.ndarray) -> np.ndarray:
     k = len(LABELLERS)
     return patterns[:, None] // 3 ** np.arange(k - 1, -1, -1) % 3
@@ -79,20 +130,22 @@ def _votes(patterns: np.ndarray) -> np.ndarray:
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior probability of good for each pattern, and each labeller's ``P(vote | class)`` (labeller x class x vote).
 
-    Expectation-maximisation from the majority vote: classes weigh patterns, patterns weigh votes. Votes are
-    independent within a class. Labellers that never vote change nothing.
+    Expectation-maximisation, from the start that any bad vote makes bad likely (texts are bad in one way,
+    seldom in all, so the majority is a poor start): classes weigh patterns, patterns weigh votes. Votes are
+    independent within a class, and not to vote says nothing about the class, so that short texts, on which few
+    labellers vote, are judged by those. Labellers that never vote change nothing.
     """
     v, n = _votes(patterns), counts.astype(np.float64)
-    good = (((v == GOOD).sum(axis=1) + 0.5) / ((v != NONE).sum(axis=1) + 1.0))
-    table = np.zeros((v.shape[1], 2, 3))
+    good = np.where((v == BAD).any(axis=1), 0.1, 0.95)
+    table = np.ones((v.shape[1], 2, 3))
     for _ in range(ROUNDS):
         before = good
         share = np.stack([1 - good, good]) * n
         prior = (share.sum(axis=1) + 1) / (n.sum() + 2)
         for j in range(v.shape[1]):
             for y in (BAD, GOOD):
-                table[j, y] = np.bincount(v[:, j], share[y], 3) + 1
-        table /= table.sum(axis=2, keepdims=True)
+                table[j, y, :NONE] = np.bincount(v[:, j], share[y], 3)[:NONE] + 1
+        table[:, :, :NONE] /= table[:, :, :NONE].sum(axis=2, keepdims=True)
         log = np.log(prior)[:, None] + np.stack([sum(np.log(table[j, y])[v[:, j]] for j in range(v.shape[1])) for y in (BAD, GOOD)])
         good = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         if np.abs(good - before).max() < 1e-9:
@@ -100,31 +153,6 @@ def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.n
     return good, table
 
 
-def buckets(word: bytes) -> tuple[int, int]:
-    """Hashed features of a word: itself in lower case, and its shape (letters a, capitals A, digits 0)."""
-    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", word)))
-    return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(b"\0" + shape) % BUCKETS
-
-
-class Features:
-    """Hashed features of texts; those of words seen lately are remembered."""
-
-    def __init__(self):
-        self.known: dict[bytes, tuple[int, int]] = {}
-
-    def of(self, text: str | None) -> np.ndarray:
-        words = words_of(text)
-        if len(self.known) > 300_000:
-            self.known.clear()
-        for w in set(words):
-            if w not in self.known:
-                self.known[w] = buckets(w)
-        return np.array([self.known[w] for w in words], np.int64).ravel()
-
-
-_FEATURES = Features()
-
-
 def train(rows: list[tuple[list[int], list[float], float]]) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression on rows of (buckets, shares, posterior); zeros without rows."""
     weights, bias = np.zeros(BUCKETS), 0.0
@@ -159,7 +187,7 @@ def classify(documents: DataFrame, id_: str = "doc_id", text: str = "text", leas
     """
     place = new_name(documents, "vote_pattern")
     voted = with_columns(documents, [T.StructField(place, T.IntegerType())],
-                         lambda b: [pa.array([pattern(t) for t in b.column(text).to_pylist()], pa.int32())])
+                         lambda b: [pa.array(patterns_of(b.column(text).to_pylist())[0], pa.int32())])
     # At most 3 ** len(LABELLERS) rows whatever the input.
     counts = voted.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).groupBy(place).count().orderBy(place).collect()
     patterns = np.array([r[place] for r in counts], np.int64)
@@ -172,11 +200,11 @@ def classify(documents: DataFrame, id_: str = "doc_id", text: str = "text", leas
     if ends is not None:
         def sample(b: pa.RecordBatch):
             index, value, label = [], [], []
-            for t in b.column("text").to_pylist():
-                at, n = np.unique(_FEATURES.of(t), return_counts=True)
+            for p, words in zip(*patterns_of(b.column("text").to_pylist())):
+                at, n = np.unique(features_of(words), return_counts=True)
                 index.append(at.tolist())
                 value.append((n / n.sum()).tolist())
-                label.append(posterior[pattern(t)])
+                label.append(posterior[p])
             return [pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64())), pa.array(label, pa.float64())]
 
         fields = [T.StructField("index", T.ArrayType(T.IntegerType())), T.StructField("value", T.ArrayType(T.DoubleType())),
@@ -187,9 +215,8 @@ def classify(documents: DataFrame, id_: str = "doc_id", text: str = "text", leas
 
     def judge(b: pa.RecordBatch):
         n, post, score = [], [], []
-        for t in b.column(text).to_pylist():
-            p = pattern(t)
-            at = _FEATURES.of(t)
+        for p, words in zip(*patterns_of(b.column(text).to_pylist())):
+            at = features_of(words)
             n.append(int((_votes(np.array([p])) != NONE).sum()) if len(at) else 0)
             post.append(posterior.get(p, 0.0) if len(at) else 0.0)
             z = SCALE * weights[at].mean() + bias if len(at) else 0.0
