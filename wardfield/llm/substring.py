@@ -110,8 +110,8 @@ def _anchor_rows(window: int):
     return run
 
 
-def _passage_rows(window: int, single: bool):
-    """Word hashes of listed passages; with ``single``, digests of their windows instead."""
+def _passage_rows(window: int):
+    """Word hashes of the passages listed for each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
@@ -120,27 +120,38 @@ def _passage_rows(window: int, single: bool):
                 for w in wanted:
                     lo, n = w["lo"], w["n"] + window - 1
                     # Another row with the same id may have another text: its passage is elsewhere.
-                    if lo + n > len(h) or _digest(h, lo, n) != w["digest"]:
-                        continue
-                    if single:
-                        for j in range(w["n"]):
-                            for c, v in zip(cols, (w["anchor"], w["digest"], id_, j, _digest(h, lo + j, window))):
-                                c.append(v)
-                    else:
-                        for c, v in zip(cols, (w["anchor"], w["digest"], id_, w["n"], h[lo:lo + n].tobytes())):
+                    if lo + n <= len(h) and _digest(h, lo, n) == w["digest"]:
+                        for c, v in zip(cols, (w["anchor"], w["digest"], id_, w["crowded"], h[lo:lo + n].tobytes())):
                             c.append(v)
                 if len(cols[0]) > 20_000:
-                    yield _batch(cols, single)
+                    yield _passages(cols)
                     cols = [[], [], [], [], []]
             if cols[0]:
-                yield _batch(cols, single)
+                yield _passages(cols)
     return run
 
 
-def _batch(cols, single):
-    names = ["anchor", "digest", "id", "j", "whole"] if single else ["anchor", "digest", "id", "n", "words"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64() if single else pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+def _passages(cols):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
+                                      names=["anchor", "digest", "id", "crowded", "words"])
+
+
+def _window_rows(window: int):
+    """A digest of every window of passages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2_000):
+                part = b.slice(at, 2_000)
+                words = [np.frombuffer(w, np.uint64) for w in part.column("words").to_pylist()]
+                counts = np.array([len(w) - window + 1 for w in words])
+                row = pa.array(np.repeat(np.arange(len(words)), counts))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(row) for c in ("anchor", "digest", "id")),
+                     pa.array(np.concatenate([np.arange(c) for c in counts]).astype(np.int32)),
+                     pa.array([_digest(w, j, window) for w, c in zip(words, counts) for j in range(c)], pa.int64())],
+                    names=["anchor", "digest", "id", "j", "whole"])
+    return run
 
 
 def _judge(window: int):
@@ -172,12 +183,6 @@ def _judge(window: int):
     return run
 
 
-def _fetch(documents: DataFrame, wanted: DataFrame, fn, schema: str) -> DataFrame:
-    """Rows that ``fn`` makes of each document's text and the passages wanted of it."""
-    lists = wanted.groupBy("id").agg(F.collect_list(F.struct("anchor", "digest", "lo", "n")).alias("wanted"))
-    return over_batches(documents.join(lists, "id").select("id", "text", "wanted"), fn, schema)
-
-
 def _judged(passages: DataFrame, window: int) -> DataFrame:
     dealt = passages.repartition("anchor").sortWithinPartitions("anchor", "digest")
     return over_batches(dealt, _judge(window), "anchor long, digest long, least array<long>")
@@ -199,39 +204,36 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         F.min(F.struct("id", "lo", "n")).alias("first"), F.max("id").alias("last"))
     crowd = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"), F.min("first.id").alias("least"),
                                            F.max("last").alias("most")).where("least < most")
-    crowd = written(crowd.select("anchor", (F.col("passages") > CROWD).alias("crowded")), "substring-shared")
-    shared = written(passages.join(crowd, "anchor").select("anchor", "digest", "first.*", "crowded"), "substring-passages")
-    found = written(_judged(_fetch(named, shared.where("not crowded"), _passage_rows(window, False),
-                                   "anchor long, digest long, id long, n int, words binary"), window), "substring-least")
-    if crowd.where("crowded").limit(1).count():
-        found = found.unionByName(written(_crowded(named, shared.where("crowded"), window), "substring-crowded"))
+    shared = passages.join(crowd.select("anchor", (F.col("passages") > CROWD).alias("crowded")), "anchor")
+    lists = shared.groupBy("first.id").agg(F.collect_list(F.struct("anchor", "digest", "first.lo", "first.n", "crowded")).alias("wanted"))
+    texts = named.join(lists, "id").select("id", "text", "wanted")
+    words = written(over_batches(texts, _passage_rows(window), "anchor long, digest long, id long, crowded boolean, words binary"),
+                    "substring-passages")
+    found = written(_judged(words.where("not crowded"), window).unionByName(_crowded(words.where("crowded"), window)), "substring-least")
     marked = rows.select("anchor", "digest", "id", "lo").join(found, ["anchor", "digest"])
     covered = over_batches(marked.select("id", "digest", "lo", "least"), _spans(window),
                            "id long, digest long, lo int, words int, spans array<struct<start:int,stop:int>>")
     return covered.groupBy("id").agg(F.collect_list(F.struct("digest", "lo", "words", "spans")).alias("spans"))
 
 
-def _crowded(named: DataFrame, shared: DataFrame, window: int) -> DataFrame:
+def _crowded(passages: DataFrame, window: int) -> DataFrame:
     """The smallest owner of every window of passages around crowded anchors.
 
-    Windows are summed by digest before they move; those with one passage only belong to it, the others are dealt
+    Windows are summed by digest before they move; those of one passage only belong to it, the others are dealt
     to shards by their digest, each as a passage of its own.
     """
-    singles = written(_fetch(named, shared, _passage_rows(window, True),
-                             "anchor long, digest long, id long, j int, whole long"), "substring-windows")
-    places = shared.select("anchor", "digest", "lo")
+    singles = written(over_batches(passages, _window_rows(window), "anchor long, digest long, id long, j int, whole long"),
+                      "substring-windows")
     counted = singles.groupBy("whole").agg(F.min(F.struct("id", "anchor", "digest", "j")).alias("first"),
-                                           F.count(F.lit(1)).alias("passages"))
-    counted = written(counted.select("whole", "first.*", "passages"), "substring-counted")
-    again = counted.where("passages > 1").join(places, ["anchor", "digest"]).select(
+                                           F.min(F.struct("anchor", "digest")).alias("one"), F.max(F.struct("anchor", "digest")).alias("other"))
+    counted = written(counted.select("whole", "first.*", (F.col("one") == F.col("other")).alias("alone")), "substring-counted")
+    again = counted.where("not alone").join(passages.drop("id"), ["anchor", "digest"]).select(
         F.col("whole").alias("anchor"), F.col("whole").alias("digest"), "id",
-        (F.col("lo") + F.col("j")).alias("lo"), F.lit(1).alias("n"))
-    least = _judged(_fetch(named, again, _passage_rows(window, False),
-                           "anchor long, digest long, id long, n int, words binary"), window)
-    known = counted.where("passages = 1").select("whole", F.col("id").alias("owner")).unionByName(
-        least.select(F.col("anchor").alias("whole"), F.col("least")[0].alias("owner")))
+        F.substring("words", F.col("j") * 8 + 1, F.lit(8 * window)).alias("words"))
+    known = counted.where("alone").select("whole", F.col("id").alias("owner")).unionByName(
+        _judged(again, window).select(F.col("anchor").alias("whole"), F.col("least")[0].alias("owner")))
     return singles.join(known, "whole").groupBy("anchor", "digest").agg(
-        F.array_sort(F.collect_list(F.struct("j", "owner"))).alias("w")).select(
+        F.array_sort(F.collect_set(F.struct("j", "owner"))).alias("w")).select(
         "anchor", "digest", F.col("w.owner").alias("least"))
 
 
