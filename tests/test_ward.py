@@ -94,6 +94,25 @@ def test_alpha_ties_go_to_the_smallest_weight(spark):
     assert got == {"ch": 1, "max": 1}
 
 
+def test_weights_tie_where_rounding_would_part_them(spark):
+    near = [(0.0418970255865 + 5e-13 + 2e-15 * ((7 * i) % 5 - 2), a) for i, a in enumerate(range(32, 38))]
+    q = spark.createDataFrame([("s", 8, a, v) for v, a in near] + [("s", 8, 31, 0.05)],
+                              "scenario string, k int, alpha_step int, value double")
+    for parts in (1, 4):
+        got = inertia.argmin_alpha(q.repartition(parts), F.col("value")).collect()
+        assert [(r["k"], r["alpha_step"]) for r in got] == [(8, 32)]
+
+
+def test_rounds_keep_the_settings_of_the_caller(spark):
+    from wardfield.state import Rounds
+
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert Rounds(spark, "settings").session.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_sequential_order_on_ties(spark):
     """On a grid of touching cells many distances are zero; the order by smallest ids is fixed."""
     n, d0 = 9, {}

@@ -337,15 +337,15 @@ def _(ws: Workspace):
 
 
 def _extreme(goal: str, name: str) -> str:
-    return b(f"SELECT scenario, k, min(struct_pack(g := {goal}, a := alpha_step)).a AS {name} FROM q GROUP BY scenario, k", *QUALITY)
+    return b(S.smallest(goal, name=name), *QUALITY)
 
 
-@query("argmin_alpha", _extreme("round(q0, 12)", "alpha_step"))
+@query("argmin_alpha", _extreme("q0", "alpha_step"))
 def _(ws: Workspace):
     return inertia.argmin_alpha(ws.main.quality, F.col("q0"))
 
 
-@query("argmax_alpha", _extreme("-round(q0, 12)", "alpha_step"))
+@query("argmax_alpha", _extreme("-q0", "alpha_step"))
 def _(ws: Workspace):
     return inertia.argmax_alpha(ws.main.quality, F.col("q0"))
 

@@ -172,12 +172,16 @@ explained AS MATERIALIZED (
   FROM explained)"""]
 
 
-STARS = """stars AS MATERIALIZED (
-  SELECT scenario, 'ch' AS criterion, k, min(struct_pack(g := round(abs(q0norm - q1norm), 12), a := alpha_step)).a AS alpha_step
-  FROM q GROUP BY scenario, k
+def smallest(goal: str, columns: str = "scenario, k", name: str = "alpha_step") -> str:
+    """Per scenario and K the smallest weight whose ``goal`` is within 1e-9 of the least."""
+    return (f"SELECT {columns}, min(alpha_step) AS {name} FROM (SELECT scenario, k, alpha_step, {goal} AS goal, "
+            f"min({goal}) OVER (PARTITION BY scenario, k) AS least FROM q) WHERE goal <= least + 1e-9 GROUP BY scenario, k")
+
+
+STARS = f"""stars AS MATERIALIZED (
+  {smallest("abs(q0norm - q1norm)", "scenario, 'ch' AS criterion, k")}
   UNION ALL
-  SELECT scenario, 'max', k, min(struct_pack(g := -round(tot, 12), a := alpha_step)).a
-  FROM q GROUP BY scenario, k)"""
+  {smallest("-tot", "scenario, 'max', k")})"""
 
 
 def indices(source: str, combos: str = "alpha_step, k", name: str = "scored") -> list[str]:

@@ -62,15 +62,16 @@ def weighted_inertia(q: DataFrame) -> DataFrame:
 
 
 # Weights that give the same partition must tie, though their sums were added in
-# different orders; values are compared to this many decimals.
-TIE_DIGITS = 12
+# different orders; a value this close to the smallest one counts as equal to it.
+TIE = 1e-9
 
 
 def argmin_alpha(q: DataFrame, value) -> DataFrame:
     """Per scenario and K the weight of the smallest value; ties go to the smallest weight."""
-    goal = F.round(value, TIE_DIGITS)
-    return q.where(goal.isNotNull()).groupBy("scenario", "k").agg(
-        F.min(F.struct(goal.alias("goal"), "alpha_step"))["alpha_step"].alias("alpha_step"))
+    least = F.min("goal").over(Window.partitionBy("scenario", "k"))
+    goals = q.select("scenario", "k", "alpha_step", value.alias("goal")).where("goal is not null")
+    return goals.withColumn("least", least).where(F.col("goal") <= F.col("least") + TIE).groupBy("scenario", "k").agg(
+        F.min("alpha_step").alias("alpha_step"))
 
 
 def argmax_alpha(q: DataFrame, value) -> DataFrame:

@@ -93,18 +93,20 @@ TASK_ROWS = 500_000
 class Rounds:
     """A session for the steps of an iteration, sized to a table that shrinks as it runs.
 
-    The caller's session keeps its settings. Small steps use few tasks and skip
-    re-planning between stages, which would outlast the work itself; both come back
-    with size. Every kept table is in shared storage, so a lost executor re-reads it.
+    The caller's session keeps its settings, and all that can be set at run time holds
+    here too; only the number of shuffle tasks follows the table. Every kept table is in
+    shared storage, so a lost executor re-reads it.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.folder = new_folder(spark, label)
         self.session = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if self.session.conf.isModifiable(key):
+                self.session.conf.set(key, value)
 
     def fit(self, rows: int) -> None:
         self.session.conf.set("spark.sql.shuffle.partitions", str(max(1, -(-rows // TASK_ROWS))))
-        self.session.conf.set("spark.sql.adaptive.enabled", str(rows > 4 * TASK_ROWS).lower())
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table, of this session or the caller's, and open it in this one."""
