@@ -23,8 +23,8 @@ MARK = "▁"
 BASE = 1 << 20
 NO_RANK = np.int64(1 << 40)
 #: Distinct words remembered per worker, and those merged in one set of rounds.
-WORD_CACHE = 300_000
-CHUNK_SYMBOLS = 2_000_000
+WORD_CACHE = 150_000
+CHUNK_SYMBOLS = 500_000
 
 
 class Vocabulary:
@@ -335,6 +335,21 @@ def decode(df: DataFrame, model: str, ids: str = "ids", into: str = "decoded") -
     return with_columns(df, [T.StructField(into, T.StringType())], make)
 
 
+def encode_and_decode(df: DataFrame, model: str, text: str = "text", into: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the ids of :func:`encode` and the text that :func:`decode` gives for them, in one pass of one worker."""
+    name = share_model(df.sparkSession, model)
+
+    def make(b: pa.RecordBatch):
+        e = worker(name)
+        ids = e.encode(b.column(text).to_pylist(), True, True)
+        sizes = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        return [pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat.astype(np.int32))),
+                pa.array([e.v.decode(x) for x in ids], pa.string())]
+
+    return with_columns(df, [T.StructField(into, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())], make)
+
+
 def digests(df: DataFrame, model: str, text: str = "text") -> DataFrame:
     """``df`` without its text, with the number of ids, and digests of the ids and of the text decoded from them.
 
