@@ -14,8 +14,11 @@ from ..state import ship_package
 
 #: Words everywhere are maximal runs of characters outside this ASCII white space; bytes.split() cuts the same.
 SPACE = r"[\x20\x09-\x0D]+"
-#: Rows of one Arrow batch handed to Python: long texts make batches of many megabytes otherwise.
-BATCH_ROWS = 512
+#: Rows handled at once in a Python worker: long texts take many megabytes otherwise.
+BATCH_ROWS = 128
+#: Bytes of one Arrow batch between Spark and a Python worker, where the session allows more.
+BATCH_BYTES = 16 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,11 +44,29 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                  schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with this package shipped to the workers."""
-    ship_package(df.sparkSession)
+    """``mapInArrow`` with this package shipped to the workers, and batches of a bounded size.
+
+    The bound is a setting of the session, read when the query runs; a caller's own value stays.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if not spark.conf.get(_BYTES_SETTING, ""):
+        spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]):
+    """What a Python worker keeps between tasks: one thing at a time, so that the memory of operators that run one
+    after the other in one worker doesn't add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 def with_columns(df: DataFrame, added: list[T.StructField],
                  make: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """All columns of ``df`` plus ``added``, which ``make`` derives from each batch.

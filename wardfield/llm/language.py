@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_name, split_words, with_columns, words_of
+from .common import held, new_name, split_words, with_columns, words_of
 
 UNKNOWN = "und"
 #: Labelled documents a language is learned from at most, and distinct words of them: the bounded training sample.
@@ -211,15 +211,9 @@ class Reader:
         return out
 
 
-_READERS: dict[int, Reader] = {}
-
-
 def _reader(token: int, net: Network) -> Reader:
     """This worker's reader of a network; tasks of one query share it."""
-    if token not in _READERS:
-        _READERS.clear()
-        _READERS[token] = Reader(net)
-    return _READERS[token]
+    return held(f"reader-{token}", lambda: Reader(net))
 
 
 def identify(documents: DataFrame, net: Network | None, text: str = "text", lang: str = "lang_pred",

@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
-from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,15 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_columns
+from .common import held, with_columns
 
 MARK = "▁"
 #: Symbols at or above this stand for single characters that are no piece, as BASE + code point.
 BASE = 1 << 20
 NO_RANK = np.int64(1 << 40)
 #: Distinct words remembered per worker, and those merged in one set of rounds.
-WORD_CACHE = 150_000
-CHUNK_SYMBOLS = 500_000
+WORD_CACHE = 100_000
+CHUNK_SYMBOLS = 300_000
 
 
 class Vocabulary:
@@ -288,17 +288,13 @@ class Encoder:
         return [np.frombuffer(head + b"".join([self.known[w] for w in ws]) + tail, "<u4") for ws in split]
 
 
-@lru_cache(maxsize=2)
 def worker(name: str) -> Encoder:
     """The encoder of this Python worker, from the model file that the driver handed out."""
-    with open(SparkFiles.get(name), "rb") as f:
-        return Encoder(Vocabulary(f.read()))
+    return held(f"pieces-{name}", lambda: Encoder(Vocabulary(Path(SparkFiles.get(name)).read_bytes())))
 
 
 def share_model(spark, path: str) -> str:
     """Hand the model file to every worker through Spark, so that ``path`` need only exist on the driver."""
-    from pathlib import Path
-
     name = Path(path).name
     spark.sparkContext.addFile(path)
     return name

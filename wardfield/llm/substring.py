@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..state import written
-from .common import mixed, new_name, over_batches, words_of
+from .common import held, mixed, new_name, over_batches, words_of
 from .fmindex import Index
 
 WINDOW = 50
@@ -39,14 +39,12 @@ SHARD_WORDS = 1_000_000
 #: Words remembered per worker, with their hashes.
 WORDS_KEPT = 300_000
 
-_HASHES: dict[bytes, int] = {}
-
 
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words."""
-    if len(_HASHES) > WORDS_KEPT:
-        _HASHES.clear()
-    known = _HASHES
+    known = held("word-hashes", dict)
+    if len(known) > WORDS_KEPT:
+        known.clear()
     out = np.empty(len(words), np.uint64)
     try:
         out[:] = [known[w] for w in words]
