@@ -50,7 +50,7 @@ def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
     """
     spark = df.sparkSession
     ship_package(spark)
-    if not spark.conf.get(_BYTES_SETTING, ""):
+    if spark.conf.get(_BYTES_SETTING, None) is None:
         spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
