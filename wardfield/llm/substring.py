@@ -200,9 +200,10 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                                 "anchor long, digest long, id long, lo int, n int"), "substring-anchors")
     passages = rows.groupBy("anchor", "digest").agg(
         F.min(F.struct("id", "lo", "n")).alias("first"), F.max("id").alias("last"))
-    crowd = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"), F.min("first.id").alias("least"),
-                                           F.max("last").alias("most")).where("least < most")
-    shared = passages.join(crowd.select("anchor", (F.col("passages") > CROWD).alias("crowded")), "anchor")
+    crowd = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"), F.min("first").alias("least"),
+                                           F.max("last").alias("most")).where("least.id < most")
+    # Both sides read the same columns of the passages (the second condition always holds), so that one shuffle serves both.
+    shared = passages.join(crowd.select("anchor", "most", (F.col("passages") > CROWD).alias("crowded")), "anchor").where("last <= most")
     lists = shared.groupBy("first.id").agg(F.collect_list(F.struct("anchor", "digest", "first.lo", "first.n", "crowded")).alias("wanted"))
     texts = named.join(lists, "id").select("id", "text", "wanted")
     words = written(over_batches(texts, _passage_rows(window), "anchor long, digest long, id long, crowded boolean, words binary"),
