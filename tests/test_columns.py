@@ -67,3 +67,10 @@ def test_unpivot_criteria_row_counts(spark):
     assert reshape.unpivot_criteria(df).count() == 2
     crossed = reshape.unpivot_criteria(df, paired=False)
     assert crossed.count() == 4 and crossed.select("criterion", "index_val").distinct().count() == 2
+
+
+def test_long_dictionaries_are_joined(spark):
+    df = spark.createDataFrame([("c1", 1), ("c299", 2), ("other", 3), (None, 4)], "code string, x int")
+    labels = spark.createDataFrame([(f"c{i}", f"label {i}") for i in range(300)] + [("c1", "a smaller label")], "code string, label string")
+    got = {r["x"]: r["code"] for r in reshape.recode_by(df, "code", labels).collect()}
+    assert got == {1: "a smaller label", 2: "label 299", 3: "other", 4: None}

@@ -26,11 +26,14 @@ def test_rank_sums_with_ties(spark):
     assert [got["a", r] for r in (1, 40, 41, 45)] == [(1.0, 1.0), (1.0, 40.0), (2.0, 42.0), (9.0, 58.0)]
 
 
-def test_both_quantile_ways_agree(spark, monkeypatch):
-    df = spark.range(300).select((F.col("id") * 37 % 101).cast("double").alias("x"))
-    small = stats.column_quantiles(df, ["x"], [0.25, 0.5, 0.75])
-    monkeypatch.setattr(stats, "BUFFERED_VALUES", 10)
-    assert stats.column_quantiles(df, ["x"], [0.25, 0.5, 0.75]) == small
+def test_quantiles_equal_sorted_percentiles(spark):
+    df = spark.range(300).select((F.col("id") * 37 % 101).cast("double").alias("x"), F.lit(None).cast("double").alias("none"),
+                                 F.when(F.col("id") % 7 > 0, F.sqrt(F.col("id").cast("double"))).alias("holes"))
+    probs = [0.0, 0.25, 0.5, 0.75, 1.0]
+    got = stats.column_quantiles(df, ["x", "none", "holes"], probs)
+    assert got["none"] == [None] * 5
+    for c in ("x", "holes"):
+        assert got[c] == pytest.approx(df.select(F.percentile(c, probs)).first()[0], abs=1e-12)
 
 
 def test_constant_feature_scales_to_null(spark):

@@ -107,18 +107,23 @@ def _(ws: Workspace):
                    "rgdpna", digits=2)
 
 
-@query("drop_matching", w("""SELECT code, entity, round(R12, 6) AS "R12", round(HDI, 6) AS "HDI" FROM wide"""))
+UNMATCHED = [v for v in views.VARIABLES if scenarios.DROPPED_PATTERN.lower() not in v.lower()]
+
+
+def _sized(names: list[str]) -> str:
+    return ", ".join(f'{by_size_sql(v)} AS "{v}"' for v in names)
+
+
+@query("drop_matching", w(f"SELECT code, entity, {_sized(UNMATCHED)} FROM wide"))
 def _(ws: Workspace):
-    kept = reshape.drop_matching(ws.wide.select("code", "entity", "R12", "HDI", "UrgentShare"),
-                                 scenarios.DROPPED_PATTERN)
-    return rounded(kept, "R12", "HDI")
+    return by_size(reshape.drop_matching(ws.wide, scenarios.DROPPED_PATTERN), *UNMATCHED)
 
 
-@query("select_numeric_except", S.query(S.PANEL, S.WIDE, S.POINTS, select="""
-SELECT round(R12, 6) AS "R12", round(HDI, 6) AS "HDI", unit FROM wide JOIN points USING (code)"""))
+@query("select_numeric_except", S.query(S.PANEL, S.WIDE, S.POINTS, select=f"""
+SELECT {_sized(views.VARIABLES)}, unit FROM wide JOIN points USING (code)"""))
 def _(ws: Workspace):
-    table = ws.wide.select("code", "entity", "R12", "HDI").join(ws.points, "code")
-    return rounded(table.select(*reshape.numeric_columns(table)), "R12", "HDI")
+    table = ws.wide.join(ws.points, "code")
+    return by_size(table.select(*reshape.numeric_columns(table)), *views.VARIABLES)
 
 
 @query("drop_geometry", S.query(S.PANEL, SQUARES, select=f"""
@@ -263,9 +268,10 @@ def _(ws: Workspace):
 
 
 @query("unpivot_rest", w(f"""SELECT code, entity, name, {by_size_sql("value")} AS value
-FROM (SELECT code, entity, R12 AS "R12", HDI AS "HDI", tas FROM wide) UNPIVOT INCLUDE NULLS (value FOR name IN ("R12", "HDI", tas))"""))
+FROM (SELECT code, entity, {", ".join(f'{v} AS "{v}"' for v in views.VARIABLES)} FROM wide)
+UNPIVOT INCLUDE NULLS (value FOR name IN ({", ".join(f'"{v}"' for v in views.VARIABLES)}))"""))
 def _(ws: Workspace):
-    return by_size(reshape.unpivot_rest(ws.wide.select("code", "entity", "R12", "HDI", "tas")), "value")
+    return by_size(reshape.unpivot_rest(ws.wide.select("code", "entity", *views.VARIABLES)), "value")
 
 
 @query("pivot_partitions", "SELECT n_nationkey::BIGINT AS unit, n_regionkey AS region, n_nationkey % 4 AS mod4 FROM nation")
@@ -286,10 +292,12 @@ def _robust_sql(columns, table):
   round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 6) AS iqr FROM {table}""" for c in columns)
 
 
-@query("robust_stats", _robust_sql(["l_quantity", "l_extendedprice", "l_discount"], "lineitem"))
+MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("robust_stats", _robust_sql(MEASURES, "lineitem"))
 def _(ws: Workspace):
-    lines = ws.star("lineitem")
-    return rounded(stats.robust_stats(lines, ["l_quantity", "l_extendedprice", "l_discount"]), "median", "iqr")
+    return rounded(stats.robust_stats(ws.star("lineitem"), MEASURES), "median", "iqr")
 
 
 CORR_COLUMNS = ["R12", "R34", "HDI", "rgdpna", "TradeOpenness", "cdd", "tas", "UrgentShare"]

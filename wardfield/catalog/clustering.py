@@ -476,10 +476,10 @@ def _(ws: Workspace):
     return rounded(ws.main.index_table(), "index_ch", "index_max")
 
 
-@query("union_indices", b(SIDE + " WHERE index IN ('Sil', 'Dunn')", *SCORED))
+@query("union_indices", b(SIDE, *SCORED))
 def _(ws: Workspace):
     table = ws.main.index_table()
-    stacked = reshape.stacked(*[table.where(F.col("index") == i) for i in ("Sil", "Dunn")])
+    stacked = reshape.stacked(*[table.where(F.col("index") == i) for i in C.INDEX_LABELS])
     return rounded(stacked, "index_ch", "index_max")
 
 
@@ -499,18 +499,23 @@ def _(ws: Workspace):
 def _unpivot_sql(paired: bool) -> str:
     pairs_ = [("ch", "ch"), ("max", "max")] if paired else [(x, y) for x in ("ch", "max") for y in ("ch", "max")]
     return b("\nUNION ALL ".join(
-        f"""SELECT index, k, 'Index_{v}' AS criterion, {r(f'index_{v}')} AS index_val, 'alpha_star_{a}' AS alpha,
-  alpha_star_{a} AS alpha_val FROM side_by_side WHERE scenario = 'R12'""" for v, a in pairs_), *SCORED)
+        f"""SELECT scenario, index, k, 'Index_{v}' AS criterion, {r(f'index_{v}')} AS index_val, 'alpha_star_{a}' AS alpha,
+  alpha_star_{a} AS alpha_val FROM side_by_side""" for v, a in pairs_), *SCORED)
+
+
+def _each_target(table, make):
+    """``make`` of the rows of each target, one table with the target as ``scenario``."""
+    return reshape.stacked(*[make(table.where(F.col("scenario") == t)).withColumn("scenario", F.lit(t)) for t in ("R12", "R34")])
 
 
 @query("unpivot_criteria", _unpivot_sql(True))
 def _(ws: Workspace):
-    return rounded(reshape.unpivot_criteria(ws.main.index_table().where("scenario = 'R12'")), "index_val")
+    return rounded(_each_target(ws.main.index_table(), reshape.unpivot_criteria), "index_val")
 
 
 @query("unpivot_criteria_crossed", _unpivot_sql(False))
 def _(ws: Workspace):
-    return rounded(reshape.unpivot_criteria(ws.main.index_table().where("scenario = 'R12'"), paired=False), "index_val")
+    return rounded(_each_target(ws.main.index_table(), lambda t: reshape.unpivot_criteria(t, paired=False)), "index_val")
 
 
 GAIN = """joined AS (
@@ -553,17 +558,17 @@ def _(ws: Workspace):
 
 
 @query("index_plot_table", b("\nUNION ALL ".join(
-    f"SELECT {S.LABEL_CASE} AS index, k, {S.criterion_case(f'''{chr(39)}Index_{v}{chr(39)}''')} AS criterion, {r(f'index_{v}')} AS index_val FROM side_by_side WHERE scenario = 'R12'"
+    f"SELECT scenario, {S.LABEL_CASE} AS index, k, {S.criterion_case(f'''{chr(39)}Index_{v}{chr(39)}''')} AS criterion, {r(f'index_{v}')} AS index_val FROM side_by_side"
     for v in ("ch", "max")), *SCORED))
 def _(ws: Workspace):
-    return rounded(study.index_plot_table(ws.main.index_table().where("scenario = 'R12'")), "index_val")
+    return rounded(_each_target(ws.main.index_table(), study.index_plot_table), "index_val")
 
 
 @query("alpha_plot_table", b("\nUNION ".join(
-    f"SELECT k, {S.criterion_case(f'''{chr(39)}alpha_star_{v}{chr(39)}''')} AS criterion, alpha_star_{v} / 100.0 AS alpha_star FROM side_by_side WHERE scenario = 'R12'"
+    f"SELECT scenario, k, {S.criterion_case(f'''{chr(39)}alpha_star_{v}{chr(39)}''')} AS criterion, alpha_star_{v} / 100.0 AS alpha_star FROM side_by_side"
     for v in ("ch", "max")), *SCORED))
 def _(ws: Workspace):
-    return study.alpha_plot_table(ws.main.index_table().where("scenario = 'R12'"))
+    return _each_target(ws.main.index_table(), study.alpha_plot_table)
 
 
 # ---- comparison and profiles -----------------------------------------------
@@ -636,23 +641,26 @@ def _(ws: Workspace):
     return rounded(compare.adjusted_rand(ws.given_labels), "ari")
 
 
-KEYED = [*FINAL, f"keyed AS MATERIALIZED (SELECT {S.COMBO_KEY} AS key, unit, cluster FROM final WHERE scenario = 'R12')"]
+KEYED = [*FINAL, f"keyed AS MATERIALIZED (SELECT scenario || '|' || {S.COMBO_KEY} AS key, unit, cluster FROM final)", S.ari("keyed"),
+         """within AS (SELECT split_part(left_key, '|', 1) AS scenario, split_part(left_key, '|', 2) AS left_key,
+  split_part(right_key, '|', 2) AS right_key, ari FROM agreement WHERE split_part(left_key, '|', 1) = split_part(right_key, '|', 1))"""]
 COMBO_NAMES = ["K=4 & Alpha=0.6", "K=5 & Alpha=0.62", "K=4 & Alpha=0", "K=5 & Alpha=0"]
 
 
-@query("ari_matrix", b(f"SELECT left_key, right_key, {r('ari')} AS ari FROM agreement", *KEYED, S.ari("keyed")))
+@query("ari_matrix", b(f"SELECT scenario, left_key, right_key, {r('ari')} AS ari FROM within", *KEYED))
 def _(ws: Workspace):
-    return rounded(study.ari_matrix(ws.final.where("scenario = 'R12'")), "ari")
+    return rounded(_each_target(ws.final, study.ari_matrix), "ari")
 
 
-@query("write_ari", b("SELECT left_key, " + ", ".join(
+@query("write_ari", b("SELECT scenario, left_key, " + ", ".join(
     f"""{r(f"max(ari) FILTER (WHERE right_key = '{n}')")} AS "{n}" """ for n in COMBO_NAMES)
-    + " FROM agreement GROUP BY left_key", *KEYED, S.ari("keyed")))
+    + " FROM within GROUP BY scenario, left_key", *KEYED))
 def _(ws: Workspace):
-    path = new_folder(ws.spark, "ari")
-    sinks.write_ari(study.ari_matrix(ws.final.where("scenario = 'R12'")), COMBO_NAMES, path)
-    back = ws.spark.read.parquet(path)
-    return rounded(back, *COMBO_NAMES)
+    def wrote(labels):
+        path = new_folder(ws.spark, "ari")
+        sinks.write_ari(study.ari_matrix(labels), COMBO_NAMES, path)
+        return ws.spark.read.parquet(path)
+    return rounded(_each_target(ws.final, wrote), *COMBO_NAMES)
 
 
 # ---- scenarios -------------------------------------------------------------

@@ -6,6 +6,8 @@ them together in order.
 
 from __future__ import annotations
 
+from ..functions.columns import CRITERION_LABELS, INDEX_LABELS
+
 FULL, EARLY = "avg_1995_2001", "avg_1995_1998"
 VARIABLES = ["R12", "R34", "hd40", "HDI", "rgdpna", "TradeOpenness", "cdd", "tas", "UrgentShare"]
 
@@ -261,14 +263,11 @@ def alpha_text(c: str = "alpha_step") -> str:
 COMBO_KEY = f"('K=' || k::VARCHAR || ' & Alpha=' || {alpha_text()})"
 COMBO_COLUMN = f"('Cluster_K=' || k::VARCHAR || 'Alpha=' || {alpha_text()})"
 
-LABEL_CASE = """CASE index WHEN 'Sil' THEN 'Silhouette (Rousseeuw, 1987) -- Max' WHEN 'Dunn' THEN 'Dunn (1974) -- Max'
-  WHEN 'McClain' THEN 'McClain and Rao (1975) -- Min' WHEN 'Cindex' THEN 'C-index (Hubert and Levin, 1976) -- Min'
-  WHEN 'CH' THEN 'Calinski and Harabasz (1974) -- Max' ELSE index END"""
+LABEL_CASE = "CASE index " + " ".join(f"WHEN '{code}' THEN '{label}'" for code, label in INDEX_LABELS.items()) + " ELSE index END"
 
 
 def criterion_case(c: str) -> str:
-    return (f"CASE WHEN {c} LIKE '%max%' THEN 'Morelli et al. (2024)' "
-            f"WHEN {c} LIKE '%ch%' THEN 'Chavent et al. (2018)' ELSE {c} END")
+    return "CASE " + " ".join(f"WHEN {c} LIKE '%{part}%' THEN '{label}'" for part, label in CRITERION_LABELS) + f" ELSE {c} END"
 
 
 def query(*blocks, select: str) -> str:

@@ -23,8 +23,6 @@ CRITERION_LABELS = [
 MIN_IS_BEST = ["Cindex", "McClain"]
 # ----------------------------------------------------------------------------
 
-DICTIONARY_LIMIT = 200
-
 
 def safe_div(a: Column, b: Column) -> Column:
     """a / b, NULL where b is zero (a plain division raises in ANSI mode)."""
@@ -54,10 +52,8 @@ def cast_label(c: Column) -> Column:
 
 
 def recode(c: Column, labels: Mapping[str, str], default: Column | None = None) -> Column:
-    """Replace known codes, keep the others (or ``default``)."""
+    """Replace known codes, keep the others (or ``default``). Long dictionaries belong in a table: see ``reshape.recode_by``."""
     other = c if default is None else default
-    if len(labels) > DICTIONARY_LIMIT:
-        raise ValueError("long dictionaries belong in a table: join them")
     out = None
     for code, label in labels.items():
         out = (F if out is None else out).when(c == code, F.lit(label))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..state import written
+from ..state import maybe_broadcast, written, written_counted
 
 # Polygons are heavy rows: only this many are broadcast.
 BROADCAST_SHAPES = 5_000
@@ -43,6 +43,18 @@ def drop_geometry(df: DataFrame) -> DataFrame:
     return df.drop("parts")
 
 
+def recode_by(df: DataFrame, column: str, labels: DataFrame) -> DataFrame:
+    """Replace the codes of ``column`` by a table ``labels(code, label)``; codes it lacks stay, NULL too.
+
+    For dictionaries too long for an expression. A code listed twice takes its smallest label. The
+    dictionary is broadcast only if its counted rows are few.
+    """
+    one = labels.groupBy(F.col("code").alias("recoded_from")).agg(F.min("label").alias("recoded_to"))
+    known, seen = written_counted(one, "labels")
+    found = df.join(maybe_broadcast(known, seen["rows"]), F.col(column) == F.col("recoded_from"), "left")
+    return found.withColumn(column, F.coalesce("recoded_to", column)).drop("recoded_from", "recoded_to")
+
+
 def known_units(df: DataFrame, column: str = "entity") -> DataFrame:
     return df.where(F.col(column).isNotNull())
 

@@ -9,21 +9,17 @@ from ..functions.columns import no_nan, safe_div
 from ..state import maybe_broadcast, written_counted
 from .ranks import quantiles
 
-# Up to this many values an exact percentile may live in one aggregation buffer.
-BUFFERED_VALUES = 1_000_000
-
 
 def count_groups(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).count().withColumnRenamed("count", "n")
 
 
-def _exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
-                     rows: int) -> dict[str, list[float | None]]:
-    """Linear-interpolation quantiles per column, read on the driver (a few numbers per column)."""
-    if rows <= BUFFERED_VALUES:
-        aggs = [F.percentile(no_nan(F.col(c).cast("double")), list(probs)).alias(c) for c in columns]
-        got = df.agg(*aggs).first()
-        return {c: list(got[c]) if got[c] is not None else [None] * len(probs) for c in columns}
+def column_quantiles(df: DataFrame, columns: list[str],
+                     probs: list[float]) -> dict[str, list[float | None]]:
+    """Linear-interpolation quantiles per column, read on the driver (a few numbers per column).
+
+    Ranks are found by histogram passes at every size, so no buffer grows with the values.
+    """
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("key"), no_nan(F.col(c).cast("double")).alias("v")) for c in columns
     ])).alias("r")).select("r.key", "r.v")
@@ -31,20 +27,15 @@ def _exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
     return {c: got.get(c, [None] * len(probs)) for c in columns}
 
 
-def column_quantiles(df: DataFrame, columns: list[str],
-                     probs: list[float]) -> dict[str, list[float | None]]:
-    return _exact_quantiles(df, columns, probs, df.count())
-
-
 def panel_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """min, q1, median, mean, q3, max and missing count, one row per column."""
-    stats = [F.count(F.lit(1)).alias("rows")]
+    stats = []
     for c in columns:
         v = no_nan(F.col(c).cast("double"))
         stats += [F.min(v).alias(f"{c}|min"), F.avg(v).alias(f"{c}|mean"), F.max(v).alias(f"{c}|max"),
                   F.count_if(v.isNull()).alias(f"{c}|n_missing")]
     base = df.agg(*stats).first()
-    q = _exact_quantiles(df, columns, [0.25, 0.5, 0.75], base["rows"])
+    q = column_quantiles(df, columns, [0.25, 0.5, 0.75])
     rows = [(c, base[f"{c}|min"], q[c][0], q[c][1], base[f"{c}|mean"], q[c][2], base[f"{c}|max"],
              base[f"{c}|n_missing"]) for c in columns]
     return df.sparkSession.createDataFrame(
