@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -59,6 +61,27 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{state_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of each query go when it ends; the caller's setting returns afterwards.
+
+    A table that is written is not computed again, so nothing asks for its shuffles later; without
+    this they would stay on the executors' disks until the driver collects garbage.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back: later plans start from the table.
 
@@ -67,10 +90,17 @@ def written(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or new_folder(spark, label)
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of :func:`written` or :class:`Rounds` that no later plan reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
 def written_counted(df: DataFrame, label: str, path: str | None = None,
                     **metrics) -> tuple[DataFrame, dict]:
     """Like :func:`written`, with aggregates gathered during the same write."""
@@ -111,7 +141,8 @@ class Rounds:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write a table, of this session or the caller's, and open it in this one."""
         path = f"{self.folder}/{name}"
-        df.write.parquet(path)
+        with shuffles_freed(df.sparkSession):
+            df.write.parquet(path)
         return self.session.read.schema(df.schema).parquet(path)
 
     def keep_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -120,6 +151,10 @@ class Rounds:
         table = self.keep(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
         return table, seen.get["rows"]
 
+    def drop(self, name: str) -> None:
+        """Delete a kept table once the next one is written from it."""
+        discard(self.session, f"{self.folder}/{name}")
+
     def give(self, tables: list[DataFrame], spark: SparkSession) -> DataFrame:
         """The tables of all steps as one table of the caller's session."""
         path = f"{self.folder}/result"
