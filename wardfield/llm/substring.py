@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..state import written
+from ..state import discard, new_folder, written
 from .common import held, mixed, new_name, over_batches, words_of
 from .fmindex import Index
 
@@ -196,8 +196,9 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     their words are.
     """
     named = documents.where("id is not null")
+    folder = new_folder(documents.sparkSession, "substring")
     rows = written(over_batches(named.select("id", "text"), _anchor_rows(window),
-                                "anchor long, digest long, id long, lo int, n int"), "substring-anchors")
+                                "anchor long, digest long, id long, lo int, n int"), "substring-anchors", f"{folder}/anchors")
     passages = rows.groupBy("anchor", "digest").agg(
         F.min(F.struct("id", "lo", "n")).alias("first"), F.max("id").alias("last"))
     crowd = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"), F.min("first").alias("least"),
@@ -207,25 +208,28 @@ def repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     lists = shared.groupBy("first.id").agg(F.collect_list(F.struct("anchor", "digest", "first.lo", "first.n", "crowded")).alias("wanted"))
     texts = named.join(lists, "id").select("id", "text", "wanted")
     words = written(over_batches(texts, _passage_rows(window), "anchor long, digest long, id long, crowded boolean, words binary"),
-                    "substring-passages")
-    found = written(_judged(words.where("not crowded"), window).unionByName(_crowded(words.where("crowded"), window)), "substring-least")
+                    "substring-passages", f"{folder}/passages")
+    judged = _judged(words.where("not crowded"), window).unionByName(_crowded(words.where("crowded"), window, folder))
+    found = written(judged, "substring-least", f"{folder}/least")
+    for spent in ("passages", "windows", "counted"):
+        discard(documents.sparkSession, f"{folder}/{spent}")
     marked = rows.select("anchor", "digest", "id", "lo").join(found, ["anchor", "digest"])
     covered = over_batches(marked.select("id", "digest", "lo", "least"), _spans(window),
                            "id long, digest long, lo int, words int, spans array<struct<start:int,stop:int>>")
     return covered.groupBy("id").agg(F.collect_list(F.struct("digest", "lo", "words", "spans")).alias("spans"))
 
 
-def _crowded(passages: DataFrame, window: int) -> DataFrame:
+def _crowded(passages: DataFrame, window: int, folder: str) -> DataFrame:
     """The smallest owner of every window of passages around crowded anchors.
 
     Windows are summed by digest before they move; those of one passage only belong to it, the others are dealt
     to shards by their digest, each as a passage of its own.
     """
     singles = written(over_batches(passages, _window_rows(window), "anchor long, digest long, id long, j int, whole long"),
-                      "substring-windows")
+                      "substring-windows", f"{folder}/windows")
     counted = singles.groupBy("whole").agg(F.min(F.struct("id", "anchor", "digest", "j")).alias("first"),
                                            F.min(F.struct("anchor", "digest")).alias("one"), F.max(F.struct("anchor", "digest")).alias("other"))
-    counted = written(counted.select("whole", "first.*", (F.col("one") == F.col("other")).alias("alone")), "substring-counted")
+    counted = written(counted.select("whole", "first.*", (F.col("one") == F.col("other")).alias("alone")), "substring-counted", f"{folder}/counted")
     again = counted.where("not alone").join(passages.drop("id"), ["anchor", "digest"]).select(
         F.col("whole").alias("anchor"), F.col("whole").alias("digest"), "id",
         F.substring("words", F.col("j") * 8 + 1, F.lit(8 * window)).alias("words"))
