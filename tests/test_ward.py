@@ -1,11 +1,13 @@
 import itertools
 import math
 import random
+from pathlib import Path
 
 import brute
 import pytest
 from pyspark.sql import functions as F
 
+from wardfield import state
 from wardfield.functions.arrays import euclidean
 from wardfield.operators import cut, inertia, pairs, tiles, ward
 from wardfield.state import written
@@ -58,16 +60,25 @@ def test_linear_tree_equals_sequential_updates(given):
     check_merges(ward.ward_tree(given[2], given[3], [30], "linear"), given[0], given[1], "linear", 30)
 
 
-def test_cuts_equal_brute_force_both_ways(given, squared):
+def test_cuts_equal_brute_force(given, squared):
     d0, d1 = given[:2]
     ks = [2, 3, 5, 9, N, N + 4]
-    replay = cut.cut_tree(squared, ks)
-    pointers = cut.cut_tree(squared, ks, replay_units=0)
     want = {(a, k, u): c for a in (0, 40, 100) for k in ks if k <= N
             for u, c in enumerate(brute.cut(N, brute.ward(N, d0, d1, a / 100, "squared"), k))}
-    for labels in (replay, pointers):
-        got = {(r["alpha_step"], r["k"], r["unit"]): r["cluster"] for r in labels.collect()}
-        assert got == want
+    got = {(r["alpha_step"], r["k"], r["unit"]): r["cluster"] for r in cut.cut_tree(squared, ks).collect()}
+    assert got == want
+
+
+def test_rounds_leave_no_old_states_and_keep_settings(spark, given):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, root = spark.conf.get(key, None), Path(state.state_root(spark).removeprefix("file://"))
+    known = set(root.iterdir()) if root.exists() else set()
+    ward.ward_tree(given[2], given[3], [30], "squared")
+    folders = [f for f in root.iterdir() if f not in known and f.name.startswith("ward-squared")]
+    assert len(folders) == 1
+    names = [f.name for f in folders[0].iterdir()]
+    assert sum(n.startswith("state-") for n in names) <= 1 and any(n.startswith("merges-") for n in names)
+    assert spark.conf.get(key, None) == before
 
 
 def test_inertia_along_the_tree(given, squared):

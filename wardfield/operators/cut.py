@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..state import maybe_broadcast, written, written_counted
 from .ward import GROUP, Tree
 
-# Up to this many units a tree's merges are replayed from one array.
-REPLAY_UNITS = 1_000
-
 
 def top_merges(tree: Tree, count: int) -> DataFrame:
     """The last ``count`` merges of each tree, ``top`` = 1 for the root.
@@ -33,27 +30,13 @@ def _follow(merges, start):
     return F.aggregate(merges, start, lambda cid, m: F.when(cid == m["right"], m["left"]).otherwise(cid))
 
 
-def _roots_by_replay(tree: Tree, k_max: int) -> DataFrame:
+def _roots(tree: Tree, k_max: int) -> DataFrame:
     """Each unit's cluster at the ``k_max`` cut, with the last merges ``top`` (root last).
 
-    A tree's merges fit one short array here, so a cut is one grouped pass and a
-    join of one row per tree.
-    """
-    merge = F.struct("height", "round", "left", "right")
-    one = tree.merges.groupBy(*GROUP).agg(F.sort_array(F.collect_list(merge)).alias("m"))
-    upper = F.least(F.size("m"), F.lit(k_max - 1))
-    lower = F.slice("m", 1, F.size("m") - upper)
-    arrays = one.select(*GROUP, lower.alias("lower"), F.slice("m", F.size("m") - upper + 1, upper).alias("top"))
-    # All arrays together hold one entry per merge.
-    joined = _unit_rows(tree).join(maybe_broadcast(arrays, tree.cluster_rows), GROUP, "left")
-    return joined.select(*GROUP, "unit", F.coalesce(_follow("lower", F.col("unit")), "unit").alias("cid"), "top")
-
-
-def _roots_by_pointers(tree: Tree, k_max: int) -> DataFrame:
-    """The same for trees of any size.
-
     Every vanished id points to the id that took it in, so the pointers form a
-    forest; following them in doubling steps takes log2(depth) joins.
+    forest; following them in doubling steps takes log2(depth) joins. A unit that
+    has reached a root is ``open`` no more and joins no further, so the few roots
+    that many units share are no join keys of later steps.
     """
     top = written(top_merges(tree, k_max - 1), "top")
     trees = len(tree.sizes) * len(tree.alpha_steps)
@@ -61,32 +44,28 @@ def _roots_by_pointers(tree: Tree, k_max: int) -> DataFrame:
                              [*GROUP, "right"], "left_anti").select(
         *GROUP, F.col("right").alias("unit"), F.col("left").alias("to"))
     at = _unit_rows(tree).join(lower, [*GROUP, "unit"], "left").select(
-        *GROUP, "unit", F.coalesce("to", "unit").alias("cid"))
-    moved = F.count_if(F.col("cid") != F.col("unit"))
-    at, seen = written_counted(at, "roots", moved=moved)
-    while seen["moved"]:
-        nxt = at.where(F.col("cid") != F.col("unit")).select(
-            *GROUP, F.col("unit").alias("cid"), F.col("cid").alias("to"))
-        hop = at.join(maybe_broadcast(nxt, seen["moved"]), [*GROUP, "cid"], "left").select(
-            *GROUP, "unit", F.coalesce("to", "cid").alias("cid"), F.col("to").isNotNull().alias("hopped"))
-        at, seen = written_counted(hop, "roots", moved=moved, hopped=F.count_if(F.col("hopped")))
-        at = at.drop("hopped")
-        if not seen["hopped"]:
-            break
+        *GROUP, "unit", F.coalesce("to", "unit").alias("cid"), F.col("to").isNotNull().alias("open"))
+    count = {"moved": F.count_if(F.col("cid") != F.col("unit")), "left": F.count_if(F.col("open"))}
+    at, seen = written_counted(at, "roots", **count)
+    while seen["left"]:
+        pointers = at.where(F.col("cid") != F.col("unit")).select(
+            *GROUP, F.col("unit").alias("cid"), F.col("cid").alias("to"), F.col("open").alias("further"))
+        hop = at.where("open").join(maybe_broadcast(pointers, seen["moved"]), [*GROUP, "cid"], "left").select(
+            *GROUP, "unit", F.coalesce("to", "cid").alias("cid"), F.coalesce("further", F.lit(False)).alias("open"))
+        at, seen = written_counted(at.where("not open").unionByName(hop), "roots", **count)
     # At most k_max - 1 merges per tree, in the order they happen.
     last = top.groupBy(*GROUP).agg(F.reverse(F.sort_array(F.collect_list(
         F.struct("top", "left", "right")))).alias("top"))
-    return at.join(maybe_broadcast(last, trees * k_max), GROUP, "left")
+    return at.drop("open").join(maybe_broadcast(last, trees * k_max), GROUP, "left")
 
 
-def cut_tree(tree: Tree, ks: list[int], replay_units: int = REPLAY_UNITS) -> DataFrame:
+def cut_tree(tree: Tree, ks: list[int]) -> DataFrame:
     """labels(scenario, alpha_step, k, unit, cluster) for every requested number of clusters.
 
     Clusters are numbered in the order of their first unit. A k above the unit
     count has no partition and gives no rows.
     """
-    roots = _roots_by_replay if max(tree.sizes.values(), default=0) <= replay_units else _roots_by_pointers
-    base = roots(tree, max(ks))
+    base = _roots(tree, max(ks))
     n = F.create_map(*[F.lit(x) for kv in tree.sizes.items() for x in kv])[F.col("scenario")]
     k = F.explode(F.filter(F.array(*[F.lit(int(v)) for v in ks]), lambda v: v <= n)).alias("k")
     rows = base.select(*GROUP, "unit", "cid", "top", k)

@@ -17,8 +17,6 @@ from ..state import maybe_broadcast, written_counted
 
 # Units per block of a pair table: a task holds at most this many against as many.
 PAIR_BLOCK = 256
-# Largest unit set for which a pair table (a dissimilarity matrix) may be written.
-PAIR_UNITS = 50_000
 
 
 def unit_pairs(units: DataFrame, payload: list[str], by: list[str] | None = None) -> DataFrame:
@@ -26,13 +24,10 @@ def unit_pairs(units: DataFrame, payload: list[str], by: list[str] | None = None
 
     Units are hashed into blocks and joined by block pair, an equi-join whose
     tasks hold at most one block against another, whatever the unit count.
-    The table has n (n - 1) / 2 rows, so n is checked first.
+    The table has n (n - 1) / 2 rows by definition.
     """
     by = ["scenario"] if by is None else by
     sizes = units.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if sizes > PAIR_UNITS:
-        raise ValueError(f"{sizes} units: a pair table is for at most {PAIR_UNITS}; "
-                         "use the tiled operators, which keep linear state")
     blocks = max(1, -(-sizes // PAIR_BLOCK))
     block = F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int")
     base = units.select(*by, "unit", *payload).withColumn("blk", block)

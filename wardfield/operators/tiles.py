@@ -358,20 +358,21 @@ def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[flo
     clusters = rounds.keep(units.select(
         F.lit(scenario).alias("scenario"), steps, F.col("unit").cast("bigint"), F.lit(1.0 / n).alias("w"),
         weighted.alias("z"), F.lit(0.0).alias("h")), "clusters-0")
-    alive, trees = n * len(alpha_steps), len(alpha_steps)
-    while alive > trees:
+    left = {int(a): n for a in alpha_steps}
+    while max(left.values()) > 1:
         step = len(done) + 1
-        # Every tree has at most this many clusters left.
-        per_tree = min(n, alive - trees + 1)
+        alive, per_tree = sum(left.values()), max(left.values())
         rounds.fit(alive * block_count(per_tree, block_rows))
         formed = _merged_vectors(clusters, _nearest(clusters, per_tree, split, scale, block_rows), split, scale, step)
         merges, merged = rounds.keep_counted(formed, f"merges-{step}")
         done.append(merges.drop("w", "z"))
-        alive -= merged
-        if alive > trees:
+        for a, count in merges.groupBy("alpha_step").count().collect():  # one row per weight
+            left[a] -= count
+        if max(left.values()) > 1:
             touched = merges.select("alpha_step", F.explode(F.array("left", "right")).alias("unit"))
             kept = clusters.join(maybe_broadcast(touched, 2 * merged), ["alpha_step", "unit"], "left_anti")
             fresh = merges.select(*GROUP, F.col("left").alias("unit"), "w", "z", F.col("height").alias("h"))
             clusters = rounds.keep(kept.select(fresh.columns).unionByName(fresh), f"clusters-{step}")
+        rounds.drop(f"clusters-{step - 1}")
     return Tree(units.select(F.lit(scenario).alias("scenario"), "unit"), all_merges(rounds, done, spark),
                 list(alpha_steps), {scenario: n})

@@ -191,6 +191,7 @@ def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: s
         if clusters > trees:
             moved = rounds.session.sql(_relabel_sql(merged), state=state, merges=merges)
             state = rounds.keep(moved, f"state-{step}")
+        rounds.drop(f"state-{step - 1}")
     return Tree(units.select("scenario", "unit"), all_merges(rounds, done, spark), list(alpha_steps), sizes)
 
 
