@@ -88,6 +88,16 @@ def test_index_answers_backward_search():
         assert got.tolist() == [first.get(tuple(p[s:s + window]), -1) for s in range(len(p) - window + 1)]
 
 
+@pytest.mark.parametrize("window", [2, 4, 5, 50])
+@pytest.mark.parametrize("copies", [1, 2])
+def test_index_of_one_short_passage(window, copies):
+    for size in range(window, 2 * window + 1):
+        for words in (np.arange(size), np.full(size, 9)):  # fewer symbols than the widest step of the suffix order
+            passages = [words.astype(np.uint64)] * copies
+            index = fmindex.Index(passages, np.arange(copies)[::-1] + 3, window)
+            assert [x.tolist() for x in index.owners_of(passages)] == [[3] * (size - window + 1)] * copies
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

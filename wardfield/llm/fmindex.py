@@ -62,7 +62,7 @@ def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray
     while length < depth:
         c = classes[-1]
         ahead = np.zeros(n, np.int64)
-        ahead[:n - length] = c[length:] + 1
+        ahead[:max(n - length, 0)] = c[length:] + 1  # a text shorter than the step has nothing ahead
         key = c * (int(c.max()) + 2) + ahead
         order = np.argsort(key)
         rank = np.empty(n, np.int64)
