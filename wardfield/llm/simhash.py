@@ -8,7 +8,7 @@ verified bit by bit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -193,10 +193,10 @@ def near_duplicates(documents: DataFrame, id_: str = "doc_id", text: str = "text
     return with_components(marked, id_)
 
 
-def with_components(marked: DataFrame, id_: str) -> DataFrame:
-    """Adds ``component_id`` to rows that carry ``fingerprint``."""
+def with_components(marked: DataFrame, id_: str, find: Callable[[DataFrame], DataFrame] = links) -> DataFrame:
+    """Adds ``component_id`` to rows that carry ``fingerprint``; ``find`` gives the links of the distinct ones."""
     firsts = written(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_).alias("least")), "simhash-fp")
-    roots = components(written(links(firsts.select("fp")), "simhash-links"))
+    roots = components(written(find(firsts.select("fp")), "simhash-links"))
     joined = firsts.join(roots, firsts["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("least").alias("smallest"))
@@ -214,7 +214,11 @@ def keep_one(documents: DataFrame, id_: str = "doc_id", text: str = "text", widt
     slim = with_fingerprint(documents.select(id_, text), text, new := new_name(documents, "fingerprint"), width)
     slim = written(slim.select(F.col(id_).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"),
                                F.col(new).alias("fingerprint")), "simhash-slim")
-    classes = with_components(slim, "id")
+    return first_of_each(documents, with_components(slim, "id"), id_, text)
+
+
+def first_of_each(documents: DataFrame, classes: DataFrame, id_: str, text: str) -> DataFrame:
+    """The rows of ``documents`` that :func:`keep_one` keeps, by ``classes(id, h, fingerprint, component_id)``."""
     root = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("no id "), F.col("fingerprint")))
     first = (classes.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn("root", root)
              .groupBy("root").agg(F.min(F.struct("id", "h")).alias("f")))
