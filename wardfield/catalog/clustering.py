@@ -557,6 +557,23 @@ def _(ws: Workspace):
     return rounded(hit.select("scenario", "index", "criterion", "k", "value"), "value")
 
 
+#: The points the analysis marks, per target.
+MARKED = [("R12", "Cindex", "ch", 4), ("R12", "Cindex", "max", 4), ("R12", "CH", "ch", 4), ("R12", "CH", "max", 5),
+          ("R12", "Dunn", "max", 14), ("R12", "Dunn", "ch", 8), ("R12", "McClain", "ch", 2), ("R12", "McClain", "max", 2),
+          ("R12", "Sil", "ch", 3), ("R12", "Sil", "max", 5),
+          ("R34", "Cindex", "max", 5), ("R34", "Cindex", "ch", 15), ("R34", "CH", "ch", 3), ("R34", "CH", "max", 4),
+          ("R34", "Dunn", "max", 3), ("R34", "Dunn", "ch", 4), ("R34", "McClain", "ch", 2), ("R34", "McClain", "max", 2),
+          ("R34", "Sil", "ch", 3), ("R34", "Sil", "max", 4)]
+
+
+@query("marked_points", b(f"""SELECT scenario, index, criterion, k, {r('value')} AS value FROM by_criterion
+WHERE (scenario, index, criterion, k) IN ({', '.join(map(str, MARKED))})""", *SCORED))
+def _(ws: Workspace):
+    marks = ws.spark.createDataFrame(MARKED, "scenario string, index string, criterion string, k int")
+    hit = reshape.filter_points(ws.main.index_by_criterion, marks)
+    return rounded(hit.select("scenario", "index", "criterion", "k", "value"), "value")
+
+
 @query("index_plot_table", b("\nUNION ALL ".join(
     f"SELECT scenario, {S.LABEL_CASE} AS index, k, {S.criterion_case(f'''{chr(39)}Index_{v}{chr(39)}''')} AS criterion, {r(f'index_{v}')} AS index_val FROM side_by_side"
     for v in ("ch", "max")), *SCORED))
