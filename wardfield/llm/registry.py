@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, lm, mixing, pieces, quality, rules, simhash, substring, topk
+from . import chat, language, lm, mixing, pieces, quality, rules, setsketch, simhash, spelling, substring, topk, whitening
 from .common import fold, split_words, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,18 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_quality_classifier")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("op11_setsketch")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return setsketch.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, folder, "embeddings"))
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
