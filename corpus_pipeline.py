@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardfield.llm import language, mixing, near, pieces, registry, substring
+from wardfield.llm import language, mixing, pieces, registry, simhash, substring
+from wardfield.llm.common import new_name
 from wardfield.state import written
 
 #: A document is rejected if its language is unknown or has a smaller mean probability than this.
@@ -23,8 +24,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, Jaccard similarity 0.8 or more."""
-    return near.keep_one(docs, width=5, similarity=0.8)
+    """One document of each component of SimHash fingerprints, as ``op5_simhash`` links them: three words, three bits."""
+    return simhash.keep_one(docs, width=3)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once; small sources repeat, up to the production limits of the mixture."""
-    return mixing.mix(docs, **registry.MIXTURE).select(*docs.columns)
+    """Every document at least once; small sources repeat, up to the production limits of the mixture.
+
+    The rows are ordered by block, scattered inside one, so that the files written from them hold the sources at their weights
+    throughout and passes over a source don't leave as neighbours.
+    """
+    epoch, block = new_name(docs, "epoch"), new_name(docs, "block")
+    mixed = mixing.mix(docs, **registry.MIXTURE, epoch=epoch, block=block)
+    order = [F.col(block), F.xxhash64(F.col(epoch), F.col("doc_id"), F.xxhash64("text"))]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
