@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,13 +48,28 @@ def over_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterato
                  schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` with this package shipped to the workers, and batches of a bounded size.
 
-    The bound is a setting of the session, read when the query runs; a caller's own value stays.
+    The bound is a setting of the session, read when the query runs; a caller's own value stays. A worker serves many
+    tasks: what one has freed goes back to the system when it ends.
     """
     spark = df.sparkSession
     ship_package(spark)
     if spark.conf.get(_BYTES_SETTING, None) is None:
         spark.conf.set(_BYTES_SETTING, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where the platform can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 _HELD: dict[str, object] = {}

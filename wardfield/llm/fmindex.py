@@ -57,21 +57,20 @@ def _suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray
     Suffixes that agree so far are in text order. Separators make every longer run end.
     """
     n = len(text)
-    classes = [text.astype(np.int64)]
+    classes = [text.astype(np.int32)]
     length = 1
     while length < depth:
         c = classes[-1]
         ahead = np.zeros(n, np.int64)
         ahead[:max(n - length, 0)] = c[length:] + 1  # a text shorter than the step has nothing ahead
-        key = c * (int(c.max()) + 2) + ahead
+        key = c * np.int64(int(c.max()) + 2) + ahead
         order = np.argsort(key)
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         sorted_ = key[order]
-        rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
+        rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]], dtype=np.int32)
         classes.append(rank)
         length *= 2
-    key = classes[-1] * n + np.arange(n)
-    return np.argsort(key), classes
+    return np.argsort(classes[-1], kind="stable"), classes
 
 
 class Index:

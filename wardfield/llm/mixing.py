@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..state import written
+from ..state import maybe_broadcast, written, written_counted
 from .common import new_name, split_words
 
 #: Each round of the search tries this many exponents at once, and so narrows the interval by as much.
@@ -127,16 +127,20 @@ def mix(documents: DataFrame, entropy: float | None = None, max_repeats: float |
     empty texts have no tokens, ride along with their source, and never pass a budget. Rows that repeat id and
     text stay or go together. An empty table stays empty. ``epoch`` and ``block`` must be new names.
     """
+    clash = {epoch.lower(), block.lower()} & {c.lower() for c in documents.columns}
+    if clash:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
     n, key = new_name(documents, "mix_tokens"), new_name(documents, "mix_key")
     marked = documents.withColumns({n: F.size(split_words(F.col(text))).cast("long"),
                                     key: scattered(F.lit(seed), F.col(id_), F.coalesce(F.col(text), F.lit("")))})
     slim = written(marked.select(F.col(source).alias("source"), F.col(n).alias("tokens"), F.col(key).alias("key")), "mix-rows")
-    sources = written(plan(slim.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy, max_repeats, budget), "mix-plan")
+    sources, seen = written_counted(plan(slim.groupBy("source").agg(F.sum("tokens").alias("tokens")), entropy, max_repeats, budget), "mix-plan")
     limits = cuts(slim, sources)
     sources = sources.join(limits, sources["source"].eqNullSafe(limits["source"])).select(
         sources["source"].alias((s := new_name(documents, "mix_source"))), F.col("passes").alias((p := new_name(documents, "mix_passes"))),
         F.col("repeats").alias((r := new_name(documents, "mix_repeats"))), F.col("cut").alias((c := new_name(documents, "mix_cut"))))
-    joined = marked.join(sources, marked[source].eqNullSafe(sources[s]))
+    # A row a source: texts move only where the sources are too many to send along.
+    joined = marked.join(maybe_broadcast(sources, seen["rows"]), marked[source].eqNullSafe(F.col(s)))
     copies = F.col(p) + (F.col(key) < F.col(c)).cast("long")
     rows = joined.where(copies > 0).withColumn(epoch, F.explode(F.sequence(F.lit(0).cast("int"), (copies - 1).cast("int"))))
     order = F.when(F.col(epoch) == F.col(p), F.col(key)).otherwise(scattered(F.col(key), F.col(epoch)))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import new_name, with_columns, words_of
+from .common import held, new_name, with_columns, words_of
 
 BAD, GOOD, NONE = 0, 1, 2
 #: Hashed features, and the documents that the scorer is trained on at most (first by hash): the bounded sample.
@@ -25,6 +25,8 @@ BUCKETS, SAMPLE = 1 << 14, 4_000
 ROUNDS, EPOCHS, BATCH, RATE, PENALTY, SEED = 100, 30, 128, 0.05, 1e-4, 3
 #: Mean weights are multiplied by this, so that weights stay near one.
 SCALE = 10.0
+#: Distinct words remembered per worker.
+WORDS_KEPT = 300_000
 
 _SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
 _LETTERS = re.compile(rb"[a-z\x80-\xff]+")
@@ -47,21 +49,28 @@ class Words:
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
-        self.facts, self.bucket = np.zeros((0, 6)), np.zeros((0, 2), np.int64)
+        self.facts, self.bucket = np.zeros((1_024, 6)), np.zeros((1_024, 2), np.int64)
+        self.weights, self.sums, self.summed = None, np.zeros(1_024), 0
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [words_of(t) for t in texts]
-        new = {w for ws in split for w in ws if w not in self.place}
-        if len(self.place) + len(new) > 300_000:
+        new = set().union(*split) - self.place.keys()
+        if len(self.place) + len(new) > WORDS_KEPT:
             self.__init__()
-            new = {w for ws in split for w in ws}
+            new = set().union(*split)
         if new:
-            new = list(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
-            self.facts = np.concatenate([self.facts, [
-                (len(w), sum(map(w.count, _SYMBOLS)), w[-1:] in b"!?#*$%&|<>", w.isupper(), len(w) <= 3, w[:1].isdigit()) for w in new]])
-            self.bucket = np.concatenate([self.bucket, [buckets(w) for w in new]])
-        return [np.array([self.place[w] for w in ws], np.int64) for ws in split]
+            new, start = list(new), len(self.place)
+            self.place.update(zip(new, range(start, start + len(new))))
+            if len(self.place) > len(self.facts):  # room for twice as many, so that growing copies little
+                room = 2 * len(self.place)
+                self.facts = np.resize(self.facts, (room, 6))
+                self.bucket = np.resize(self.bucket, (room, 2))
+                self.sums = np.resize(self.sums, room)
+            self.facts[start:len(self.place)] = [
+                (len(w), sum(map(w.count, _SYMBOLS)), w[-1:] in b"!?#*$%&|<>", w.isupper(), len(w) <= 3, w[:1].isdigit()) for w in new]
+            self.bucket[start:len(self.place)] = [buckets(w) for w in new]
+        number = self.place.__getitem__
+        return [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
 
     def measures(self, text: str | None, at: np.ndarray) -> dict[str, float]:
         """What the labellers look at, for a whole text and the numbers of its words."""
@@ -76,8 +85,23 @@ class Words:
         again = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, bool)
         return np.r_[self.bucket[at].ravel(), np.where(again, AGAIN, FRESH)]
 
+    def scores(self, numbers: list[np.ndarray], weights: np.ndarray) -> list[float]:
+        """The mean weight of each text's features: weights are added up once for each word that is remembered."""
+        if self.weights is not weights:
+            self.weights, self.summed = weights, 0
+        fresh = slice(self.summed, len(self.place))
+        self.sums[fresh] = weights[self.bucket[fresh]].sum(axis=1)
+        self.summed = len(self.place)
+        out = []
+        for at in numbers:
+            again = int((at[1:] == at[:-1]).sum())
+            total = self.sums[at].sum() + again * weights[AGAIN] + (len(at) - again) * weights[FRESH]
+            out.append(float(total) / (3 * len(at)) if len(at) else 0.0)
+        return out
 
-_WORDS = Words()
+
+def _words() -> Words:
+    return held("quality-words", Words)
 
 
 def _vote(bad: bool, good: bool) -> int:
@@ -113,13 +137,14 @@ def pattern(m: dict[str, float]) -> int:
 
 def features_of(numbers: np.ndarray) -> np.ndarray:
     """Hashed features of the words that :func:`patterns_of` numbered in the same batch."""
-    return _WORDS.features(numbers)
+    return _words().features(numbers)
 
 
 def patterns_of(texts: list[str | None]) -> tuple[list[int], list[np.ndarray]]:
     """Vote patterns, and the numbers of the words, of whole texts."""
-    numbers = _WORDS.numbers(texts)
-    return [pattern(_WORDS.measures(t, at)) for t, at in zip(texts, numbers)], numbers
+    known = _words()
+    numbers = known.numbers(texts)
+    return [pattern(known.measures(t, at)) for t, at in zip(texts, numbers)], numbers
 
 
 def _votes(patterns: np.ndarray) -> np.ndarray:
@@ -127,6 +152,14 @@ def _votes(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(k - 1, -1, -1) % 3
 
 
+class _Voted(dict):
+    """How many labellers vote in a pattern."""
+
+    def __missing__(self, p: int) -> int:
+        self[p] = int((_votes(np.array([p])) != NONE).sum())
+        return self[p]
+
+
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Posterior probability of good for each pattern, and each labeller's ``P(vote | class)`` (labeller x class x vote).
 
@@ -213,14 +246,15 @@ def classify(documents: DataFrame, id_: str = "doc_id", text: str = "text", leas
         table = drawn.toArrow().sort_by([("h", "ascending"), ("label", "ascending")])
         weights, bias = train(list(zip(*(table.column(c).to_pylist() for c in ("index", "value", "label")))))
 
+    voted_on = _Voted()
+
     def judge(b: pa.RecordBatch):
-        n, post, score = [], [], []
-        for p, words in zip(*patterns_of(b.column(text).to_pylist())):
-            at = features_of(words)
-            n.append(int((_votes(np.array([p])) != NONE).sum()) if len(at) else 0)
-            post.append(posterior.get(p, 0.0) if len(at) else 0.0)
-            z = SCALE * weights[at].mean() + bias if len(at) else 0.0
-            score.append(float(1 / (1 + np.exp(-np.clip(z, -500, 500)))) if len(at) else 0.0)
+        found, numbers = patterns_of(b.column(text).to_pylist())
+        some = [len(at) > 0 for at in numbers]
+        n = [voted_on[p] if x else 0 for p, x in zip(found, some)]
+        post = [posterior.get(p, 0.0) if x else 0.0 for p, x in zip(found, some)]
+        z = np.clip(SCALE * np.array(_words().scores(numbers, weights)) + bias, -500, 500)
+        score = np.where(some, 1 / (1 + np.exp(-z)), 0.0).tolist()
         return [pa.array(n, pa.int32()), pa.array(post, pa.float64()), pa.array(score, pa.float64()),
                 pa.array([s >= least for s in score], pa.bool_())]
 

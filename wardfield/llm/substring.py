@@ -35,7 +35,7 @@ ANCHOR, PLACE_BITS = 8, 28
 #: Different passages around one anchor up to which they share a shard.
 CROWD = 1_000
 #: Words in one index, a bound on a task's memory.
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 250_000
 #: Words remembered per worker, with their hashes.
 WORDS_KEPT = 300_000
 
