@@ -170,7 +170,7 @@ class _Search:
         return written(over_batches(both.select("a", "b", "x", "y"), _confirmed(self.percent), "a long, b long"), "sketch-links")
 
     def run(self) -> DataFrame:
-        """``(node, root)`` of all linked sets.
+        """``(node, root)`` of all sets: linked ones share a root.
 
         Each band key has a centre, its smallest member. First every set is decided against the likeliest of its centres. Whatever then
         is outside the largest component of a key stays open and meets all members of the key, a cell of them in each round, until it has
@@ -183,37 +183,38 @@ class _Search:
         centres = bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
         crowds = written(bands.join(centres.where("centre < last"), "key").select("key", "node", "centre", "members"), "sketch-crowds")
         stars, seen = self.possible(crowds.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-        found = [self.links(written(stars.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b"), "sketch-stars"))] if seen["rows"] else []
+        roots = written(self.nodes.select("node", F.col("node").alias("root")), "sketch-roots")
+        if seen["rows"]:
+            likeliest = stars.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b")
+            roots = _joined(roots, self.links(written(likeliest, "sketch-stars")))
         cells = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / CELL, F.lit(1.0))))).cast("long")
         low, high = 0, 1
         most = crowds.agg(F.max(cells).alias("c")).first()["c"] or 0
         while low < most:
-            joined = found[0] if found else None
-            for more in found[1:]:
-                joined = joined.unionByName(more)
-            roots = components(joined) if found else None
-            named = crowds.where(cells > low) if low else crowds
-            if roots is not None:
-                named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            else:
-                named = named.withColumn("root", F.col("node"))
-            named = written(named, "sketch-named")
+            named = written((crowds.where(cells > low) if low else crowds).join(roots, "node"), "sketch-named")
             sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
                 F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            open_ = named.join(sizes, "key").where("root <> largest").select("key", F.col("node").alias("a"), F.col("root").alias("ra"))
+            open_, seen = written_counted(named.join(sizes, "key").where("root <> largest").select(
+                "key", F.col("node").alias("a"), F.col("root").alias("ra")), "sketch-open")
+            if not seen["rows"]:
+                break
             cell = F.pmod(F.xxhash64("node"), cells)
             met = named.where((cell >= low) & (cell < high)).select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
             pairs = open_.join(met, "key").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             likely, seen = self.possible(pairs)
             if seen["rows"]:
-                found.append(self.links(likely))
+                roots = _joined(roots, self.links(likely))
             low, high = high, high * GROWTH
-        if not found:
-            return self.nodes.select("node", F.col("node").alias("root")).where("false")
-        joined = found[0]
-        for more in found[1:]:
-            joined = joined.unionByName(more)
-        return components(joined)
+        return roots
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` after new links: only the components that they connect are looked at again."""
+    for end in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end)
+    moved = components(links.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    return written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
+        "node", F.coalesce("to", "root").alias("root")), "sketch-roots")
 
 
 def near_duplicates(documents: DataFrame, id_: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80) -> DataFrame:
@@ -231,7 +232,7 @@ def near_duplicates(documents: DataFrame, id_: str = "doc_id", text: str = "text
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least")), "sketch-nodes")
     roots = _Search(docs, nodes, width, percent).run()
-    placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    placed = nodes.select("node", "least").join(roots, "node")
     smallest = placed.groupBy("root").agg(F.min("least").alias("smallest"))
     classes = written(placed.join(smallest, "root").select("node", "smallest"), "sketch-classes")
     lone = F.col("node").isNull()
