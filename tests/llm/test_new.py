@@ -73,9 +73,10 @@ def copies():
     return [(1_000 + i, " ".join(w)) for i, w in enumerate(out)]
 
 
-@pytest.mark.parametrize("cell", [64, 4])
-def test_components_equal_all_pairs(spark, monkeypatch, cell):
-    monkeypatch.setattr(setsketch, "CELL", cell)
+@pytest.mark.parametrize("shingles", [200_000, 700])
+def test_components_equal_all_pairs(spark, monkeypatch, shingles):
+    monkeypatch.setattr(setsketch, "OPEN", shingles)
+    monkeypatch.setattr(setsketch, "OTHERS", 2 * shingles)
     texts = copies() + ROWS
     table = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, n_shingles int")
     assert rows(setsketch.near_duplicates(table), "doc_id", "n_shingles", "component_id", "kept") == classes(texts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..state import written, written_counted
+from ..state import maybe_broadcast, written, written_counted
 
 MAX_ROUNDS = 200
 
@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     scattered order of that round, and links are carried over to the places moved to.
     The order changes per round, so a long chain shrinks by a constant share each time.
     A node with very many links is only ever a partial minimum; its joins have one row per
-    node on the other side, which adaptive execution may split. Every table is written
+    node on the other side, which is sent along where its counted rows are few and which adaptive
+    execution may split otherwise. Every table is written
     to shared storage; the driver sees row counts only. Self links and repeats are
     harmless; an empty table gives an empty result.
     """
@@ -31,8 +32,9 @@ def components(links: DataFrame) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("n"))
         sides = edges.select(F.col("a").alias("from"), order("b").alias("to")).union(
             edges.select(F.col("b"), order("a")))
-        moves = written(sides.groupBy("from").agg(F.min("to").alias("to")).select(
+        moves, known = written_counted(sides.groupBy("from").agg(F.min("to").alias("to")).select(
             "from", F.least("to", order("from")).getField("n").alias("to")), "cc-moves")
+        moves = maybe_broadcast(moves, known["rows"])
         moved = edges
         for end in ("a", "b"):
             moved = moved.join(moves.withColumnRenamed("from", end), end).drop(end).withColumnRenamed("to", end)

@@ -3,7 +3,8 @@
 A register holds the exponentially spaced, truncated minimum of an exponential variate over a set's shingles. Registers of a union
 are the maxima of the registers, and two sets agree in a register with a probability that grows with their Jaccard similarity.
 Bands of registers give candidates; how many registers of a pair are above, below and equal gives, with the exact set sizes, a joint
-likelihood of the similarity; a pair that this likelihood cannot rule out is decided on the full sets.
+likelihood of the similarity; the likeliest pairs are decided on the full sets. What then still stands apart from others it shares a band
+with is compared with all of them, set by set, in tiles of bounded size that write down links only.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ BASE, RATE, TOP = 1.02, 20.0, 0xFFFE
 DOUBT = 36.0
 #: Similarities the likelihood is evaluated at.
 GRID = 64
-#: Members of a crowded band key that each open member meets in the first round, and by how much later rounds grow.
-CELL, GROWTH = 64, 8
+#: Shingles of the open sets of one task, and of the sets they are compared with: what a tile holds at most, but for one long text.
+OPEN, OTHERS = 200_000, 1_000_000
 #: Shingles hashed at once.
 CHUNK = 4_096
 _rng = np.random.default_rng(11)
@@ -143,6 +144,42 @@ def _confirmed(percent: int):
     return run
 
 
+def _tile_links(percent: int):
+    """A spanning forest of the links between the open sets of a tile and all its other sets."""
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows["open"].to_numpy()
+        node, root = rows["node"].to_numpy(), rows["root"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows["set"].to_pylist()]
+        others, open_ = np.flatnonzero(~side), np.flatnonzero(side)
+        found: list[tuple[int, int]] = []
+        if len(others) and len(open_):
+            sizes = np.array([len(sets[i]) for i in others])
+            every = np.concatenate([sets[i] for i in others])
+            order = np.argsort(every, kind="stable")
+            every, owner = every[order], np.repeat(np.arange(len(others)), sizes)[order]
+            group: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while group.get(x, x) != x:
+                    x = group[x]
+                return x
+
+            for i in open_.tolist():
+                mine = sets[i]
+                low, high = np.searchsorted(every, mine, "left"), np.searchsorted(every, mine, "right")
+                width = high - low
+                at = np.arange(width.sum()) + np.repeat(low - np.cumsum(width) + width, width)
+                shared = np.bincount(owner[at], minlength=len(others))
+                for j in others[100 * shared >= percent * (len(mine) + sizes - shared)].tolist():
+                    a, b = top(int(root[i])), top(int(root[j]))
+                    if a != b:
+                        group[max(a, b)] = min(a, b)
+                        found.append((int(node[i]), int(node[j])))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return run
+
+
 class _Search:
     """Links between the distinct sets of a table of documents."""
 
@@ -157,61 +194,78 @@ class _Search:
             F.least("na", "nb") * 100 >= F.greatest("na", "nb") * self.percent)
         return written_counted(over_batches(both, _possible(self.percent / 100), "a long, b long, j double"), "sketch-possible")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Of ``pairs(a, b)``, a written table, those whose full sets are similar enough. Sets are made anew from the texts of their documents."""
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """``(node, set)`` of distinct ``wanted(node)``, made anew from the texts of their documents."""
         place, seen = written_counted(self.nodes.select("node", "rep.id", "rep.h").join(wanted, "node", "left_semi").select(
             F.col("node"), F.col("id").alias("id_"), F.col("h").alias("h_")), "sketch-wanted")
         rows = maybe_broadcast(place, seen["rows"])
         texts = self.docs.join(rows, self.docs["id"].eqNullSafe(rows["id_"]) & (self.docs["h"] == rows["h_"]))
-        sets = written(over_batches(texts.select("node", "text"), _sets(self.width), "node long, set binary").dropDuplicates(["node"]), "sketch-sets")
+        return written(over_batches(texts.select("node", "text"), _sets(self.width), "node long, set binary").dropDuplicates(["node"]), "sketch-sets")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Of ``pairs(a, b)``, a written table, those whose full sets are similar enough."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         # The end with more pairs, a centre, is joined last: its set isn't moved again.
         both = pairs.select("a", "b").join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
         return written(over_batches(both.select("a", "b", "x", "y"), _confirmed(self.percent), "a long, b long"), "sketch-links")
 
+    def crowd_links(self, crowds: DataFrame) -> DataFrame:
+        """Links that connect components inside ``crowds(crowd, node, root)``: every open set, whose root isn't the crowd's, with all sets of the crowd.
+
+        A crowd is dealt into tiles of bounded size, each open block with each block of the crowd; a tile gives a spanning forest of the links it finds.
+        """
+        open_ = F.col("root") != F.col("crowd")
+        sized = crowds.join(self.nodes.select("node", "n"), "node")
+        blocks = sized.groupBy("crowd").agg(
+            F.ceil(F.sum(F.when(open_, F.col("n")).otherwise(0)) / OPEN).cast("long").alias("xs"), F.ceil(F.sum("n") / OTHERS).cast("long").alias("ys"))
+        dealt = crowds.join(blocks, "crowd").withColumns({"x": F.pmod(F.xxhash64("node"), F.col("xs")), "y": F.pmod(F.xxhash64("node", F.lit(1)), F.col("ys"))})
+        left = dealt.where(open_).select("crowd", "node", "root", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)).alias("y"), F.lit(True).alias("open"))
+        right = dealt.select("crowd", "node", "root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("xs") - 1)).alias("x"), "y", F.lit(False).alias("open"))
+        rows = left.unionByName(right).join(self.sets(crowds.select("node").distinct()), "node")
+        return written(rows.groupBy("crowd", "x", "y").applyInArrow(_tile_links(self.percent), "a long, b long"), "sketch-links")
+
     def run(self) -> DataFrame:
-        """``(node, root)`` of all sets: linked ones share a root.
+        """``(node, root)`` of the sets that share a band key with another: linked ones have the same root.
 
-        Each band key has a centre, its smallest member. First every set is decided against the likeliest of its centres. Whatever then
-        is outside the largest component of a key stays open and meets all members of the key, a cell of them in each round, until it has
-        joined; sets of one component never meet again. So the work is linear in a key's members but for those that link to few of
-        them, and every candidate pair between two components is decided in the end.
+        Each band key has a centre, its smallest member, and every set is first decided against the likeliest of its centres. In keys that then hold
+        several components, what lies outside the largest one is compared with all that share such a key with that component.
+        So the pairs looked at are linear in a key's members but for those that link to none of their centres, and none that shares a key is missed.
         """
         start = 2 * WIDTH
         key = [F.xxhash64(F.lit(k), F.substring("sketch", k * start + 1, start)) for k in range(BANDS)]
         bands = self.nodes.select("node", F.explode(F.array(*key)).alias("key"))
-        centres = bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("members"))
-        crowds = written(bands.join(centres.where("centre < last"), "key").select("key", "node", "centre", "members"), "sketch-crowds")
+        centres = bands.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last"))
+        crowds = written(bands.join(centres.where("centre < last"), "key").select("key", "node", "centre"), "sketch-crowds")
         stars, seen = self.possible(crowds.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct())
-        roots = written(self.nodes.select("node", F.col("node").alias("root")), "sketch-roots")
+        # Only sets that share a key with another can link; all others are their own roots.
+        roots, known = written_counted(crowds.select("node").distinct().withColumn("root", F.col("node")), "sketch-roots")
+        few = known["rows"]
         if seen["rows"]:
             likeliest = stars.groupBy("b").agg(F.max_by("a", F.struct("j", "a")).alias("a")).select("a", "b")
-            roots = _joined(roots, self.links(written(likeliest, "sketch-stars")))
-        cells = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("members") / CELL, F.lit(1.0))))).cast("long")
-        low, high = 0, 1
-        most = crowds.agg(F.max(cells).alias("c")).first()["c"] or 0
-        while low < most:
-            named = written((crowds.where(cells > low) if low else crowds).join(roots, "node"), "sketch-named")
-            sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
-                F.max_by("root", F.struct("c", "root")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            open_, seen = written_counted(named.join(sizes, "key").where("root <> largest").select(
-                "key", F.col("node").alias("a"), F.col("root").alias("ra")), "sketch-open")
-            if not seen["rows"]:
-                break
-            cell = F.pmod(F.xxhash64("node"), cells)
-            met = named.where((cell >= low) & (cell < high)).select("key", F.col("node").alias("b"), F.col("root").alias("rb"))
-            pairs = open_.join(met, "key").where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            likely, seen = self.possible(pairs)
-            if seen["rows"]:
-                roots = _joined(roots, self.links(likely))
-            low, high = high, high * GROWTH
-        return roots
-
-
-def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+            roots = _rooted(roots, few, self.links(written(likeliest, "sketch-stars")))
+        named = written(crowds.select("key", "node").join(maybe_broadcast(roots, few), "node"), "sketch-named")
+        largest = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+            F.max_by("root", F.struct("c", "root")).alias("crowd"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        apart, seen = written_counted(named.join(largest, "key").select("crowd", "node", "root").distinct(), "sketch-apart")
+        return _joined(roots, few, self.crowd_links(apart)) if seen["rows"] else roots
+
+
+def _rooted(roots: DataFrame, rows: int, links: DataFrame) -> DataFrame:
+    """``roots(node, root)`` from links that give each ``b`` one smaller ``a``: pointers are followed in doubling steps."""
+    now = roots.join(links.select(F.col("b").alias("node"), F.col("a").alias("to")), "node", "left").select("node", F.coalesce("to", "root").alias("root"))
+    now, seen = written_counted(now, "sketch-roots", moved=F.count_if(F.col("node") != F.col("root")))
+    while seen["moved"]:
+        ahead = maybe_broadcast(now.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("to")), rows)
+        now, seen = written_counted(now.join(ahead, "root", "left").select("node", F.coalesce("to", "root").alias("root"), F.col("to").isNotNull().alias("moved")),
+                                    "sketch-roots", moved=F.count_if("moved"))
+        now = now.drop("moved")
+    return now
+
+
+def _joined(roots: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """``roots(node, root)`` after new links: only the components that they connect are looked at again."""
     for end in ("a", "b"):
-        links = links.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end)
+        links = links.join(maybe_broadcast(roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), rows), end)
     moved = components(links.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     return written(roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
         "node", F.coalesce("to", "root").alias("root")), "sketch-roots")
@@ -232,7 +286,7 @@ def near_duplicates(documents: DataFrame, id_: str = "doc_id", text: str = "text
     nodes = written(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min(F.struct("id", "h")).alias("rep"), F.min("id").alias("least")), "sketch-nodes")
     roots = _Search(docs, nodes, width, percent).run()
-    placed = nodes.select("node", "least").join(roots, "node")
+    placed = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("smallest"))
     classes = written(placed.join(smallest, "root").select("node", "smallest"), "sketch-classes")
     lone = F.col("node").isNull()
