@@ -1,11 +1,6 @@
-"""Registered queries against their SQL in DuckDB, on the smallest tables.
-
-All of them take some minutes, so by default the ones that grow no trees run, with one
-tree query; set WARDFIELD_ALL=1 for the rest.
-"""
+"""Registered queries against their SQL in DuckDB, on the smallest tables: all of them."""
 
 import math
-import os
 import subprocess
 import sys
 from pathlib import Path
@@ -14,13 +9,10 @@ import duckdb
 import pytest
 
 from wardfield import catalog
-from wardfield.catalog import basic, registry
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier orders lineitem embeddings".split()
-TREES = ["cut_tree", "choose_alpha", "scenario_coherence"]
-NAMES = [n for n in catalog.QUERIES if os.environ.get("WARDFIELD_ALL") or n in TREES
-         or registry.MODULES[n] == basic.__name__]
+NAMES = list(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")

@@ -14,7 +14,8 @@ def square(lon, lat, w, h=None):
 
 
 def areas(spark, shapes):
-    rows = [(u, [(i, ring) for i, ring in enumerate(rings)]) for u, rings in shapes.items()]
+    """Units by name: rings, or pairs of a ring and its holes."""
+    rows = [(u, [(i, *(x if isinstance(x, tuple) else (x, None))) for i, x in enumerate(rings)]) for u, rings in shapes.items()]
     return spark.createDataFrame(rows, f"unit string, parts {PARTS.simpleString()}")
 
 
@@ -51,7 +52,7 @@ def test_centroid_uses_the_largest_part_and_unwraps(spark):
     df = areas(spark, {"a": [square(0, 0, 1), square(10, 10, 4)], "b": [square(178, 0, 4)]})
     west = df.withColumn("parts", F.transform("parts", lambda p: F.struct(p["part_id"], F.transform(
         p["ring"], lambda q: F.struct(F.when(q["lon"] > 180, q["lon"] - 360).otherwise(q["lon"]).alias("lon"),
-                                      q["lat"].alias("lat"))).alias("ring"))))
+                                      q["lat"].alias("lat"))).alias("ring"), p["holes"].alias("holes"))))
     got = {r["unit"]: (r["lon"], r["lat"]) for r in spatial.centroid(west, "unit").collect()}
     assert got["a"] == (12.0, 12.0)
     assert math.isclose(got["b"][0], 180.0) and math.isclose(got["b"][1], 2.0)
@@ -66,3 +67,40 @@ def test_dependencies_are_filtered(spark):
     raw = spark.createDataFrame([("A", "Country", None), ("B", "Dependency", None), ("C", "Sovereignty", None)],
                                 f"iso_a3_eh string, type string, parts {PARTS.simpleString()}")
     assert {r["code"] for r in keep_countries(raw).collect()} == {"A", "C"}
+
+
+def test_holes_change_the_largest_part_and_its_centroid(spark):
+    df = areas(spark, {"a": [(square(0, 0, 10), [square(1, 1, 8)]), square(20, 0, 7)], "b": [(square(178, 0, 6), [square(178.5, 1, 4)])]})
+    parts = {r["unit"]: (r["part_id"], r["area"]) for r in spatial.largest_part(df, "unit").collect()}
+    assert parts == {"a": (1, 49.0), "b": (0, 20.0)}
+    got = {r["unit"]: (r["lon"], r["lat"]) for r in spatial.centroid(df, "unit").collect()}
+    assert got["a"] == (23.5, 3.5)
+    assert math.isclose(got["b"][0], (36 * 181 - 16 * 180.5) / 20) and math.isclose(got["b"][1], 3.0)
+    # On a small square the sphere's centroid is the plane's.
+    tiny = areas(spark, {"c": [(square(10, 0, 0.4), [square(10.02, 0.02, 0.2)])]})
+    plane, sphere = (spatial.centroid(tiny, "unit", spherical=s).first() for s in (False, True))
+    assert abs(plane["lon"] - sphere["lon"]) < 1e-5 and abs(plane["lat"] - sphere["lat"]) < 1e-5
+
+
+def test_a_unit_in_a_hole_is_apart(spark):
+    frame = (square(0, 0, 20), [square(1, 1, 18)])
+    shapes = {"frame": [frame], "lake": [square(5, 5, 4)], "solid": [square(4, 4, 6)], "edge": [square(0.2, 3, 0.5)], "far": [square(100, 0, 3)]}
+    got = distances(spark, shapes)
+    assert got["frame", "lake"] > 4e5 and got["frame", "solid"] > 3e5
+    assert got["lake", "solid"] == got["edge", "frame"] == 0.0
+    near = {(r["i"], r["j"]): r["d1"] for r in spatial.boundaries_within(areas(spark, shapes), 4.2e5).collect()}
+    assert near == {k: v for k, v in got.items() if v <= 4.2e5}
+
+
+def test_distance_over_the_antimeridian_and_at_a_pole(spark):
+    got = distances(spark, {"w": [square(175, 0, 3)], "e": [[(p if p <= 180 else p - 360, q) for p, q in square(181, 0, 3)]],
+                            "n": [[(float(a), 80.0) for a in (0, 90, 180, -90, 0)]], "in": [square(40, 86, 2)]})
+    assert math.isclose(got["e", "w"], math.radians(3) * EARTH_RADIUS_M, rel_tol=1e-3)
+    assert got["in", "n"] > 0 and got["e", "n"] > 8e6
+
+
+def test_units_without_shape_are_in_no_pair(spark):
+    got = distances(spark, {"a": [square(0, 0, 1)], "b": [], "c": [square(5, 0, 1)]})
+    assert set(got) == {("a", "c")}
+    assert spatial.boundary_distance(areas(spark, {"a": [], "b": []})).count() == 0
+    assert spatial.boundaries_within(areas(spark, {"a": [], "b": []}), 1e5).count() == 0

@@ -217,9 +217,10 @@ def _(ws: Workspace):
     return reshape.row_index(ws.star("customer").select("c_custkey"), "c_custkey")
 
 
-@query("bulk_rename", w(f'SELECT code, round(R12, 6) AS "{LOW}", round(R34, 6) AS "{HIGH}" FROM wide'))
+@query("bulk_rename", w("SELECT code, entity, " + ", ".join(
+    f'{by_size_sql(v)} AS "{ {"R12": LOW, "R34": HIGH}.get(v, v) }"' for v in views.VARIABLES) + " FROM wide"))
 def _(ws: Workspace):
-    return reshape.bulk_rename(rounded(ws.wide.select("code", "R12", "R34"), "R12", "R34"), {"R12": LOW, "R34": HIGH})
+    return reshape.bulk_rename(by_size(ws.wide, *views.VARIABLES), {"R12": LOW, "R34": HIGH})
 
 
 # ---- joins -----------------------------------------------------------------
@@ -232,12 +233,12 @@ def _(ws: Workspace):
     return by_size(joined.select("code", "entity", "variable", F.col(FULL).alias("value")), "value")
 
 
-@query("join_features_centroids", S.query(S.PANEL, S.WIDE, S.POINTS, S.scaled(["HDI", "R12"]), select="""
-SELECT unit, round(R12, 6) + 0.0 AS "R12", round(HDI, 6) + 0.0 AS "HDI", round(lon, 6) AS lon, round(lat, 6) AS lat
+@query("join_features_centroids", S.query(S.PANEL, S.WIDE, S.POINTS, S.scaled(views.VARIABLES), select="SELECT unit, " + ", ".join(
+    f"round({v}, 6) + 0.0 AS {v}" for v in views.VARIABLES) + """, round(lon, 6) AS lon, round(lat, 6) AS lat
 FROM scaled JOIN points USING (code)"""))
 def _(ws: Workspace):
-    both = stats.robust_scale(ws.wide, ["HDI", "R12"]).join(ws.points, "code")
-    return rounded(both.select("unit", "R12", "HDI", "lon", "lat"), "R12", "HDI", "lon", "lat")
+    both = stats.robust_scale(ws.wide, views.VARIABLES).join(ws.points, "code")
+    return rounded(both.select("unit", *views.VARIABLES, "lon", "lat"), *views.VARIABLES, "lon", "lat")
 
 
 @query("unit_pairs", S.query(S.POINTS, select="""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import compare, cut, indices, inertia, pairs, reshape, spatial, stats, tiles, ward
+from ..operators import compare, cut, graph_tree, indices, inertia, pairs, reshape, spatial, stats, tiles, ward
 from ..plans import scenarios, study
 from ..sources import sinks, views
 from ..state import new_folder, written
@@ -13,7 +13,6 @@ from . import sqltext as S
 from .basic import GIVEN, SQUARES
 from .registry import TARGETS, Workspace, query, rounded
 
-SOME_ALPHAS = [0, 25, 60, 100]
 SETS = {
     "AwareClimateSocio": ["R12", "HDI", "rgdpna", "TradeOpenness", "cdd", "tas"],
     "AwareClimate": ["R12", "cdd", "tas"],
@@ -149,26 +148,26 @@ def _(ws: Workspace):
     return rounded(met.select("scenario", "i", "j", "d0"), "d0")
 
 
-GRID = S.alphas(str(SOME_ALPHAS))
+GRID = S.ALL_ALPHAS
 ALPHA = "(alpha_step / 100.0)"
 
 
 @query("blend_linear", b(f"SELECT scenario, i, j, alpha_step, {r(f'(1 - {ALPHA}) * d0 + {ALPHA} * d1')} AS d FROM pairs, alphas", GRID))
 def _(ws: Workspace):
-    d = pairs.blend_linear(pairs.with_alphas(ws.main.pairs, SOME_ALPHAS))
+    d = pairs.blend_linear(pairs.with_alphas(ws.main.pairs, study.ALPHA_STEPS))
     return rounded(d.select("scenario", "i", "j", "alpha_step", "d"), "d")
 
 
 @query("blend_rescale", b(f"""SELECT scenario, i, j, alpha_step, {r('d / max(d) OVER (PARTITION BY scenario, alpha_step)')} AS d
 FROM (SELECT scenario, i, j, alpha_step, (1 - {ALPHA}) * d0 + {ALPHA} * d1 AS d FROM pairs, alphas)""", GRID))
 def _(ws: Workspace):
-    d = pairs.blend_rescale(pairs.blend_linear(pairs.with_alphas(ws.main.pairs, SOME_ALPHAS)))
+    d = pairs.blend_rescale(pairs.blend_linear(pairs.with_alphas(ws.main.pairs, study.ALPHA_STEPS)))
     return rounded(d.select("scenario", "i", "j", "alpha_step", "d"), "d")
 
 
 @query("blend_squared", b(f"SELECT scenario, i, j, alpha_step, {r(f'(1 - {ALPHA}) * d0 * d0 + {ALPHA} * d1 * d1')} AS d2 FROM pairs, alphas", GRID))
 def _(ws: Workspace):
-    d = pairs.blend_squared(pairs.with_alphas(ws.main.pairs, SOME_ALPHAS))
+    d = pairs.blend_squared(pairs.with_alphas(ws.main.pairs, study.ALPHA_STEPS))
     return rounded(d.select("scenario", "i", "j", "alpha_step", "d2"), "d2")
 
 
@@ -194,12 +193,12 @@ def _(ws: Workspace):
 
 @query("ward_tree_linear", b(MERGES, *tree_sql("linear")))
 def _(ws: Workspace):
-    return _merges(ward.ward_tree(ws.main.units, ws.main.pairs, SOME_ALPHAS, "linear"))
+    return _merges(ward.ward_tree(ws.main.units, ws.main.pairs, study.ALPHA_STEPS, "linear"))
 
 
 @query("ward_tree_sequential", b(MERGES, *tree_sql("squared")))
 def _(ws: Workspace):
-    return _merges(ward.ward_tree(ws.main.units, ws.main.pairs, SOME_ALPHAS, order="sequential"))
+    return _merges(ward.ward_tree(ws.main.units, ws.main.pairs, study.ALPHA_STEPS, order="sequential"))
 
 
 # Distances on the sphere as straight lines between unit vectors.
@@ -216,11 +215,25 @@ raw_pairs AS MATERIALIZED (
 SUPPLIER_ALPHAS = [0, 60]
 
 
-@query("ward_tree_sparse", S.query(*SUPPLIER_PAIRS, S.alphas(str(SUPPLIER_ALPHAS)), S.tree(), S.labels(),
-                                   select="SELECT alpha_step, k, unit, cluster FROM labels"))
+def _supplier_labels(alphas: str) -> str:
+    return S.query(*SUPPLIER_PAIRS, S.alphas(alphas), S.tree(), S.labels(), select="SELECT alpha_step, k, unit, cluster FROM labels")
+
+
+def _supplier_vectors(ws: Workspace):
+    return _suppliers(ws).select(F.lit("all").alias("scenario"), "unit", F.array(*SUPPLIER_X).alias("x"), tiles.unit_point().alias("g"))
+
+
+# Exact at any size: every round looks at all pairs of clusters.
+@query("ward_tree_vectors", _supplier_labels(str(SUPPLIER_ALPHAS)))
 def _(ws: Workspace):
-    units = _suppliers(ws).select("unit", F.array(*SUPPLIER_X).alias("x"), tiles.unit_point().alias("g"))
-    tree = tiles.ward_tree_vectors(units, SUPPLIER_ALPHAS)
+    tree = tiles.ward_tree_vectors(_supplier_vectors(ws).drop("scenario"), SUPPLIER_ALPHAS)
+    return cut.cut_tree(tree, list(range(2, study.K_MAX + 1))).drop("scenario")
+
+
+# On a neighbour graph; exact up to graph_tree.DENSE units, as at the size where the SQL can follow.
+@query("ward_tree_sparse", _supplier_labels("range(0, 101)"))
+def _(ws: Workspace):
+    tree = graph_tree.ward_tree_graph(_supplier_vectors(ws), study.ALPHA_STEPS)
     return cut.cut_tree(tree, list(range(2, study.K_MAX + 1))).drop("scenario")
 
 
@@ -304,11 +317,9 @@ def _(ws: Workspace):
     return rounded(q.select("scenario", "alpha_step", "k", "q0", "q1"), "q0", "q1")
 
 
-@query("explained_inertia_direct", b(f"SELECT scenario, alpha_step, k, {r('q0')} AS q0, {r('q1')} AS q1 FROM explained",
-                                     FINAL_ALPHAS, S.tree(), S.labels(), S.TOTALS, *S.quality()))
+@query("explained_inertia_direct", b(f"SELECT scenario, alpha_step, k, {r('q0')} AS q0, {r('q1')} AS q1 FROM explained", *QUALITY))
 def _(ws: Workspace):
-    tree = ward.ward_tree(ws.main.units, ws.main.pairs, [0, 60, 62])
-    labels = written(cut.cut_tree(tree, ws.main.ks), "labels")
+    labels = written(cut.cut_tree(ws.main.tree, ws.main.ks), "labels")
     q = inertia.explained_inertia_direct(labels, ws.main.pairs, ws.main.totals, ["alpha_step", "k"])
     return rounded(q.select("scenario", "alpha_step", "k", "q0", "q1"), "q0", "q1")
 
@@ -445,13 +456,16 @@ def _(ws: Workspace):
 
 @query("indices_given_partition", b(f"SELECT scenario, alpha_step, k, index, {r('value')} AS value FROM scored",
                                     """regions AS MATERIALIZED (
-  SELECT scenario, alpha_step, 5 AS k, n_nationkey::BIGINT AS unit, n_regionkey + 1 AS cluster
-  FROM nation, (SELECT DISTINCT scenario FROM units), (SELECT unnest([0, 25, 60, 100])::INT AS alpha_step))""",
+  SELECT scenario, alpha_step, k, unit, cluster FROM (
+    SELECT 5 AS k, n_nationkey::BIGINT AS unit, n_regionkey + 1 AS cluster FROM nation
+    UNION ALL SELECT 4, n_nationkey::BIGINT, n_nationkey % 4 + 1 FROM nation),
+  (SELECT DISTINCT scenario FROM units), (SELECT unnest(range(0, 101))::INT AS alpha_step))""",
                                     S.COLUMNS, *S.indices("regions")))
 def _(ws: Workspace):
-    regions = pairs.with_alphas(ws.given_labels.where("key = 'region'"), SOME_ALPHAS)
+    given = pairs.with_alphas(ws.given_labels, study.ALPHA_STEPS)
     both = F.explode(F.array(*[F.lit(t) for t in TARGETS])).alias("scenario")
-    labels = regions.select(both, "alpha_step", F.lit(5).alias("k"), "unit", (F.col("cluster") + 1).alias("cluster"))
+    clusters = F.when(F.col("key") == "region", 5).otherwise(4).alias("k")
+    labels = given.select(both, "alpha_step", clusters, "unit", (F.col("cluster") + 1).alias("cluster"))
     return rounded(indices.five_indices(ws.main.pairs, ws.main.features, written(labels, "regions")), "value")
 
 
@@ -548,26 +562,20 @@ def _(ws: Workspace):
     return rounded(ws.main.best_k(), "value")
 
 
-@query("filter_points", b(f"""SELECT scenario, index, criterion, k, {r('value')} AS value FROM by_criterion
-WHERE (index, criterion, k) IN (('Dunn', 'max', 14), ('Dunn', 'ch', 8), ('Sil', 'ch', 3), ('Sil', 'max', 5), ('CH', 'ch', 4), ('CH', 'max', 5))""", *SCORED))
-def _(ws: Workspace):
-    marks = ws.spark.createDataFrame([("Dunn", "max", 14), ("Dunn", "ch", 8), ("Sil", "ch", 3), ("Sil", "max", 5),
-                                      ("CH", "ch", 4), ("CH", "max", 5)], "index string, criterion string, k int")
-    hit = reshape.filter_points(ws.main.index_by_criterion, marks)
-    return rounded(hit.select("scenario", "index", "criterion", "k", "value"), "value")
-
-
-#: The points the analysis marks, per target.
+# ---- Fixed values: the points the analysis marks, per target ------------
 MARKED = [("R12", "Cindex", "ch", 4), ("R12", "Cindex", "max", 4), ("R12", "CH", "ch", 4), ("R12", "CH", "max", 5),
           ("R12", "Dunn", "max", 14), ("R12", "Dunn", "ch", 8), ("R12", "McClain", "ch", 2), ("R12", "McClain", "max", 2),
           ("R12", "Sil", "ch", 3), ("R12", "Sil", "max", 5),
           ("R34", "Cindex", "max", 5), ("R34", "Cindex", "ch", 15), ("R34", "CH", "ch", 3), ("R34", "CH", "max", 4),
           ("R34", "Dunn", "max", 3), ("R34", "Dunn", "ch", 4), ("R34", "McClain", "ch", 2), ("R34", "McClain", "max", 2),
           ("R34", "Sil", "ch", 3), ("R34", "Sil", "max", 4)]
+# -------------------------------------------------------------------------
+MARKED_SQL = b(f"""SELECT scenario, index, criterion, k, {r('value')} AS value FROM by_criterion
+WHERE (scenario, index, criterion, k) IN ({', '.join(map(str, MARKED))})""", *SCORED)
 
 
-@query("marked_points", b(f"""SELECT scenario, index, criterion, k, {r('value')} AS value FROM by_criterion
-WHERE (scenario, index, criterion, k) IN ({', '.join(map(str, MARKED))})""", *SCORED))
+@query("filter_points", MARKED_SQL)
+@query("marked_points", MARKED_SQL)
 def _(ws: Workspace):
     marks = ws.spark.createDataFrame(MARKED, "scenario string, index string, criterion string, k int")
     hit = reshape.filter_points(ws.main.index_by_criterion, marks)

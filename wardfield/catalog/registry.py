@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import reshape
+from ..operators import reshape, spatial
 from ..plans import scenarios, study
 from ..sources import tables, views
 from ..state import new_folder, written
@@ -114,6 +114,37 @@ class Workspace:
         pairs = written(study.centroid_pairs(units), "scenario-pairs")
         return written(study.final_study(units, pairs), "scenario-labels")
 
+    @cached_property
+    def mapped_points(self) -> DataFrame:
+        """Centroids of the largest polygons of the scattered boundaries, with the integer unit beside the code."""
+        middle = spatial.centroid(views.scattered_boundaries(self.spark, self.folder))
+        return written(middle.withColumn("unit", F.substring("code", 2, 9).cast("bigint")), "mapped-points")
+
+    @cached_property
+    def mapped_distances(self) -> DataFrame:
+        """(i, j, d1): distances of the scattered boundaries, which every scenario shares."""
+        areas = views.scattered_boundaries(self.spark, self.folder).select(
+            F.substring("code", 2, 9).cast("bigint").alias("unit"), "parts")
+        return written(spatial.boundary_distance(areas), "mapped-distances")
+
+    @cached_property
+    def mapped(self) -> study.Study:
+        """Both targets on the scattered boundaries: their distance as geography, shape centroids as places."""
+        units = written(study.scenario_units(self.wide, self.mapped_points, TARGETS), "mapped-units")
+        return study.Study(units, study.study_pairs(units, self.mapped_distances))
+
+    @cached_property
+    def straight(self) -> study.VectorStudy:
+        """Both targets with places as points of the unit sphere: no table of pairs."""
+        return study.VectorStudy(self.units(TARGETS))
+
+    @cached_property
+    def mapped_scenario_labels(self) -> DataFrame:
+        sets = scenarios.scenario_columns(self.wide)
+        units = written(study.scenario_units(self.wide, self.mapped_points, sets), "mapped-scenario-units")
+        pairs = written(study.study_pairs(units, self.mapped_distances), "mapped-scenario-pairs")
+        return written(study.final_study(units, pairs), "mapped-scenario-labels")
+
     @cached_property
     def given_labels(self) -> DataFrame:
         """(key, unit, cluster): two partitions of the nations known without a tree."""

@@ -9,13 +9,24 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_M = 6371010.0
 
 
-def unwrapped(ring: Column) -> Column:
-    """Move every longitude within half a turn of the first vertex."""
+def unwrapped(ring: Column, near: Column | None = None) -> Column:
+    """Move every longitude within half a turn of ``near``, by default of the first vertex."""
+    near = ring[0]["lon"] if near is None else near
     return F.transform(ring, lambda p: F.struct(
-        (p["lon"] + F.lit(360.0) * F.round((ring[0]["lon"] - p["lon"]) / 360)).alias("lon"),
+        (p["lon"] + F.lit(360.0) * F.round((near - p["lon"]) / 360)).alias("lon"),
         p["lat"].alias("lat")))
 
 
+def holes_of(part: Column) -> Column:
+    """The hole rings of a polygon; none for NULL."""
+    return F.coalesce(part["holes"], F.array().cast("array<array<struct<lon:double,lat:double>>>"))
+
+
+def rings_of(part: Column) -> Column:
+    """The outer ring and the holes of a polygon."""
+    return F.concat(F.array(part["ring"]), holes_of(part))
+
+
 def next_points(ring: Column) -> Column:
     return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.array(ring[0]))
 
@@ -38,11 +49,21 @@ def signed_area(ring: Column) -> Column:
     return _edge_sum(ring, _cross) / 2
 
 
-def planar_centroid(ring: Column) -> Column:
-    six = signed_area(ring) * 6
-    x = _edge_sum(ring, lambda a, b: (a["lon"] + b["lon"]) * _cross(a, b))
-    y = _edge_sum(ring, lambda a, b: (a["lat"] + b["lat"]) * _cross(a, b))
-    return F.struct(F.try_divide(x, six).alias("lon"), F.try_divide(y, six).alias("lat"))
+def _ring_moments(ring: Column) -> Column:
+    """(area, x, y) of an unwrapped ring, counted positive whichever way it turns: the area, and its integrals of lon and lat."""
+    area = signed_area(ring)
+    side = F.when(area < 0, -1.0).otherwise(1.0)
+    x = _edge_sum(ring, lambda a, b: (a["lon"] + b["lon"]) * _cross(a, b)) / 6
+    y = _edge_sum(ring, lambda a, b: (a["lat"] + b["lat"]) * _cross(a, b)) / 6
+    return F.struct((area * side).alias("area"), (x * side).alias("x"), (y * side).alias("y"))
+
+
+def part_moments(part: Column) -> Column:
+    """(area, x, y) of a polygon: its outer ring less its holes, all on the side of the antimeridian of the first vertex."""
+    near = part["ring"][0]["lon"]
+    outer = _ring_moments(unwrapped(part["ring"]))
+    return F.aggregate(F.transform(holes_of(part), lambda h: _ring_moments(unwrapped(h, near))), outer, lambda m, h: F.struct(
+        *[(m[c] - h[c]).alias(c) for c in ("area", "x", "y")]))
 
 
 def to_xyz(lon: Column, lat: Column) -> Column:
@@ -86,13 +107,22 @@ def sphere_moment(vectors: Column) -> Column:
         *[(acc[c] + e["n"][c] * e["s"]).alias(c) for c in ("x", "y", "z")]))
 
 
-def moment_direction(total: Column, inner: Column) -> Column:
-    """Direction of a moment, turned to the side on which the ring's vertex ``inner`` lies."""
-    side = F.when(dot(total, inner) < 0, -1.0).otherwise(1.0)
-    return F.struct(
-        F.degrees(F.atan2(total["y"] * side, total["x"] * side)).alias("lon"),
-        F.degrees(F.atan2(total["z"] * side,
-                          F.sqrt(total["x"] * total["x"] + total["y"] * total["y"]))).alias("lat"))
+def part_sphere_moment(part: Column) -> Column:
+    """Area moment of a polygon on the sphere; each ring's moment is turned to the side on which the ring lies."""
+    def turned(ring: Column) -> Column:
+        v = ring_vectors(ring)
+        moment = sphere_moment(v)
+        side = F.when(dot(moment, v[0]) < 0, -1.0).otherwise(1.0)
+        return F.struct(*[(moment[c] * side).alias(c) for c in ("x", "y", "z")])
+
+    return F.aggregate(F.transform(holes_of(part), turned), turned(part["ring"]), lambda m, h: F.struct(
+        *[(m[c] - h[c]).alias(c) for c in ("x", "y", "z")]))
+
+
+def direction(v: Column) -> Column:
+    """Longitude and latitude of a vector."""
+    return F.struct(F.degrees(F.atan2(v["y"], v["x"])).alias("lon"),
+                    F.degrees(F.atan2(v["z"], F.sqrt(v["x"] * v["x"] + v["y"] * v["y"]))).alias("lat"))
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -103,41 +133,6 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_RADIUS_M)
 
 
-def point_to_arc(p: Column, a: Column, b: Column) -> Column:
-    """Angle from a point to the great-circle arc a-b."""
-    n = cross(a, b)
-    size = norm(n)
-    inside = (size > 0) & (dot(cross(n, a), p) >= 0) & (dot(cross(n, b), p) <= 0)
-    perp = F.asin(F.least(F.abs(F.try_divide(dot(n, p), size)), F.lit(1.0)))
-    return F.when(inside, perp).otherwise(F.least(angle(p, a), angle(p, b)))
-
-
-def _plus(a: Column, b: Column) -> Column:
-    return F.struct(*[(a[c] + b[c]).alias(c) for c in ("x", "y", "z")])
-
-
-def arcs_cross(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """True where the arcs a-b and c-d properly cross (both shorter than half a turn).
-
-    Arcs on one great circle give side products that are only rounding noise, so the
-    arcs must also be near enough for a common point: their middles no further apart
-    than their two half lengths.
-    """
-    n, m = cross(a, b), cross(c, d)
-    sc, sd = dot(n, c), dot(n, d)
-    sa, sb = dot(m, a), dot(m, b)
-    reach = (angle(a, b) + angle(c, d)) / 2 + F.lit(1e-9)
-    return ((sc * sd < 0) & (sa * sb < 0) & (sc * sb > 0)
-            & (angle(_plus(a, b), _plus(c, d)) <= reach))
-
-
-def arc_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """Smallest angle between two arcs: zero if they cross, else at some end point."""
-    ends = F.least(point_to_arc(a, c, d), point_to_arc(b, c, d),
-                   point_to_arc(c, a, b), point_to_arc(d, a, b))
-    return F.when(arcs_cross(a, b, c, d), 0.0).otherwise(ends)
-
-
 def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     """Ray casting in lon/lat, half-open in latitude so a vertex counts once."""
     at = lon + F.lit(360.0) * F.round((ring[0]["lon"] - lon) / 360)
@@ -150,3 +145,39 @@ def point_in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         return F.when(spans & (at < where), ~inside).otherwise(inside)
 
     return F.aggregate(edges(unwrapped(ring)), F.lit(False), flips)
+
+
+def point_in_part(point: Column, part: Column) -> Column:
+    """Inside the outer ring and in none of the holes: an odd number of the rings hold the point."""
+    return F.aggregate(rings_of(part), F.lit(False), lambda inside, r: inside != point_in_ring(point["lon"], point["lat"], r))
+
+
+def cell_side(level: Column) -> Column:
+    return F.pow(F.lit(2.0), -level)
+
+
+def cell_level(radius: Column, finest: int = 20) -> Column:
+    """The finest level of the grid whose cells are no smaller than ``radius``."""
+    return F.least(F.lit(finest), F.floor(-F.log2(F.greatest(radius, F.lit(2.0 ** -finest))))).cast("int")
+
+
+def cell_of(v: Column, level: Column) -> Column:
+    """The cell of a point in the cubic grid around the unit sphere; no seam at the poles or the antimeridian."""
+    side = cell_side(level)
+    return F.struct(level.alias("level"), *[F.floor(v[c] / side).cast("int").alias(c) for c in ("x", "y", "z")])
+
+
+def cells_of(v: Column, radius: Column, level: Column) -> Column:
+    """All cells that a ball may touch: at most three an axis while ``radius`` is no larger than a cell."""
+    side = cell_side(level)
+
+    def along(c: str) -> Column:
+        return F.sequence(F.floor((v[c] - radius) / side).cast("int"), F.floor((v[c] + radius) / side).cast("int"))
+
+    return F.flatten(F.flatten(F.transform(along("x"), lambda x: F.transform(along("y"), lambda y: F.transform(
+        along("z"), lambda z: F.struct(level.alias("level"), x.alias("x"), y.alias("y"), z.alias("z")))))))
+
+
+def chord(reach: Column) -> Column:
+    """Straight distance across an angle; whatever reaches further than half a turn reaches everything."""
+    return 2 * F.sin(F.least(reach, F.lit(3.141592653589793)) / 2)

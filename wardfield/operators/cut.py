@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..state import maybe_broadcast, written, written_counted
-from .ward import GROUP, Tree
+from .ward import GROUP, Tree, steps_column
 
 
 def top_merges(tree: Tree, count: int) -> DataFrame:
@@ -21,8 +21,7 @@ def top_merges(tree: Tree, count: int) -> DataFrame:
 
 
 def _unit_rows(tree: Tree) -> DataFrame:
-    steps = F.explode(F.array(*[F.lit(int(a)) for a in tree.alpha_steps])).alias("alpha_step")
-    return tree.units.select("scenario", steps, "unit")
+    return tree.units.select("scenario", F.explode(steps_column(tree.alpha_steps)).alias("alpha_step"), "unit")
 
 
 def _follow(merges, start):
@@ -39,7 +38,7 @@ def _roots(tree: Tree, k_max: int) -> DataFrame:
     that many units share are no join keys of later steps.
     """
     top = written(top_merges(tree, k_max - 1), "top")
-    trees = len(tree.sizes) * len(tree.alpha_steps)
+    trees = tree.trees
     lower = tree.merges.join(maybe_broadcast(top.select(*GROUP, "right"), trees * k_max),
                              [*GROUP, "right"], "left_anti").select(
         *GROUP, F.col("right").alias("unit"), F.col("left").alias("to"))

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
-from .pairs import blend_linear, with_alphas
-from .ranks import frame_bounds, frame_histogram, select_ranks
+from ..state import written
+from .pairs import blend_linear
+from .ranks import frame_bins, rank_sums
 
 COMBO = ["alpha_step", "k"]
 
@@ -77,48 +78,37 @@ def mcclain_rao(sums: DataFrame) -> DataFrame:
                                              safe_div(F.col("s_b"), F.col("n_b"))))
 
 
-def c_index_rows(sums: list, key_of, bounds: dict, histogram, variant: str = "sums") -> list[tuple]:
-    """C-index of each row of ``sums`` (few: one per partition).
+def c_index_values(sums: DataFrame, bounds: DataFrame, bins, variant: str = "sums") -> DataFrame:
+    """``sums(key, s_w, n_w, s_b, n_b, ...)`` with the C-index as ``value``; all keys in the same passes.
 
     ``variant='sums'``: against the sums of the n_w smallest and largest distances;
     ``'extremes'``: against n_w times the smallest and the largest distance.
     """
-    picks = {}
     if variant == "sums":
-        wanted = []
-        for r in sums:
-            n = bounds[key_of(r)][0]
-            wanted += [(key_of(r), r["n_w"]), (key_of(r), n - r["n_w"])]
-        picks = select_ranks(bounds, wanted, histogram)
-    out = []
-    for r in sums:
-        n, lo, hi = bounds[key_of(r)]
-        if variant == "sums":
-            # The sum of the n_w largest is the total less the n - n_w smallest.
-            small, rest = (picks.get((key_of(r), rank), (None, 0.0))[1] for rank in (r["n_w"], n - r["n_w"]))
-            large = (r["s_w"] or 0.0) + (r["s_b"] or 0.0) - rest
-        else:
-            small, large = r["n_w"] * lo, r["n_w"] * hi
-        spread = large - small
-        out.append((r["s_w"] - small) / spread if spread and r["s_w"] is not None else None)
-    return out
+        ranks = sums.select("key", F.col("n_w").alias("rank")).unionByName(sums.select("key", F.col("n_b").alias("rank")))
+        found = rank_sums(bounds, ranks, bins)
+        lower = found.select("key", F.col("rank").alias("n_w"), F.col("total").alias("small"))
+        upper = found.select("key", F.col("rank").alias("n_b"), F.col("total").alias("less"))
+        # The sum of the n_w largest is the total less the n_b smallest.
+        both = sums.join(lower, ["key", "n_w"], "left").join(upper, ["key", "n_b"], "left")
+        small = F.coalesce("small", F.lit(0.0))
+        large = F.coalesce("s_w", F.lit(0.0)) + F.coalesce("s_b", F.lit(0.0)) - F.coalesce("less", F.lit(0.0))
+    else:
+        both = sums.join(bounds.select("key", "lo", "hi"), "key")
+        small, large = F.col("n_w") * F.col("lo"), F.col("n_w") * F.col("hi")
+    return both.withColumn("value", safe_div(F.col("s_w") - small, large - small)).drop("small", "less", "lo", "hi")
 
 
 def c_index(pairs: DataFrame, sums: DataFrame, combos: list[str] | None = None,
             variant: str = "sums") -> DataFrame:
     """(S_w - S_min) / (S_max - S_min); the bounds come from rank search, not from a sort."""
     combos = COMBO if combos is None else combos
-    spark = pairs.sparkSession
-    rows = sums.select("scenario", *combos, "s_w", "n_w", "s_b", "n_b").collect()  # one per partition
-    alphas = sorted({r["alpha_step"] for r in rows})
     key = F.concat_ws("|", "scenario", F.col("alpha_step").cast("string"))
-    used = key.isin([f"{r['scenario']}|{r['alpha_step']}" for r in rows])
-    values = blend_linear(with_alphas(pairs, alphas)).where(used).select(key.alias("key"), F.col("d").alias("v"))
-    found = c_index_rows(rows, lambda r: f"{r['scenario']}|{r['alpha_step']}", frame_bounds(values),
-                         frame_histogram(values), variant)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sums.select("scenario", *combos).schema)
-    return spark.createDataFrame([(r["scenario"], *[r[c] for c in combos], v) for r, v in zip(rows, found)],
-                                 f"{fields}, value double")
+    keyed = written(sums.select("scenario", *combos, "s_w", "n_w", "s_b", "n_b", key.alias("key")), "c-index-sums")
+    used = keyed.select("scenario", "alpha_step").distinct()  # one row per scenario and weight
+    values = written(blend_linear(pairs.join(F.broadcast(used), "scenario")).select(key.alias("key"), F.col("d").alias("v")), "c-index-values")
+    bounds = written(values.groupBy("key").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "c-index-bounds")
+    return c_index_values(keyed, bounds, frame_bins(values), variant).select("scenario", *combos, "value")
 
 
 def calinski_harabasz(units: DataFrame, labels: DataFrame, x: str = "x",

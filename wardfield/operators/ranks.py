@@ -12,9 +12,11 @@ import math
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..state import maybe_broadcast, written_counted
+
 BINS = 512
 
 
@@ -94,3 +96,39 @@ def quantiles(values: DataFrame, probs: list[float]) -> dict[str, list[float]]:
         a, b = found[(k, math.floor(h) + 1)][0], found[(k, math.ceil(h) + 1)][0]
         out[k].append(a + (h - math.floor(h)) * (b - a))
     return out
+
+
+def frame_bins(values: DataFrame) -> Callable[[DataFrame, int], DataFrame]:
+    """Histogram passes over a written table (key, v) that stay tables."""
+
+    def run(open_: DataFrame, rows: int) -> DataFrame:
+        hit = values.join(maybe_broadcast(open_, rows), "key").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        return hit.groupBy("key", "lo", "hi", bin_of(F.col("v"), F.col("lo"), F.col("hi")).alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.min("v").alias("small"), F.max("v").alias("large"))
+
+    return run
+
+
+def rank_sums(bounds: DataFrame, wanted: DataFrame, bins: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(key, rank, value, total) for each distinct (key, rank) of ``wanted``: the value of that rank and the sum of the ``rank`` smallest.
+
+    ``bounds(key, n, lo, hi)``; a rank below 1 or above n gives no row. ``bins`` takes the open intervals (key, lo, hi) and gives
+    (key, lo, hi, b, n, s, small, large). Every pass is a table; the driver sees how many ranks are open.
+    """
+    start = wanted.distinct().join(bounds, "key").where(F.col("rank").between(F.lit(1), F.col("n"))).select(
+        "key", "rank", "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.lit(0.0).alias("below_sum"))
+    open_rows = {"open": F.count_if(F.col("lo") < F.col("hi"))}
+    state, seen = written_counted(start, "ranks", **open_rows)
+    while seen["open"]:
+        going = state.where("lo < hi")
+        # At most BINS rows of an interval stand in one window.
+        upto = Window.partitionBy("key", "lo", "hi").orderBy("b")
+        running = bins(going.select("key", "lo", "hi").distinct(), seen["open"]).select(
+            "*", F.sum("n").over(upto).alias("upto"), F.sum("s").over(upto).alias("upto_sum"))
+        hold = going.join(running, ["key", "lo", "hi"]).where(F.col("below") + F.col("upto") >= F.col("rank"))
+        first = hold.groupBy("key", "rank").agg(F.min(F.struct(
+            "b", "small", "large", (F.col("below") + F.col("upto") - F.col("n")).alias("below"),
+            (F.col("below_sum") + F.col("upto_sum") - F.col("s")).alias("below_sum"))).alias("f"))
+        after = first.select("key", "rank", F.col("f.small").alias("lo"), F.col("f.large").alias("hi"), "f.below", "f.below_sum")
+        state, seen = written_counted(state.where("lo = hi").unionByName(after), "ranks", **open_rows)
+    return state.select("key", "rank", F.col("lo").alias("value"), (F.col("below_sum") + (F.col("rank") - F.col("below")) * F.col("lo")).alias("total"))

@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from ..state import maybe_broadcast, written, written_counted
 
-# Polygons are heavy rows: only this many are broadcast.
-BROADCAST_SHAPES = 5_000
+# A key with more than this share of all rows is dealt out over several tasks.
+HOT_SHARE = 1 / 64
 
 
 def pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -67,13 +67,18 @@ def filter_points(df: DataFrame, points: DataFrame) -> DataFrame:
 def join_geometry(boundaries: DataFrame, panel: DataFrame) -> DataFrame:
     """Every boundary with its panel rows; boundaries without rows stay with NULLs.
 
-    A unit may own a large share of the panel. With a counted, small boundary table the
-    panel is matched where it lies and the boundaries that found nothing are added.
+    A unit may own a large share of the panel. Units whose counted share is above HOT_SHARE, of which there are
+    fewer than 1 / HOT_SHARE, have their rows dealt out and their boundary repeated once for each
+    such share, so no task gets more than about one share of the panel, whatever the sizes of the two tables.
     """
-    if boundaries.count() > BROADCAST_SHAPES:
-        return boundaries.join(panel, "code", "left")
-    found = panel.join(F.broadcast(boundaries), "code")
-    alone = boundaries.join(panel.select("code").distinct(), "code", "left_anti")
+    counts = panel.where("code IS NOT NULL").groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot = {r["code"]: int(r["n"] / (total * HOT_SHARE)) + 1 for r in counts.where(F.col("n") > total * HOT_SHARE).collect()}
+    parts = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col("code")], F.lit(1)) if hot else F.lit(1)
+    dealt = panel.withColumn("deal", F.pmod(F.xxhash64(*panel.columns), parts).cast("int"))
+    spread = boundaries.withColumn("deal", F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))))
+    found = dealt.join(spread.hint("merge"), ["code", "deal"]).drop("deal")
+    alone = boundaries.join(counts.select("code"), "code", "left_anti")
     return alone.unionByName(found, allowMissingColumns=True).select(
         *boundaries.columns, *[c for c in panel.columns if c != "code"])
 

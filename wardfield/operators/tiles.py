@@ -18,23 +18,17 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import to_xyz
 from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written
-from .indices import c_index_rows, dunn, mcclain_rao, silhouette_from_sums
+from . import extremes, small_trees
+from .indices import c_index_values, dunn, mcclain_rao, silhouette_from_sums
+from .pairs import in_tiles
 from .ranks import BINS
-from .ward import GROUP, Tree, all_merges
+from .ward import GROUP, Tree, all_merges, by_scenario
 
 
 def block_count(units: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-units // block_rows))
 
 
-def in_tiles(units: DataFrame, blocks: int) -> DataFrame:
-    """Each unit once per tile (p <= q) its block ``blk`` takes part in."""
-    block = F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    return units.withColumn("blk", block).withColumn("other", other).select(
-        "*", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q")).drop("other")
-
-
 # Arrow types of the columns tiles return.
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
@@ -181,7 +175,9 @@ def tile_histogram(units: DataFrame, count: int, alphas: dict[str, float], scale
                    block_rows: int = BLOCK_ROWS):
     """Histogram passes over all pair distances, for the rank search."""
 
-    def run(intervals):
+    def run(open_: DataFrame, _rows: int) -> DataFrame:
+        intervals = [tuple(r) for r in open_.collect()]  # at most two a partition
+
         def work(t: _Tile):
             once, cache = t.once(), {}
             for key, lo, hi in intervals:
@@ -203,14 +199,16 @@ def tile_histogram(units: DataFrame, count: int, alphas: dict[str, float], scale
 
         rows = _run(units, count, work, "key string, lo double, hi double, b int, n bigint, s double, "
                                         "small double, large double", block_rows=block_rows)
-        return (tuple(r) for r in rows.groupBy("key", "lo", "hi", "b").agg(
-            F.sum("n"), F.sum("s"), F.min("small"), F.max("large")).collect())
+        return rows.groupBy("key", "lo", "hi", "b").agg(
+            F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("small").alias("small"), F.max("large").alias("large"))
 
     return run
 
 
 def tile_bounds(units: DataFrame, count: int, alphas: dict[str, float], scale: tuple[float, float],
-                block_rows: int = BLOCK_ROWS) -> dict[str, tuple[int, float, float]]:
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(key, n, lo, hi): number, smallest and largest of all distances at each weight."""
+
     def work(t: _Tile):
         once = t.once()
         for key, alpha in alphas.items():
@@ -219,8 +217,7 @@ def tile_bounds(units: DataFrame, count: int, alphas: dict[str, float], scale: t
                 yield {"key": [key], "n": [len(v)], "lo": [v.min()], "hi": [v.max()]}
 
     rows = _run(units, count, work, "key string, n bigint, lo double, hi double", block_rows=block_rows)
-    return {r[0]: (r[1], r[2], r[3]) for r in
-            rows.groupBy("key").agg(F.sum("n"), F.min("lo"), F.max("hi")).collect()}
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[str] | None = None,
@@ -232,8 +229,10 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     by their largest value.
     """
     wanted = indices or ["Sil", "Dunn", "Cindex", "McClain"]
-    spark, keys = units.sparkSession, list(partitions)
+    keys = list(partitions)
     geo = any(partitions.values())
+    if wanted == ["Dunn"] and not units.where(F.exists("x", lambda v: v.isNull() | F.isnan(v))).take(1):
+        return pruned_dunn(units, partitions).select("key", F.lit("Dunn").alias("index"), "value")
     payload = units.select("unit", "x", *(["g"] if geo else []),
                            F.array(*[F.col(k).cast("int") for k in keys]).alias("labels"))
     count = payload.count()
@@ -255,13 +254,11 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     if "McClain" in wanted:
         out.append(("McClain", mcclain_rao(overall)))
     if "Cindex" in wanted:
-        rows = overall.collect()  # one row per partition
         by_alpha = {str(a): a for a in alphas.values()}
-        bounds = tile_bounds(payload, count, by_alpha, scale, block_rows)
-        found = c_index_rows(rows, lambda r: str(alphas[keys[r["combo"]]]), bounds,
-                             tile_histogram(payload, count, by_alpha, scale, block_rows), variant)
-        out.append(("Cindex", spark.createDataFrame(
-            [(r["combo"], v) for r, v in zip(rows, found)], "combo int, value double")))
+        weight = F.element_at(F.array(*[F.lit(str(alphas[k])) for k in keys]), F.col("combo") + 1).alias("key")
+        keyed = written(overall.select("combo", "s_w", "n_w", "s_b", "n_b", weight), "tile-overall")
+        bounds = written(tile_bounds(payload, count, by_alpha, scale, block_rows), "tile-bounds")
+        out.append(("Cindex", c_index_values(keyed, bounds, tile_histogram(payload, count, by_alpha, scale, block_rows), variant)))
     parts = [df.select(name, F.lit(n).alias("index"), "value") for n, df in out]
     result = parts[0]
     for p in parts[1:]:
@@ -269,6 +266,30 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     return result
 
 
+def pruned_dunn(units: DataFrame, partitions: dict[str, int]) -> DataFrame:
+    """(key, value, measured, possible): the Dunn index of given partitions without comparing all pairs.
+
+    As :func:`vector_indices`, for features without gaps. ``measured`` of the ``possible`` pairs of cells were compared
+    vector by vector; bounds ruled the others out.
+    """
+    split = units.select(F.max(F.size("x"))).first()[0] or 0
+    found = []
+    geo = any(partitions.values())
+    v = F.concat("x", "g") if geo else F.col("x")
+    tops = (extremes.largest_distance(units, "x", split)["all"], extremes.largest_distance(units, "g", 3, angle=True)["all"]) if geo else (1.0, 1.0)
+    for step in sorted(set(partitions.values())):
+        alpha = step / 100.0
+        names = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("int").alias("label"))
+                                    for k, s in partitions.items() if s == step])).alias("p")
+        metric = extremes.Metric(split, (1 - alpha) / (tops[0] or 1.0), alpha / (tops[1] or 1.0) if alpha else 0.0)
+        points = units.select(names, (v if alpha else F.col("x")).alias("v")).select("p.key", "p.label", "v")
+        found.append(extremes.cluster_extremes(points, metric))
+    rows = found[0]
+    for more in found[1:]:
+        rows = rows.unionByName(more)
+    return dunn(rows).select("key", "value", "measured", "possible")
+
+
 def vector_inertia(units: DataFrame, x: str = "x", by: list[str] | None = None) -> DataFrame:
     """Total inertia with weights 1/n from column variances: linear, no pairs."""
     by = by or []
@@ -276,13 +297,13 @@ def vector_inertia(units: DataFrame, x: str = "x", by: list[str] | None = None)
     return spread.groupBy(*by).agg(F.sum("s").alias("inertia"))
 
 
-def _nearest(clusters: DataFrame, per_tree: int, split: int, scale: tuple[float, float],
-             block_rows: int) -> DataFrame:
-    """Exact nearest neighbour of every cluster by Ward value, ties to the smallest id."""
+def nearest_clusters(clusters: DataFrame, per_tree: int, split: int, scales: dict[str, tuple[float, float]],
+                     block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact nearest neighbour of every cluster by Ward value, ties to the smallest id; one scale per scenario."""
 
     def work(t: _Tile):
-        step = t.left["alpha_step"][0].as_py()
-        alpha = step / 100.0
+        scenario, step = t.left["scenario"][0].as_py(), t.left["alpha_step"][0].as_py()
+        alpha, scale = step / 100.0, scales[scenario]
         stretch = np.sqrt(np.r_[np.full(split, (1 - alpha) / scale[0] ** 2), np.full(3, alpha / scale[1] ** 2)])
 
         def side(rows):
@@ -297,41 +318,41 @@ def _nearest(clusters: DataFrame, per_tree: int, split: int, scale: tuple[float,
             best = m.argmin(1)
             value = m[np.arange(len(ids)), best]
             ok = np.isfinite(value)
-            yield {"alpha_step": np.full(ok.sum(), step), "node": ids[ok], "nbr": others[best[ok]],
-                   "ward": value[ok]}
+            yield {"scenario": [scenario] * int(ok.sum()), "alpha_step": np.full(ok.sum(), step), "node": ids[ok],
+                   "nbr": others[best[ok]], "ward": value[ok]}
 
-    near = _run(clusters.select("alpha_step", "unit", "w", "z"), per_tree, work,
-                "alpha_step int, node bigint, nbr bigint, ward double", by=("alpha_step",),
+    near = _run(clusters.select("scenario", "alpha_step", "unit", "w", "z"), per_tree, work,
+                "scenario string, alpha_step int, node bigint, nbr bigint, ward double", by=("scenario", "alpha_step"),
                 block_rows=block_rows)
-    return near.groupBy("alpha_step", "node").agg(F.min(F.struct("ward", "nbr")).alias("best"))
+    return near.groupBy(*GROUP, "node").agg(F.min(F.struct("ward", "nbr")).alias("best"))
 
 
-def _merged_vectors(clusters: DataFrame, best: DataFrame, split: int, scale: tuple[float, float],
-                    step: int) -> DataFrame:
+def merged_vectors(clusters: DataFrame, best: DataFrame, split: int, scales: dict[str, tuple[float, float]],
+                   step: int) -> DataFrame:
     """The reciprocal nearest neighbours as merges, with the weight and vector sum they form."""
-    pair = best.select("alpha_step", F.least("node", "best.nbr").alias("left"),
+    pair = best.select(*GROUP, F.least("node", "best.nbr").alias("left"),
                        F.greatest("node", "best.nbr").alias("right"), "best.ward")
-    met = pair.groupBy("alpha_step", "left", "right").agg(
+    met = pair.groupBy(*GROUP, "left", "right").agg(
         F.count(F.lit(1)).alias("votes"), F.max("ward").alias("ward")).where("votes = 2").drop("votes")
 
     def end(name: str) -> DataFrame:
         return clusters.select("scenario", "alpha_step", F.col("unit").alias(name), F.col("w").alias(f"w_{name}"),
                                F.col("z").alias(f"z_{name}"), F.col("h").alias(f"h_{name}"))
 
-    both = met.join(end("left"), ["alpha_step", "left"]).join(
-        end("right").drop("scenario"), ["alpha_step", "right"])
+    both = met.join(end("left"), [*GROUP, "left"]).join(end("right"), [*GROUP, "right"])
     gap = F.zip_with("z_left", "z_right", lambda a, b: F.pow(
         a / F.col("w_left") - b / F.col("w_right"), F.lit(2.0)))
     half = F.col("w_left") * F.col("w_right") / (F.col("w_left") + F.col("w_right"))
 
-    def growth(part, top):
-        return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) * half / F.lit(float(top) ** 2)
+    def growth(part, place):
+        square = by_scenario({s: float(v[place]) ** 2 for s, v in scales.items()})
+        return F.aggregate(part, F.lit(0.0), lambda s, v: s + v) * half / square
 
     return both.select(
         *GROUP, F.lit(step).alias("round"), "left", "right",
         F.greatest("ward", "h_left", "h_right").alias("height"),
-        growth(F.slice(gap, 1, split), scale[0]).alias("dw0"),
-        growth(F.slice(gap, split + 1, 3), scale[1]).alias("dw1"),
+        growth(F.slice(gap, 1, split), 0).alias("dw0"),
+        growth(F.slice(gap, split + 1, 3), 1).alias("dw1"),
         (F.col("w_left") + F.col("w_right")).alias("w"),
         F.zip_with("z_left", "z_right", lambda a, b: a + b).alias("z"))
 
@@ -352,6 +373,7 @@ def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[flo
     if scale is None:
         top0, top1 = largest_distances(units, n, True, block_rows)
         scale = (top0 or 1.0, 2 * np.sin(top1 / 2) or 1.0)
+    scales = {scenario: scale}
     steps = F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])).alias("alpha_step")
     weighted = F.transform(F.concat("x", "g"), lambda v: v / F.lit(float(n)))
     rounds, done = Rounds(spark, "ward-vectors"), []
@@ -363,14 +385,17 @@ def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[flo
         step = len(done) + 1
         alive, per_tree = sum(left.values()), max(left.values())
         rounds.fit(alive * block_count(per_tree, block_rows))
-        formed = _merged_vectors(clusters, _nearest(clusters, per_tree, split, scale, block_rows), split, scale, step)
+        if per_tree <= small_trees.FEW:
+            done.append(rounds.keep(small_trees.finish_vectors(clusters, split, scales, step), f"merges-{step}"))
+            break
+        formed = merged_vectors(clusters, nearest_clusters(clusters, per_tree, split, scales, block_rows), split, scales, step)
         merges, merged = rounds.keep_counted(formed, f"merges-{step}")
         done.append(merges.drop("w", "z"))
         for a, count in merges.groupBy("alpha_step").count().collect():  # one row per weight
             left[a] -= count
         if max(left.values()) > 1:
-            touched = merges.select("alpha_step", F.explode(F.array("left", "right")).alias("unit"))
-            kept = clusters.join(maybe_broadcast(touched, 2 * merged), ["alpha_step", "unit"], "left_anti")
+            touched = merges.select(*GROUP, F.explode(F.array("left", "right")).alias("unit"))
+            kept = clusters.join(maybe_broadcast(touched, 2 * merged), [*GROUP, "unit"], "left_anti")
             fresh = merges.select(*GROUP, F.col("left").alias("unit"), "w", "z", F.col("height").alias("h"))
             clusters = rounds.keep(kept.select(fresh.columns).unionByName(fresh), f"clusters-{step}")
         rounds.drop(f"clusters-{step - 1}")

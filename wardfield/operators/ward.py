@@ -13,33 +13,62 @@ may merge together; every weight and scenario advances in the same round.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..state import BROADCAST_ROWS, Rounds
-from .pairs import with_alphas
+from . import small_trees
 
 GROUP = ["scenario", "alpha_step"]
 
 
+Steps = list[int] | dict[str, list[int]]
+
+
+def steps_in(alpha_steps: Steps, scenario: str) -> list[int]:
+    return alpha_steps.get(scenario, []) if isinstance(alpha_steps, dict) else alpha_steps
+
+
+def steps_column(alpha_steps: Steps):
+    """The weights of a row's scenario as an array."""
+    def array(steps):
+        return F.array(*[F.lit(int(a)) for a in steps]).cast("array<int>")
+
+    if not isinstance(alpha_steps, dict):
+        return array(alpha_steps)
+    cells = [x for s, steps in alpha_steps.items() for x in (F.lit(s), array(steps))]
+    return F.coalesce(F.create_map(*cells)[F.col("scenario")], array([])) if cells else array([])
+
+
 @dataclass
 class Tree:
     """``merges``: one row per merge, ``left`` keeps its id and ``right`` disappears.
 
     A cluster's id is its smallest unit. ``dw0`` and ``dw1`` are the growth of the
-    within-cluster inertia of the two tables. ``sizes`` maps scenario to unit count.
+    within-cluster inertia of the two tables. ``sizes`` maps scenario to unit count, ``alpha_steps``
+    lists the weights, or maps scenario to its own.
     """
     units: DataFrame
     merges: DataFrame
-    alpha_steps: list[int]
+    alpha_steps: Steps
     sizes: dict[str, int]
+    rounds: list[tuple[int, int, int]] = field(default_factory=list)
+
+    @property
+    def trees(self) -> int:
+        return sum(len(steps_in(self.alpha_steps, s)) for s in self.sizes)
 
     @property
     def cluster_rows(self) -> int:
-        return sum(self.sizes.values()) * len(self.alpha_steps)
+        return sum(n * len(steps_in(self.alpha_steps, s)) for s, n in self.sizes.items())
+
+    def only(self, combos: list[tuple[int, int]]) -> Tree:
+        """The trees at the weights of ``combos(k, alpha_step)``: nothing else is read from the merges."""
+        wanted = sorted({a for _, a in combos})
+        return Tree(self.units, self.merges.where(F.col("alpha_step").isin(wanted)), wanted, self.sizes)
 
 
 def unit_counts(units: DataFrame) -> dict[str, int]:
@@ -61,7 +90,7 @@ MERGES = ("scenario string, alpha_step int, round int, left bigint, right bigint
           "dw0 double, dw1 double")
 
 
-def _start(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str,
+def _start(units: DataFrame, pairs: DataFrame, alpha_steps: Steps, mix: str,
            sizes: dict[str, int]) -> DataFrame:
     if mix == "squared":
         w = by_scenario({s: 1.0 / n for s, n in sizes.items()})
@@ -80,7 +109,7 @@ def _start(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str,
 
     clusters = rows(units, "unit", "unit", w, zero, zero, True)
     edges = rows(pairs, "i", "j", zero, m["d0"], m["d1"], False)
-    return with_alphas(clusters.unionByName(edges), alpha_steps)
+    return clusters.unionByName(edges).withColumn("alpha_step", F.explode(steps_column(alpha_steps)))
 
 
 # Edges with their Ward value; the rounding of a value must not put a merge below
@@ -155,7 +184,7 @@ def _relabel_sql(merges: int) -> str:
     return _RELABEL.replace("{hint_merges}", "/*+ BROADCAST(ma, mb) */" if merges <= BROADCAST_ROWS else "")
 
 
-def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: str = "squared",
+def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: Steps, mix: str = "squared",
               order: str = "batched") -> Tree:
     """Ward trees of the blended dissimilarity, for every scenario and weight.
 
@@ -163,7 +192,8 @@ def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: s
     units. ``mix='squared'`` blends d0^2 and d1^2 with unit weights 1/n; ``mix='linear'``
     blends d0 and d1 and starts from the plain distance. ``order='batched'`` merges all
     reciprocal neighbours per round; ``'sequential'`` one pair per tree and round (needed
-    only to reproduce a fixed choice among ties).
+    only to reproduce a fixed choice among ties). When no tree has more than ``small_trees.FEW``
+    clusters left, each is finished by one task, smallest pair first.
 
     A round keeps its merges and then the next state in shared storage; nothing but row
     counts comes back to the driver.
@@ -172,19 +202,29 @@ def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: s
     if not isinstance(units.schema["unit"].dataType, T.IntegralType):
         raise TypeError("units must be integers; number them with row_index")
     sizes = unit_counts(units)
-    trees = len(sizes) * len(alpha_steps)
-    clusters = sum(sizes.values()) * len(alpha_steps)
-    rows = sum(n * (n + 1) // 2 for n in sizes.values()) * len(alpha_steps)
+    per = {s: len(steps_in(alpha_steps, s)) for s in sizes}
+    trees = sum(per.values())
+    clusters = sum(n * per[s] for s, n in sizes.items())
+    rows = sum(n * (n + 1) // 2 * per[s] for s, n in sizes.items())
+    left = {(s, int(a)): n for s, n in sizes.items() for a in steps_in(alpha_steps, s)}
     rounds, done = Rounds(spark, f"ward-{mix}"), []
     state = rounds.keep(_start(units, pairs, alpha_steps, mix, sizes), "state-0")
     while clusters > trees:
         rounds.fit(rows)
         step = len(done) + 1
+        if max(left.values()) <= small_trees.FEW:
+            rest, merged = rounds.keep_counted(small_trees.finish_pairs(state, step), f"merges-{step}")
+            if merged < clusters - trees:
+                raise ValueError("the pair table does not connect all units")
+            done.append(rest)
+            break
         linked = rounds.session.sql(_linkage_sql(order, clusters, step), state=state)
         merges, merged = rounds.keep_counted(linked, f"merges-{step}")
         if merged == 0:
             raise ValueError("the pair table does not connect all units")
         done.append(merges)
+        for r in merges.groupBy(*GROUP).count().collect():  # one row per tree
+            left[r["scenario"], r["alpha_step"]] -= r["count"]
         # Pairs shrink with the square of the clusters; an estimate is enough to size the next step.
         rows = int(rows * ((clusters - merged) / clusters) ** 2) + 1
         clusters -= merged
@@ -192,7 +232,7 @@ def ward_tree(units: DataFrame, pairs: DataFrame, alpha_steps: list[int], mix: s
             moved = rounds.session.sql(_relabel_sql(merged), state=state, merges=merges)
             state = rounds.keep(moved, f"state-{step}")
         rounds.drop(f"state-{step - 1}")
-    return Tree(units.select("scenario", "unit"), all_merges(rounds, done, spark), list(alpha_steps), sizes)
+    return Tree(units.select("scenario", "unit"), all_merges(rounds, done, spark), alpha_steps, sizes)
 
 
 def all_merges(rounds: Rounds, done: list[DataFrame], spark) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (CRITERION_LABELS, INDEX_LABELS, MIN_IS_BEST, combo_column, combo_key,
                                  pct_change, recode, recode_matching, scenario_key, sign_part)
-from ..operators import compare, cut, indices, inertia, reshape, stats
+from ..operators import compare, cut, graph_tree, indices, inertia, reshape, stats
 from ..operators.pairs import feature_distance, geo_distance, range_normalise, total_inertia, unit_pairs
+from ..operators.tiles import unit_point
 from ..operators.ward import Tree, ward_tree
 from ..state import written
 
@@ -31,10 +32,25 @@ def combo_rows(spark, combos: list[tuple[int, int]] | None = None) -> DataFrame:
     return spark.createDataFrame(COMBOS if combos is None else combos, "k int, alpha_step int")
 
 
-def centroid_pairs(units: DataFrame) -> DataFrame:
-    """units(scenario, unit, x, lon, lat) to normalised pairs(scenario, i, j, d0, d1)."""
-    met = geo_distance(feature_distance(unit_pairs(units, ["x", "lon", "lat"])))
-    return range_normalise(written(met.select("scenario", "i", "j", "d0", "d1"), "raw-pairs"))
+def study_pairs(units: DataFrame, geography: DataFrame | None = None) -> DataFrame:
+    """units(scenario, unit, x, lon, lat) to normalised pairs(scenario, i, j, d0, d1).
+
+    Geography is the same for all scenarios, so a pair of units is made once and measured once: by ``geography(i, j, d1)``
+    if given (boundaries, travel times, ...), else by the great circle between the units' points. Each scenario's feature distance
+    is added in place.
+    """
+    sets = F.sort_array(F.collect_list(F.struct("scenario", "x"))).alias("sets")  # a row a scenario
+    once = units.groupBy("unit").agg(sets, F.first("lon").alias("lon"), F.first("lat").alias("lat"))
+    met = unit_pairs(once, ["sets", "lon", "lat"], by=[])
+    met = geo_distance(met) if geography is None else met.join(geography.select("i", "j", "d1"), ["i", "j"], "left")
+    both = F.filter(F.flatten(F.transform("sets_i", lambda a: F.transform("sets_j", lambda b: F.struct(
+        a["scenario"].alias("scenario"), a["x"].alias("x_i"), b["x"].alias("x_j"), (a["scenario"] == b["scenario"]).alias("same"))))),
+        lambda s: s["same"])
+    rows = feature_distance(met.select("i", "j", "d1", F.explode(both).alias("s")).select("s.scenario", "i", "j", "s.x_i", "s.x_j", "d1"))
+    return range_normalise(written(rows.select("scenario", "i", "j", "d0", "d1"), "raw-pairs"))
+
+
+centroid_pairs = study_pairs
 
 
 def scenario_units(wide: DataFrame, points: DataFrame, scenarios: dict[str, list[str]],
@@ -95,8 +111,8 @@ class Study:
     @cached_property
     def index_labels(self) -> DataFrame:
         """Cuts of the linear-blend trees at the chosen weights and at weight 0."""
-        chosen = [r[0] for r in self.stars.select("alpha_step").distinct().collect()]  # at most 2 per K
-        tree = ward_tree(self.units, self.pairs, sorted({0, *chosen}), "linear", self.order)
+        chosen = {r[0]: r[1] for r in self.stars.groupBy("scenario").agg(F.collect_set("alpha_step")).collect()}  # at most 2 per K
+        tree = ward_tree(self.units, self.pairs, {s: sorted({0, *steps}) for s, steps in chosen.items()}, "linear", self.order)
         labels = cut.cut_tree(tree, self.ks)
         zero = self.stars.select("scenario", "k", F.lit(0).alias("alpha_step"))
         needed = self.stars.select("scenario", "k", "alpha_step").unionByName(zero).distinct()
@@ -131,7 +147,8 @@ class Study:
                                                 F.col("value").alias("index_val"))
         base = self.index_baseline().withColumnRenamed("value", "index_val0")
         joined = join_baseline(chosen, base)
-        change = pct_change(F.col("index_val"), F.col("index_val0"))
+        # A baseline that is zero but for rounding has no percent change.
+        change = pct_change(F.col("index_val"), F.when(F.abs("index_val0") > 1e-12, F.col("index_val0")))
         wanted = F.lit(False)
         for scenario, values in ks.items():
             wanted = wanted | ((F.col("scenario") == scenario) & F.col("k").isin(values))
@@ -150,12 +167,56 @@ class Study:
 
     # -- the final partitions ---------------------------------------------
     def cluster_units(self, combos: list[tuple[int, int]] | None = None) -> DataFrame:
-        """(scenario, k, alpha_step, unit, cluster) for the chosen combinations."""
-        return cluster_units(self.tree, COMBOS if combos is None else combos)
+        """(scenario, k, alpha_step, unit, cluster) for the chosen combinations.
+
+        Trees that the sweep has grown are read at these weights only; without a sweep only these trees grow.
+        """
+        combos = COMBOS if combos is None else combos
+        if "tree" in self.__dict__:
+            return cluster_units(self.tree, combos)
+        return final_study(self.units, self.pairs, combos, self.order)
+
+
+class VectorStudy(Study):
+    """The sweep over ``units(scenario, unit, x, lon, lat)`` without a table of pairs.
+
+    Places are points of the unit sphere and their distance the straight line, so clusters are sums of vectors: the state
+    is units x weights, and inertia comes from the sums. ``dense`` as in :func:`ward_tree_graph`. The indices need distances
+    themselves: :func:`wardfield.operators.tiles.vector_indices` scores partitions of vectors.
+    """
+
+    def __init__(self, units: DataFrame, k_max: int = K_MAX, alpha_steps: list[int] | None = None, dense: int = graph_tree.DENSE):
+        placed = units.select("scenario", "unit", "x", unit_point().alias("g"))
+        self.units, self.dense, self.k_max = written(placed, "vector-units"), dense, k_max
+        self.alpha_steps = ALPHA_STEPS if alpha_steps is None else alpha_steps
+        self.ks = list(range(2, k_max + 1))
+
+    @property
+    def pairs(self) -> DataFrame:
+        raise ValueError("a study on vectors has no table of pairs")
+
+    @cached_property
+    def scales(self) -> graph_tree.Scales:
+        return graph_tree.scales_of(self.units, self.units.select(F.max(F.size("x"))).first()[0] or 0)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return written(graph_tree.vector_totals(self.units, self.scales), "vector-totals")
+
+    @cached_property
+    def tree(self) -> Tree:
+        return graph_tree.ward_tree_graph(self.units, self.alpha_steps, self.scales, self.dense)
+
+    def cluster_units(self, combos: list[tuple[int, int]] | None = None) -> DataFrame:
+        combos = COMBOS if combos is None else combos
+        if "tree" in self.__dict__:
+            return cluster_units(self.tree, combos)
+        steps = sorted({a for _, a in combos})
+        return cluster_units(graph_tree.ward_tree_graph(self.units, steps, self.scales, self.dense), combos)
 
 
 def cluster_units(tree: Tree, combos: list[tuple[int, int]]) -> DataFrame:
-    labels = cut.cut_tree(tree, sorted({k for k, _ in combos}))
+    labels = cut.cut_tree(tree.only(combos), sorted({k for k, _ in combos}))
     wanted = None
     for k, step in combos:
         hit = (F.col("k") == k) & (F.col("alpha_step") == step)
@@ -163,10 +224,11 @@ def cluster_units(tree: Tree, combos: list[tuple[int, int]]) -> DataFrame:
     return labels.where(wanted)
 
 
-def final_study(units: DataFrame, pairs: DataFrame, combos: list[tuple[int, int]] | None = None) -> DataFrame:
+def final_study(units: DataFrame, pairs: DataFrame, combos: list[tuple[int, int]] | None = None,
+                order: str = "batched") -> DataFrame:
     """Partitions of every scenario at the final combinations, from trees at their weights only."""
     combos = COMBOS if combos is None else combos
-    return cluster_units(ward_tree(units, pairs, sorted({a for _, a in combos})), combos)
+    return cluster_units(ward_tree(units, pairs, sorted({a for _, a in combos}), order=order), combos)
 
 
 def join_baseline(chosen: DataFrame, base: DataFrame) -> DataFrame:

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 POINT = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
+#: A polygon is its outer ring and the rings of its holes; no holes may be an empty array or NULL.
 PARTS = T.ArrayType(T.StructType([
     T.StructField("part_id", T.IntegerType()),
     T.StructField("ring", T.ArrayType(POINT)),
+    T.StructField("holes", T.ArrayType(T.ArrayType(POINT))),
 ]))
 BOUNDARY_SCHEMA = T.StructType([
     T.StructField("iso_a3_eh", T.StringType()),

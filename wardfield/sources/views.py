@@ -128,10 +128,8 @@ def raw_boundaries(spark: SparkSession, folder: str, touching: bool = False) ->
         (-100.0 + 40 * (k % 5)).alias("lon"), (-50.0 + 20 * F.floor(k / 5)).alias("lat"))
     side = (8.0 + 2 * (k % 3))
     width, height = (F.lit(40.0), F.lit(20.0)) if touching else (side, side)
-    main = F.struct(F.lit(0).alias("part_id"),
-                    _square(F.col("lon"), F.col("lat"), width, height).alias("ring"))
-    islet = F.struct(F.lit(1).alias("part_id"),
-                     _square(F.col("lon") + 14, F.col("lat") + 14, F.lit(1.0), F.lit(1.0)).alias("ring"))
+    main = _part(0, _square(F.col("lon"), F.col("lat"), width, height))
+    islet = _part(1, _square(F.col("lon") + 14, F.col("lat") + 14, F.lit(1.0), F.lit(1.0)))
     parts = F.array(main) if touching else F.when(k % 4 == 0, F.array(main, islet)).otherwise(
         F.array(main))
     real = squares.select("iso_a3_eh", F.lit("Country").alias("type"), parts.alias("parts"))
@@ -139,7 +137,63 @@ def raw_boundaries(spark: SparkSession, folder: str, touching: bool = False) ->
         F.struct(F.lit("X98").alias("iso_a3_eh"), F.lit("Country").alias("type"), F.lit(150.0).alias("lon")),
         F.struct(F.lit("X99").alias("iso_a3_eh"), F.lit("Dependency").alias("type"), F.lit(165.0).alias("lon"))))
     extras = (squares.where(k == 0).select(extra_kind.alias("e"))
-              .select("e.iso_a3_eh", "e.type", F.array(F.struct(
-                  F.lit(0).alias("part_id"),
-                  _square(F.col("e.lon"), F.lit(-20.0), F.lit(5.0), F.lit(5.0)).alias("ring"))).alias("parts")))
+              .select("e.iso_a3_eh", "e.type", F.array(
+                  _part(0, _square(F.col("e.lon"), F.lit(-20.0), F.lit(5.0), F.lit(5.0)))).alias("parts")))
     return real.unionByName(extras)
+
+
+def _part(part_id: int, ring, *holes):
+    return F.struct(F.lit(part_id).alias("part_id"), ring.alias("ring"),
+                    F.array(*holes).cast("array<array<struct<lon:double,lat:double>>>").alias("holes"))
+
+
+def _inset(lon, lat, side):
+    """A square and its hole, which lies off the middle."""
+    return _square(lon, lat, side, side), _square(lon + 0.5, lat + 1, side - 2, side - 2)
+
+
+def _fraction(k, step: float):
+    """Scattered number in [0, 1) of a key."""
+    return (k * step) % 1
+
+
+def scattered_boundaries(spark: SparkSession, folder: str) -> DataFrame:
+    """(code, parts): a square per nation, off the grid so that no two distances tie.
+
+    Every third nation is a frame round a lake; every second owns a smaller square as well, which has the larger area where
+    the lake has taken most of the frame.
+    """
+    k = F.col("n_nationkey")
+    named = star(spark, folder, "nation").select(
+        nation_code(k).alias("code"), k,
+        (-100.0 + 40 * (k % 5) + 4 * _fraction(k, 0.6180339)).alias("lon"),
+        (-50.0 + 20 * F.floor(k / 5) + 3 * _fraction(k, 0.7548777)).alias("lat"),
+        (8.0 + 2 * (k % 3) + 0.5 * _fraction(k, 0.5698403)).alias("side"))
+    outer, lake = _inset(F.col("lon"), F.col("lat"), F.col("side"))
+    main = F.when(k % 3 == 0, _part(0, outer, lake)).otherwise(_part(0, outer))
+    second = _part(1, _square(F.col("lon") + 20, F.col("lat") + 2, F.lit(6.0), F.lit(6.0)))
+    return named.select("code", F.when(k % 2 == 0, F.array(main, second)).otherwise(F.array(main)).alias("parts"))
+
+
+def boundary_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """(code, parts): five nations a region of the key that touch, cross, nest, lie in each other's lakes, or span the antimeridian."""
+    k = F.col("n_nationkey")
+    m = F.col("m")
+    named = star(spark, folder, "nation").select(
+        nation_code(k).alias("code"), F.floor(k / 5).cast("int").alias("case"), (k % 5).cast("double").alias("m"))
+    lon = (F.when(F.col("case") == 0, -100.0 + 10 * m).when(F.col("case") == 1, -100.0 + 6 * m).when(F.col("case") == 2, -10.0 + 2 * m)
+           .when(F.col("case") == 3, 60.0 + 3 * m).otherwise(167.25 + 6 * m))
+    lat = (F.when(F.col("case") == 0, F.lit(-50.0)).when(F.col("case") == 1, -20.0 + 3 * m).when(F.col("case") == 2, 5.0 + 2 * m)
+           .when(F.col("case") == 3, -40.0 + 3 * m).otherwise(20.0 + m))
+    side = (F.when(F.col("case") < 2, F.lit(10.0)).when(F.col("case") == 2, 20.0 - 4 * m).when(F.col("case") == 3, 30.0 - 6 * m)
+            .otherwise(F.lit(4.0)))
+    placed = named.select("code", "case", lon.alias("lon"), lat.alias("lat"), side.alias("side"))
+    outer, lake = _inset(F.col("lon"), F.col("lat"), F.col("side"))
+    framed = placed.select("code", F.when(F.col("case") == 3, _part(0, outer, lake)).otherwise(_part(0, outer)).alias("part"))
+
+    def wrapped(ring):
+        return F.transform(ring, lambda p: F.struct(((p["lon"] + 180) % 360 - 180).alias("lon"), p["lat"].alias("lat")))
+
+    return framed.select("code", F.array(F.struct(
+        F.col("part.part_id").alias("part_id"), wrapped(F.col("part.ring")).alias("ring"),
+        F.transform("part.holes", wrapped).alias("holes"))).alias("parts"))
