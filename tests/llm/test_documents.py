@@ -165,6 +165,62 @@ def test_lm_probabilities_sum_to_one_and_follow_counts(monkeypatch):
     assert np.mean(right) > 0.4
 
 
+def test_lm_score_is_the_sum_of_normalised_token_probabilities(docs, monkeypatch):
+    monkeypatch.setattr(lm, "HEAD", 150)
+    monkeypatch.setattr(lm, "STEPS", 50)
+    monkeypatch.setattr(lm, "LEAST", 2)
+    seen = {}
+    inner = lm._score
+    monkeypatch.setattr(lm, "_score", lambda head, counts, model, words: seen.update(model=model, words=words, head=head) or inner(head, counts, model, words))
+    got = rows(lm.score(docs, fold(F.col("doc_id"), 5) == 1), "doc_id", "n_tokens", "score")
+    table, words, place = seen["model"].table(), seen["words"], {w: i for i, w in enumerate(seen["head"])}
+    held = [data.zlib.crc32(str("" if i is None else i).encode()) % 5 == 1 for i, _ in ROWS]
+    counts = data.Counter(w.lower() for (_, t), h in zip(ROWS, held) if not h for w in data.words(t))
+    kind = lambda w: place[w] if place.get(w, lm.OWN) < lm.OWN else lm.ending(w)
+
+    def word(w, before):
+        """log10 probability of a word of a shared class inside it; None is an unknown word of class k."""
+        own = place.get(w, -1) - lm.OWN
+        factor = float(words.factor[own, before]) if 0 <= own < len(words.factor) else 0.0
+        return np.log10(counts.get(w, 0) + 0.5) + factor
+
+    want = []
+    for i, t in ROWS:
+        tokens = [w.lower() for w in data.words(t)]
+        c = [kind(w) for w in tokens] + [lm.END]
+        total = 0.0
+        for k, x in enumerate(c):
+            a, z = c[k - 2] if k > 1 else lm.START, c[k - 1] if k else lm.START
+            total += float(table[a * (lm.CLASSES + 1) + z, x])
+            if x > lm.END:
+                total += word(tokens[k], z) - words.total[x, z]
+        want.append((i, len(c), total))
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-4 * w[1] for g, w in zip(got, sorted(want, key=repr)))
+    # The words of a class and one unknown word share its probability, after every class.
+    assert len(words.factor) > 20 and np.abs(words.factor).max() > 0.05
+    for z in (0, 5, lm.END, lm.START):
+        sums = np.full(lm.CLASSES, 0.5)
+        for w in counts:
+            if kind(w) > lm.END:
+                sums[kind(w)] += 10 ** word(w, z)
+        assert np.allclose(np.log10(sums[lm.END + 1:]), words.total[lm.END + 1:, z], atol=1e-5)
+
+
+def test_word_vectors_follow_contexts():
+    rng = np.random.default_rng(3)
+    contexts = np.eye(6)[rng.integers(0, 6, 40)]
+    shares = np.full((3, 40), 1 / 40)
+    counts = np.zeros((3, 40))
+    counts[0] = 25.0  # spread like the noise: no factor
+    counts[1] = np.where(contexts[:, 2] > 0, 100.0, 10.0)
+    counts[2, 0] = 1.0
+    factor = lm.word_vectors(counts, shares, contexts) @ contexts.T
+    assert np.abs(factor[0]).max() < 0.01
+    drawn = counts[1].sum() / 40
+    assert np.allclose(factor[1], np.log(counts[1] / drawn), atol=0.1)
+    assert np.isfinite(factor).all()
+
+
 def test_rare_words_are_joined(docs, monkeypatch):
     monkeypatch.setattr(lm, "HEAD", 100)
     monkeypatch.setattr(lm, "STEPS", 20)

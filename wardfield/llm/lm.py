@@ -1,9 +1,11 @@
 """Language-model scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts the class of a token from the classes of the two tokens before it; each of the commonest words, and
-the end of a text, is a class of its own, all other words share classes by their last two letters. Inside a shared class a word
-has its smoothed training frequency, so token probabilities are normalised over all words. Word and class counts cover every
-training document. The counts of class triples, whose number has a fixed bound, train the network.
+The model predicts a token from the two tokens before it, in two steps. The class of the token comes from the classes of both: each of the commonest
+words, and the end of a text, is a class of its own, all other words share classes by their last two letters. Which word of a shared class
+it is comes from the token before: every word that occurs often enough has a vector of its own, trained against
+noise drawn from its class on the counts of all contexts it occurs in, and the others of the class have their smoothed training frequency. Both steps are
+normalised, so token probabilities are normalised over all words. Word counts, class triples and contexts of words cover every
+training document and are added up by Spark; the vectors of blocks of words are trained in tasks, so what is learned grows with the corpus.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,12 @@ START = CLASSES  # before the first token
 #: Common words whose counts every task holds; the counts of all others are joined.
 HEAD = 100_000
 WIDTH, STEPS, BATCH, NOISE, SAMPLES, RATE, SEED = 32, 2_000, 2_048, 20, 192, 0.02, 5
+#: Words of shared classes with a vector of their own: what occurs so often, up to a number that a task can hold (the commonest).
+LEAST, VECTORS = 20, 40_000
+#: Words in a block that is trained at once; salts that its counts are added up in first; steps and ridge of the training.
+BLOCK, SALTS, NEWTON, RIDGE = 256, 64, 8, 1.0
+#: Words beside the common ones that a worker remembers.
+REMEMBERED = 150_000
 _LN10 = np.log(10)
 
 
@@ -121,20 +130,30 @@ def _count_words(batches):
         yield give()
 
 
-class Classes:
-    """Classes of words, remembered per worker."""
+class Lexicon:
+    """Numbers of words with their classes: first the common ones, by frequency, then others as they come."""
 
-    def __init__(self, own: dict[bytes, int]):
-        self.own, self.known = own, dict(own)
+    def __init__(self, head: list[bytes]):
+        self.head = len(head)
+        self.common = {w: i for i, w in enumerate(head)}
+        self.place = dict(self.common)
+        self.kind = np.array([i if i < OWN else ending(w) for i, w in enumerate(head)], np.int64)
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > 400_000:
-            self.known = dict(self.own)
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = ending(w)
-        return np.array([known[w] for w in words] + [END], np.int64)
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        except KeyError:
+            if len(self.place) > self.head + REMEMBERED:
+                self.place = dict(self.common)
+                self.kind = self.kind[:self.head]
+            fresh = [w for w in set(words) if w not in self.place]
+            self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh))))
+            self.kind = np.concatenate([self.kind, np.array([ending(w) for w in fresh], np.int64)])
+            return self.numbers(words)
+
+    def classes(self, numbers: np.ndarray) -> np.ndarray:
+        """Classes of the words and of the end."""
+        return np.append(self.kind[numbers], END)
 
 
 def _contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,44 +161,113 @@ def _contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before
 
 
-def _count_triples(own):
+_GATHERED = "block int, salt int, t long, c long, counts binary"
+
+
+def _gather(head: list[bytes], vectors: int):
+    """Of a task: counts of class triples (block -1), and for each block of words their counts after each class."""
     def run(batches):
-        kinds, n = Classes(own), CLASSES + 1
-        sums = np.zeros(n * n * CLASSES, np.int64)
+        lexicon, n = Lexicon(head), CLASSES + 1
+        sums, words = np.zeros(n * n * CLASSES, np.int32), np.zeros((-(-vectors // BLOCK) * BLOCK, n), np.int32)
+        flat = words.ravel()
         for b in batches:
             for t in b.column(0):
-                c = kinds.of(_lower(t.as_py()))
+                numbers = lexicon.numbers(_lower(t.as_py()))
+                c = lexicon.classes(numbers)
                 a, z = _contexts(c)
-                at, times = np.unique((a * n + z) * CLASSES + c, return_counts=True)
-                sums[at] += times
+                np.add.at(sums, (a * n + z) * CLASSES + c, 1)
+                own = numbers - OWN
+                mine = np.flatnonzero((own >= 0) & (own < vectors))
+                np.add.at(flat, own[mine] * n + z[mine], 1)
         at = np.flatnonzero(sums)
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        names = [f.split()[0] for f in _GATHERED.split(", ")]
+        salt = TaskContext.get().partitionId() % SALTS
         for i in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + 50_000]), pa.array(sums[at[i:i + 50_000]])], names=["t", "c"])
+            rows = at[i:i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1), kinds[0]), pa.array(np.full(len(rows), salt), kinds[1]), pa.array(rows),
+                                              pa.array(sums[rows].astype(np.int64)), pa.nulls(len(rows), kinds[4])], names=names)
+        for k in range(0, len(words), BLOCK):
+            if words[k:k + BLOCK].any():
+                cells = [k // BLOCK, salt, None, None, words[k:k + BLOCK].astype(np.int64).tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(cells, kinds)], names=names)
     return run
 
 
-def _score(own, head, model: Model, weights: np.ndarray):
+def _added(rows: pa.Table) -> np.ndarray:
+    return sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()).reshape(BLOCK, CLASSES + 1)
+
+
+def _added_rows(rows: pa.Table) -> pa.Table:
+    return pa.table({"block": rows["block"][:1], "counts": pa.array([_added(rows).tobytes()], pa.binary())})
+
+
+def word_vectors(counts: np.ndarray, noise: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Vectors of words from their ``counts`` after each class, against as many draws spread as ``noise`` (shares, a row a word).
+
+    Noise-contrastive estimation with one draw for each occurrence: the score of a word after a class is the product of its vector and the class's
+    context vector, and tells occurrences from draws; Newton steps with a ridge, for all words at once.
+    """
+    drawn = counts.sum(axis=1, keepdims=True) * noise
+    width = contexts.shape[1]
+    squares = (contexts[:, :, None] * contexts[:, None]).reshape(len(contexts), -1)
+    q = np.zeros((len(counts), width))
+    for _ in range(NEWTON):
+        p = 1 / (1 + np.exp(-np.clip(q @ contexts.T, -30, 30)))
+        slope = (counts * (1 - p) - drawn * p) @ contexts - RIDGE * q
+        bend = (((counts + drawn) * p * (1 - p)) @ squares).reshape(-1, width, width) + RIDGE * np.eye(width)
+        q += np.linalg.solve(bend, slope[:, :, None])[:, :, 0]
+    return q
+
+
+def _train_words(kinds: np.ndarray, noise: np.ndarray, contexts: np.ndarray):
+    """The vectors of one block; ``kinds`` are the classes of all words with vectors."""
+    def run(rows: pa.Table) -> pa.Table:
+        first = rows["block"][0].as_py() * BLOCK
+        kind = kinds[first:first + BLOCK]
+        q = word_vectors(_added(rows)[:len(kind)].astype(np.float64), noise[kind], contexts)
+        return pa.table({"word": pa.array(np.arange(first, first + len(kind))), "q": pa.array(list(q), pa.list_(pa.float64()))})
+    return run
+
+
+class Words:
+    """The second step: of each word with a vector its log10 factor after each class, and of each class and class before the log10 of the total weight."""
+
+    def __init__(self, q: np.ndarray, contexts: np.ndarray, kinds: np.ndarray, counts: np.ndarray, weights: np.ndarray):
+        """``weights``: log10 of the classes' total weight (counts and a half for each word and an unknown one) without any factor."""
+        self.factor = (q @ contexts.T / _LN10).astype(np.float32)
+        change = (counts + 0.5)[:, None] * (10.0 ** self.factor.astype(np.float64) - 1)
+        total = np.repeat(10.0 ** weights[:, None], CLASSES + 1, axis=1)
+        np.add.at(total, kinds, change)
+        self.total = np.log10(total)
+
+
+def _score(head: list[bytes], counts: np.ndarray, model: Model, words: Words):
     """Scores of whole texts but for the counts of words outside ``head``, which come as a list."""
     state: dict = {}
 
     def run(batches):
         if not state:
-            state.update(table=model.table(), kinds=Classes(own), n=CLASSES + 1)
-        logs = {w: float(np.log10(c + 0.5)) for w, c in head.items()}
-        table, n = state["table"], CLASSES + 1
+            state.update(table=model.table(), lexicon=Lexicon(head), logs=np.log10(counts + 0.5))
+        table, lexicon, logs, n = state["table"], state["lexicon"], state["logs"], CLASSES + 1
+        vectors = len(words.factor)
         for b in batches:
-            rows: list[list] = [[] for _ in range(6)]
+            rows: list[list] = [[] for _ in range(5)]
             for t in b.column("text"):
-                words = _lower(t.as_py())
-                c = state["kinds"].of(words)
+                split = _lower(t.as_py())
+                numbers = lexicon.numbers(split)
+                c = lexicon.classes(numbers)
                 a, z = _contexts(c)
                 neural = float(table[a * n + z, c].sum(dtype=np.float64))
-                got = [logs.get(w) for w in words]
-                rare = [w for w, g in zip(words, got) if g is None]
-                seen = np.array([0.0 if g is None else g for g in got])
-                inner = c[:-1] > END
-                for col, v in zip(rows, (len(c), len(words) - len(rare), float(seen.sum()),
-                                         neural + float(seen[inner].sum()) - float(weights[c[:-1][inner]].sum()), rare, None)):
+                known = numbers < lexicon.head
+                got = np.zeros(len(numbers))
+                got[known] = logs[numbers[known]]
+                rare = [split[i] for i in np.flatnonzero(~known).tolist()]
+                inner = np.flatnonzero(c[:-1] > END)
+                own = numbers[inner] - OWN
+                has = (own >= 0) & (own < vectors)
+                second = got[inner].sum() - words.total[c[inner], z[inner]].sum() + float(words.factor[own[has], z[inner[has]]].sum(dtype=np.float64))
+                for col, v in zip(rows, (len(c), int(known.sum()), float(got.sum()), neural + float(second), rare)):
                     col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [*[b.column(i) for i in range(b.num_columns - 1)], pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()),
@@ -204,27 +292,42 @@ def score(documents: DataFrame, held_out: Column, id_: str = "doc_id", text: str
     n, v = (total["n"] or 0) + ends, total["v"] + (ends > 0)
     # HEAD rows at most: the most frequent words, ties by the word.
     common = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    head = {bytes(r["word"]): r["c"] for r in common}
-    own = {bytes(r["word"]): i for i, r in enumerate(common[:OWN])}
+    head, head_counts = [bytes(r["word"]) for r in common], np.array([r["c"] for r in common], np.float64)
+    own = head[:OWN]
+    vectors = min(VECTORS, max(0, int((head_counts >= LEAST).sum()) - OWN))
     tail = F.decode("word", "UTF-8")
     last = F.crc32(F.encode(F.right(tail, F.lit(2)), "UTF-8"))
-    shared = counts.where(~F.col("word").isin(list(own)) if own else F.lit(True))
+    shared = counts.where(~F.col("word").isin(own) if own else F.lit(True))
     sizes = shared.groupBy((F.pmod(last, F.lit(SHARED)) + (OWN + 1)).cast("int").alias("k")).agg(
         F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     weights = np.full(CLASSES, np.log10(0.5))  # of an empty class: one unknown word
     for r in sizes:
         weights[r["k"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
+    gathered = written(over_batches(teach, _gather(head, vectors), _GATHERED), "lm-gathered")
     # At most (CLASSES + 1)^2 * CLASSES different triples, whatever the corpus.
-    triples = over_batches(teach, _count_triples(own), "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy("t").toArrow()
+    triples = gathered.where("block < 0").groupBy("t").agg(F.sum("c").alias("c")).orderBy("t").toArrow()
     t, c = triples.column("t").to_numpy(), triples.column("c").to_numpy().astype(np.float64)
-    model = Model(np.stack([t // CLASSES // (CLASSES + 1), t // CLASSES % (CLASSES + 1), t % CLASSES], axis=1), c)
+    triples = np.stack([t // CLASSES // (CLASSES + 1), t // CLASSES % (CLASSES + 1), t % CLASSES], axis=1)
+    model = Model(triples, c)
+    kinds = np.array([ending(w) for w in head[OWN:OWN + vectors]], np.int64)
+    contexts = (model.r @ model.c[1]).astype(np.float64)
+    after = np.full((CLASSES, CLASSES + 1), 1e-9)
+    np.add.at(after, (triples[:, 2], triples[:, 1]), c)
+    noise = after / after.sum(axis=1, keepdims=True)
+    sums = gathered.where("block >= 0").groupBy("block", "salt").applyInArrow(_added_rows, "block int, counts binary")
+    # At most VECTORS rows of WIDTH numbers.
+    trained = sums.groupBy("block").applyInArrow(_train_words(kinds, noise, contexts), "word long, q array<double>").collect()
+    q = np.zeros((vectors, WIDTH))
+    for r in trained:
+        q[r["word"]] = r["q"]
+    words = Words(q, contexts, kinds, head_counts[OWN:OWN + vectors], weights)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     kind = dict(docs.dtypes)["id"]
-    scored = written(over_batches(rows, _score(own, head, model, weights),
+    scored = written(over_batches(rows, _score(head, head_counts, model, words),
                                   f"row long, id {kind}, held_out boolean, n_tokens long, n_head long, head_log double, model_log double, "
                                   "rare array<binary>"), "lm-scored")
-    words = scored.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("times"))
-    known = words.join(counts, "word", "left").select(
+    rare = scored.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count(F.lit(1)).alias("times"))
+    known = rare.join(counts, "word", "left").select(
         "row", "times", F.coalesce("c", F.lit(0)).alias("c")).groupBy("row").agg(
         F.sum("times").alias("rare_n"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + 0.5)).alias("rare_log"))
