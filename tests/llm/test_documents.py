@@ -259,6 +259,35 @@ def test_weak_labels(docs, empty):
     assert quality.classify(empty).count() == 0
 
 
+def test_weak_label_rows_equal_a_plain_computation(docs, monkeypatch):
+    seen = {}
+    train, estimate = quality.train, quality.estimate
+    monkeypatch.setattr(quality, "train", lambda r: seen.setdefault("weights", train(r)))
+    monkeypatch.setattr(quality, "estimate", lambda p, n: seen.setdefault("good", (p, estimate(p, n)))[1])
+    got = sorted(((r["doc_id"], r["text"], r["labellers"], r["posterior"], r["score"], r["kept"]) for r in quality.classify(docs).collect()), key=repr)
+    weights, bias = seen["weights"]
+    posterior = dict(zip(seen["good"][0].tolist(), seen["good"][1][0].tolist()))
+    want = []
+    for i, t in ROWS:
+        w, lines = data.words(t), [x for x in (t or "").split("\n") if x.strip(" \t\n\r\x0b\x0c")]
+        n = max(1, len(w))
+        m = {"words": len(w), "mean": sum(map(len, w)) / n, "symbols": sum(x in b"#*$%&|<>" for v in w for x in v) / n,
+             "marked": sum(v[-1:] in b"!?#*$%&|<>" for v in w) / n, "capitals": sum(v.isupper() for v in w) / n, "short": sum(len(v) <= 3 for v in w) / n,
+             "digits": sum(v[:1].isdigit() for v in w) / n, "dup_lines": 1 - len(set(lines)) / max(1, len(lines)), "distinct": len(set(w)) / n,
+             "again": sum(a == b for a, b in zip(w, w[1:])) / n}
+        votes = [label(m) for _, label in quality.LABELLERS]
+        p = sum(v * 3 ** k for k, v in enumerate(reversed(votes)))
+        if not w:
+            want.append((i, t, 0, 0.0, 0.0, False))
+            continue
+        parts = [weights[b] for v in w for b in quality.buckets(v)]
+        parts += [weights[quality.AGAIN if k and w[k] == w[k - 1] else quality.FRESH] for k in range(len(w))]
+        score = 1 / (1 + np.exp(-(quality.SCALE * sum(parts) / len(parts) + bias)))
+        want.append((i, t, sum(v != quality.NONE for v in votes), posterior[p], score, score >= 0.5))
+    for g, x in zip(got, sorted(want, key=repr)):
+        assert g[:3] == x[:3] and abs(g[3] - x[3]) < 1e-9 and abs(g[4] - x[4]) < 1e-9 and g[5] == x[5]
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(1)
     k = len(quality.LABELLERS)
