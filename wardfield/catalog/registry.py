@@ -156,11 +156,24 @@ class Workspace:
             "p.key", "unit", "p.cluster")
 
 
-_WORKSPACES: dict[tuple[str, str], Workspace] = {}
+# The input tables; a workspace is built anew when one of them has changed.
+TABLES = ("nation", "customer", "supplier", "orders", "lineitem", "embeddings")
+_WORKSPACES: dict[tuple, Workspace] = {}
+
+
+def _written_at(spark: SparkSession, folder: str) -> tuple[int, ...]:
+    """When each input table was last written; 0 for one that isn't there."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    times = []
+    for t in TABLES:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{t}.parquet")
+        store = place.getFileSystem(conf)
+        times.append(store.getFileStatus(place).getModificationTime() if store.exists(place) else 0)
+    return tuple(times)
 
 
 def workspace(spark: SparkSession, folder: str) -> Workspace:
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, folder, _written_at(spark, folder))
     if key not in _WORKSPACES:
         _WORKSPACES[key] = Workspace(spark, folder)
     return _WORKSPACES[key]
