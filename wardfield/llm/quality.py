@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +29,16 @@ SCALE = 10.0
 #: Distinct words remembered per worker.
 WORDS_KEPT = 300_000
 
-_SYMBOLS = [bytes([c]) for c in b"#*$%&|<>"]
-_LETTERS = re.compile(rb"[a-z\x80-\xff]+")
-_CAPITALS = re.compile(rb"[A-Z]+")
-_DIGITS = re.compile(rb"[0-9]+")
+_SYMBOLS = b"#*$%&|<>"
+#: Small letters and bytes of other letters to a, capitals to A, digits to 0; runs of one kind count once.
+_KINDS = bytes(97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256))
+_RUNS = re.compile(rb"([aA0])\1+")
 
 
 def buckets(word: bytes) -> tuple[int, int]:
     """Hashed features of a word: itself in lower case, and its shape (letters a, capitals A, digits 0)."""
-    shape = _DIGITS.sub(b"0", _CAPITALS.sub(b"A", _LETTERS.sub(b"a", word)))
+    kinds = word.translate(_KINDS)
+    shape = _RUNS.sub(rb"\1", kinds) if kinds.strip(b"a") else b"a"
     return zlib.crc32(word.lower()) % BUCKETS, zlib.crc32(b"\0" + shape) % BUCKETS
 
 
@@ -44,12 +46,25 @@ def buckets(word: bytes) -> tuple[int, int]:
 AGAIN, FRESH = (zlib.crc32(x) % BUCKETS for x in (b"\0again", b"\0fresh"))
 
 
+_MARKED = np.isin(np.arange(256), list(b"!?#*$%&|<>"))
+
+
+def _facts(words: list[bytes]) -> np.ndarray:
+    """Of each word: length, symbols, whether it ends in a mark, has capitals only, is short, begins with a digit."""
+    n = len(words)
+    size = np.fromiter(map(len, words), np.int64, n)
+    plain = np.fromiter(map(len, [w.translate(None, _SYMBOLS) for w in words]), np.int64, n)
+    first, last = (np.fromiter((w[at] for w in words), np.uint8, n) for at in (0, -1))
+    return np.stack([size, size - plain, _MARKED[last], np.fromiter(map(bytes.isupper, words), bool, n), size <= 3, (first >= 48) & (first <= 57)], axis=1)
+
+
 class Words:
     """Numbers of words, with what is looked at in each; those seen lately are remembered."""
 
     def __init__(self):
         self.place: dict[bytes, int] = {}
         self.facts, self.bucket = np.zeros((1_024, 6)), np.zeros((1_024, 2), np.int64)
+        self.hashed = 0  # words whose buckets are known: the others' are found when they are asked for
         self.weights, self.sums, self.summed = None, np.zeros(1_024), 0
 
     def numbers(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -66,9 +81,7 @@ class Words:
                 self.facts = np.resize(self.facts, (room, 6))
                 self.bucket = np.resize(self.bucket, (room, 2))
                 self.sums = np.resize(self.sums, room)
-            self.facts[start:len(self.place)] = [
-                (len(w), sum(map(w.count, _SYMBOLS)), w[-1:] in b"!?#*$%&|<>", w.isupper(), len(w) <= 3, w[:1].isdigit()) for w in new]
-            self.bucket[start:len(self.place)] = [buckets(w) for w in new]
+            self.facts[start:len(self.place)] = _facts(new)
         number = self.place.__getitem__
         return [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in split]
 
@@ -81,12 +94,19 @@ class Words:
                 "short": sums[4] / n, "digits": sums[5] / n, "dup_lines": 1 - len(set(lines)) / max(1, len(lines)),
                 "distinct": len(np.unique(at)) / n, "again": float((at[1:] == at[:-1]).sum()) / n}
 
+    def _hash(self) -> None:
+        if self.hashed < len(self.place):
+            self.bucket[self.hashed:len(self.place)] = [buckets(w) for w in islice(self.place, self.hashed, None)]
+            self.hashed = len(self.place)
+
     def features(self, at: np.ndarray) -> np.ndarray:
+        self._hash()
         again = np.r_[False, at[1:] == at[:-1]] if len(at) else np.zeros(0, bool)
         return np.r_[self.bucket[at].ravel(), np.where(again, AGAIN, FRESH)]
 
     def scores(self, numbers: list[np.ndarray], weights: np.ndarray) -> list[float]:
         """The mean weight of each text's features: weights are added up once for each word that is remembered."""
+        self._hash()
         if self.weights is not weights:
             self.weights, self.summed = weights, 0
         fresh = slice(self.summed, len(self.place))
