@@ -9,7 +9,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from wardfield.llm import setsketch, spelling, whitening
+from wardfield.llm import registry, setsketch, spelling, whitening
 
 from . import data
 
@@ -137,6 +137,24 @@ def test_whitening_equals_exact_covariance(spark, size, scale):
         assert all(abs(r["explained"] / (e[c] / e.sum()) - 1) < 1e-9 for r in got if r["component"] == c + 1)
 
 
+def test_registered_whitening_of_the_whole_table(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
+    x = np.array([np.floor(1024 * np.array(r["embedding"], np.float64)) for r in table]).astype(np.int64).astype(object) + 100_000
+    n, s = len(x), x.sum(axis=0)
+    away = n * x - s
+    e, v = np.linalg.eigh(np.array(away.T @ away / n, float) / n**2)
+    e, v = e[::-1], v[:, ::-1]
+    got = {(r["vec_id"], r["component"]): r for r in registry.QUERIES["op12_whitening"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == 8 * n
+    want = np.array(away / n, float) @ v[:, :8] / np.sqrt(e[:8])
+    for k in range(8):
+        sign = np.sign(got[table[0]["vec_id"], k + 1]["whitened"] * want[0, k])
+        for i, r in enumerate(table):
+            g = got[r["vec_id"], k + 1]
+            assert g["n"] == n and g["deviation"] == sum(a * a for a in away[i]) and abs(g["whitened"] - sign * want[i, k]) < 1e-6
+            assert abs(g["explained"] / (e[k] / e.sum()) - 1) < 1e-4 and g["identity_error"] <= 1e-4
+
+
 def test_whitening_without_scale(spark):
     schema = "vec_id long, embedding array<float>"
     for given in ([], [(1, [1.0, 2.0])], [(i, [1.0, 2.0]) for i in range(5)], [(1, None), (2, [])]):

@@ -48,7 +48,21 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return slim
 
 
-@query("op9_substring_dedup")
+_REPEATS = r"""
+WITH split AS MATERIALIZED (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM split, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS i)),
+firsts AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (k) WHERE least < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM hits, (SELECT unnest(range(50)) AS j)),
+words AS (SELECT doc_id, p, w[p] AS x FROM split, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS p)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM split LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op9_substring_dedup", _REPEATS)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return substring.kept_digests(table(spark, folder, "documents"))
 
@@ -143,7 +157,26 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
 
 
-@query("op11_setsketch")
+_SETS = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM split),
+shingles AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id
+    AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) ON a = doc_id
+"""
+
+
+@query("op11_setsketch", _SETS)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return setsketch.near_duplicates(table(spark, folder, "documents"))
 
@@ -153,6 +186,38 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened_rows(table(spark, folder, "embeddings"))
 
 
-@query("op13_spelling")
+_SPELLING = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS step, i::BIGINT AS v FROM range(256) t(i)
+  UNION ALL SELECT i, step + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE step < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM bits WHERE step = 8),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+counted AS (SELECT run, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS b, count(*) AS c FROM runs GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(b), 2), lambda k: ('0x' || b[k:k + 1])::BIGINT)),
+    lambda h, x: xor(h >> 8, t[(xor(h, x) & 255) + 1])), 4294967295) AS h FROM counted, crc),
+cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, c FROM hashed),
+words AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS d FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i)),
+pairs AS (
+  SELECT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word < b.word
+  UNION SELECT l.word, l.n, w.word, w.n FROM less l JOIN words w ON l.d = w.word),
+sides AS (SELECT a AS word, b AS near, nb AS c FROM pairs UNION ALL SELECT b, a, na FROM pairs),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(c := -c, near := near)) AS best FROM sides GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.best.c >= 2 * n THEN best.best.near END AS form,
+    CASE WHEN -best.best.c >= 2 * n THEN -best.best.c END AS form_n
+  FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS place, 0 AS step FROM forms
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON forms.word = chain.place WHERE forms.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(place, step) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
+@query("op13_spelling", _SPELLING)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(table(spark, folder, "documents"))
