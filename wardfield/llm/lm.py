@@ -30,11 +30,11 @@ START = CLASSES  # before the first token
 HEAD = 100_000
 WIDTH, STEPS, BATCH, NOISE, SAMPLES, RATE, SEED = 32, 2_000, 2_048, 20, 192, 0.02, 5
 #: Words of shared classes with a vector of their own: what occurs so often, up to a number that a task can hold (the commonest).
-LEAST, VECTORS = 20, 40_000
-#: Words in a block that is trained at once; salts that its counts are added up in first; steps and ridge of the training.
+LEAST, VECTORS = 20, 20_000
+#: Words in a block that is trained at once (its cells are numbered in 16 bits); salts that its counts are added up in first; steps and ridge of the training.
 BLOCK, SALTS, NEWTON, RIDGE = 256, 64, 8, 1.0
 #: Words beside the common ones that a worker remembers.
-REMEMBERED = 150_000
+REMEMBERED = 60_000
 _LN10 = np.log(10)
 
 
@@ -161,7 +161,7 @@ def _contexts(classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return before
 
 
-_GATHERED = "block int, salt int, t long, c long, counts binary"
+_GATHERED = "block int, salt int, t long, c long, cells binary, times binary"
 
 
 def _gather(head: list[bytes], vectors: int):
@@ -180,26 +180,38 @@ def _gather(head: list[bytes], vectors: int):
                 mine = np.flatnonzero((own >= 0) & (own < vectors))
                 np.add.at(flat, own[mine] * n + z[mine], 1)
         at = np.flatnonzero(sums)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
         names = [f.split()[0] for f in _GATHERED.split(", ")]
         salt = TaskContext.get().partitionId() % SALTS
         for i in range(0, len(at), 50_000):
             rows = at[i:i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), -1), kinds[0]), pa.array(np.full(len(rows), salt), kinds[1]), pa.array(rows),
-                                              pa.array(sums[rows].astype(np.int64)), pa.nulls(len(rows), kinds[4])], names=names)
+                                              pa.array(sums[rows].astype(np.int64)), *[pa.nulls(len(rows), kinds[4])] * 2], names=names)
         for k in range(0, len(words), BLOCK):
-            if words[k:k + BLOCK].any():
-                cells = [k // BLOCK, salt, None, None, words[k:k + BLOCK].astype(np.int64).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(cells, kinds)], names=names)
+            part = flat[k * n:(k + BLOCK) * n]
+            at = np.flatnonzero(part)
+            if len(at):
+                row = [k // BLOCK, salt, None, None, *_packed(at, part[at])]
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, kinds)], names=names)
     return run
 
 
+def _packed(at: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+    """The cells of a block that aren't zero, and what they hold."""
+    return at.astype(np.uint16).tobytes(), times.astype(np.int64).tobytes()
+
+
 def _added(rows: pa.Table) -> np.ndarray:
-    return sum(np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()).reshape(BLOCK, CLASSES + 1)
+    out = np.zeros(BLOCK * (CLASSES + 1), np.int64)
+    for at, times in zip(rows["cells"], rows["times"]):
+        out[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(times.as_buffer(), np.int64)
+    return out
 
 
 def _added_rows(rows: pa.Table) -> pa.Table:
-    return pa.table({"block": rows["block"][:1], "counts": pa.array([_added(rows).tobytes()], pa.binary())})
+    out = _added(rows)
+    at = np.flatnonzero(out)
+    return pa.table({"block": rows["block"][:1], **{c: pa.array([v], pa.binary()) for c, v in zip(("cells", "times"), _packed(at, out[at]))}})
 
 
 def word_vectors(counts: np.ndarray, noise: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -225,7 +237,8 @@ def _train_words(kinds: np.ndarray, noise: np.ndarray, contexts: np.ndarray):
     def run(rows: pa.Table) -> pa.Table:
         first = rows["block"][0].as_py() * BLOCK
         kind = kinds[first:first + BLOCK]
-        q = word_vectors(_added(rows)[:len(kind)].astype(np.float64), noise[kind], contexts)
+        counts = _added(rows).reshape(BLOCK, CLASSES + 1)[:len(kind)].astype(np.float64)
+        q = word_vectors(counts, noise[kind], contexts)
         return pa.table({"word": pa.array(np.arange(first, first + len(kind))), "q": pa.array(list(q), pa.list_(pa.float64()))})
     return run
 
@@ -305,21 +318,23 @@ def score(documents: DataFrame, held_out: Column, id_: str = "doc_id", text: str
         weights[r["k"]] = np.log10(r["n"] + 0.5 * (r["v"] + 1))
     gathered = written(over_batches(teach, _gather(head, vectors), _GATHERED), "lm-gathered")
     # At most (CLASSES + 1)^2 * CLASSES different triples, whatever the corpus.
-    triples = gathered.where("block < 0").groupBy("t").agg(F.sum("c").alias("c")).orderBy("t").toArrow()
-    t, c = triples.column("t").to_numpy(), triples.column("c").to_numpy().astype(np.float64)
-    triples = np.stack([t // CLASSES // (CLASSES + 1), t // CLASSES % (CLASSES + 1), t % CLASSES], axis=1)
+    counted = gathered.where("block < 0").groupBy("t").agg(F.sum("c").alias("c")).orderBy("t").toArrow()
+    t, c = counted.column("t").to_numpy(), counted.column("c").to_numpy().astype(np.float64)
+    del counted
+    triples = np.stack([(t // CLASSES // (CLASSES + 1)).astype(np.int16), (t // CLASSES % (CLASSES + 1)).astype(np.int16), (t % CLASSES).astype(np.int16)], axis=1)
+    del t
     model = Model(triples, c)
     kinds = np.array([ending(w) for w in head[OWN:OWN + vectors]], np.int64)
     contexts = (model.r @ model.c[1]).astype(np.float64)
     after = np.full((CLASSES, CLASSES + 1), 1e-9)
     np.add.at(after, (triples[:, 2], triples[:, 1]), c)
     noise = after / after.sum(axis=1, keepdims=True)
-    sums = gathered.where("block >= 0").groupBy("block", "salt").applyInArrow(_added_rows, "block int, counts binary")
+    del triples, c
+    sums = gathered.where("block >= 0").groupBy("block", "salt").applyInArrow(_added_rows, "block int, cells binary, times binary")
     # At most VECTORS rows of WIDTH numbers.
-    trained = sums.groupBy("block").applyInArrow(_train_words(kinds, noise, contexts), "word long, q array<double>").collect()
+    trained = sums.groupBy("block").applyInArrow(_train_words(kinds, noise, contexts), "word long, q array<double>").toArrow()
     q = np.zeros((vectors, WIDTH))
-    for r in trained:
-        q[r["word"]] = r["q"]
+    q[trained.column("word").to_numpy()] = trained.column("q").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH) if len(trained) else 0
     words = Words(q, contexts, kinds, head_counts[OWN:OWN + vectors], weights)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "id", "held_out", "text")
     kind = dict(docs.dtypes)["id"]
