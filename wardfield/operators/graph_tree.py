@@ -48,9 +48,15 @@ def stretched(scale: tuple[float, float], split: int, alpha_step: int) -> np.nda
 def _vectors(b: pa.RecordBatch, scales: Scales, split: int) -> np.ndarray:
     """Mean vectors of clusters, stretched by their tree's weight."""
     z = b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) / b.column("w").to_numpy()[:, None]
-    trees = list(zip(b.column("scenario").to_pylist(), b.column("alpha_step").to_pylist()))
-    factor = {t: stretched(scales[t[0]], split, t[1]) for t in set(trees)}
-    return z * np.array([factor[t] for t in trees])
+    trees, own = _trees(b)
+    return z * np.array([stretched(scales[s], split, a) for s, a in trees]).reshape(len(trees), -1)[own]
+
+
+def _trees(b: pa.RecordBatch) -> tuple[list[tuple[str, int]], np.ndarray]:
+    """The trees of a batch's rows, and the number of each row's tree."""
+    name = b.column("scenario").dictionary_encode()
+    key, own = np.unique(name.indices.to_numpy().astype(np.int64) * 1_000 + b.column("alpha_step").to_numpy(), return_inverse=True)
+    return [(name.dictionary[int(k) // 1_000].as_py(), int(k) % 1_000) for k in key], own
 
 
 def _placed(scales: Scales, split: int, low: np.ndarray, high: np.ndarray):
@@ -60,10 +66,10 @@ def _placed(scales: Scales, split: int, low: np.ndarray, high: np.ndarray):
             if not b.num_rows:
                 continue
             v = _vectors(b, scales, split)
-            trees = list(zip(b.column("scenario").to_pylist(), b.column("alpha_step").to_pylist()))
+            trees, own = _trees(b)
             code = np.empty((SHIFTS, b.num_rows), np.int64)
-            for t in set(trees):
-                mine = np.array([x == t for x in trees])
+            for number, t in enumerate(trees):
+                mine = np.flatnonzero(own == number)
                 factor = stretched(scales[t[0]], split, t[1])
                 # One range for all axes: an axis that the weight makes short takes few bits.
                 span = max(float(((high - low) * factor).max()), 1e-300)
@@ -80,9 +86,9 @@ def _placed(scales: Scales, split: int, low: np.ndarray, high: np.ndarray):
 def _along(scales: Scales, split: int):
     """Links of rows in curve order: each to the LINKS nearest by Ward value of the WINDOW rows on each side."""
     def links(rows: pa.Table) -> pa.RecordBatch:
-        v, w, unit = _vectors(rows.to_batches()[0], scales, split), rows["w"].to_numpy(), rows["unit"].to_numpy()
-        trees = list(zip(*(rows[c].to_pylist() for c in ("scenario", "alpha_step", "shift"))))
-        tree = np.cumsum([0, *[a != b for a, b in zip(trees[1:], trees[:-1])]])
+        batch = rows.to_batches()[0]
+        v, w, unit = _vectors(batch, scales, split), rows["w"].to_numpy(), rows["unit"].to_numpy()
+        tree = _trees(batch)[1] * SHIFTS + batch.column("shift").to_numpy()
         n = len(unit)
         cost = np.full((2 * WINDOW, n), np.inf)
         for lag in range(1, min(WINDOW, n - 1) + 1):
