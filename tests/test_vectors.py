@@ -41,6 +41,30 @@ def test_extremes_equal_all_pairs(spark, monkeypatch, size, geo, top):
     assert extremes.cluster_extremes(points.where("false"), metric).count() == 0
 
 
+def test_extremes_write_no_rows_per_pair(spark, monkeypatch):
+    monkeypatch.setattr(extremes, "CELL", 2)
+    rows_written, plain = [], extremes.written
+
+    def counted(df, label, path=None):
+        table = plain(df, label, path)
+        rows_written.append(table.count())
+        return table
+
+    monkeypatch.setattr(extremes, "written", counted)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((300, 40))
+    v[11] = v[12]
+    parts = {"few": np.arange(300) % 3, "many": np.arange(300) // 2}
+    points = spark.createDataFrame([(k, int(c[i]), v[i].tolist()) for k, c in parts.items() for i in range(300)], "key string, label int, v array<double>")
+    got = {r["key"]: r for r in extremes.cluster_extremes(points, extremes.Metric(40)).collect()}
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    for k, c in parts.items():
+        same = c[:, None] == c[None]
+        assert np.isclose(got[k]["max_w"], d[same].max(), rtol=1e-12) and np.isclose(got[k]["min_b"], d[~same].min(), rtol=1e-12)
+    # With independent dimensions boxes rule nothing out; still no table holds more rows than there are vectors.
+    assert max(rows_written) <= 600
+
+
 def test_pruned_dunn_equals_tiles(spark):
     rng = random.Random(2)
     rows = [(i, [rng.gauss(i % 3, 1), rng.random()], rng.uniform(-90, 90), rng.uniform(-60, 60), i % 3, i // 40) for i in range(120)]

@@ -1,8 +1,9 @@
 """Largest and smallest distances of many vectors without looking at all pairs.
 
-Vectors are sorted along a space-filling curve inside each cluster and cut into cells of consecutive ones. A cell has a box
-and one real vector. Cells are grouped into larger cells, level by level; from the top level down, a pair of cells is looked into only if
-its bounds still allow a pair that beats the best one known from real vectors. What is left at the bottom is measured exactly.
+Vectors are sorted along a space-filling curve inside each cluster and cut into blocks of consecutive ones, and these into cells. Both have
+a box. A pair of blocks is looked into only if the bounds of its boxes still allow a pair that beats the best one known from real
+vectors, and inside it a pair of cells likewise. Where boxes rule little out, as with many independent dimensions, a pair of blocks is
+measured as a whole. Blocks meet as :func:`wardfield.operators.blocks.crossed` says: no vector is shuffled once per pair.
 """
 
 from __future__ import annotations
@@ -13,17 +14,23 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..state import ship_package, written, written_counted
+from ..state import ship_package, written
+from .blocks import crossed, squared
 from .zorder import codes
 
-# Vectors in a cell, cells in the next larger cell, and cells from which no larger ones are made.
-CELL, FAN, TOP = 32, 16, 256
-# Pairs of bottom cells a key measures first, the most promising ones.
-FIRST = 32
-_NODE = "key string, label int, node bigint, parent bigint, n bigint, lo array<double>, hi array<double>, tip array<double>"
+# Vectors in a cell, and cells in a block.
+CELL, TOP = 32, 64
+# Pairs of blocks that a key measures first on each side, the most promising ones.
+FIRST = 8
+# Pairs of cells on each side that a pair of blocks measures between two looks at the bounds.
+STEP = 4
+# Open pairs of cells are measured as whole blocks beyond this share of all, and only in blocks with more pairs of cells than this.
+DENSE_SHARE, DENSE_FROM = 0.125, 64
+_BLOCK = ("key string, blk bigint, n bigint, cells bigint, least_label int, most_label int, lo array<double>, hi array<double>, "
+          "tip array<double>, tip_label int")
 
 
 @dataclass(frozen=True)
@@ -72,140 +79,226 @@ def _coded(low: np.ndarray, high: np.ndarray):
     return run
 
 
-def _cells():
-    """Consecutive rows of one key and label to cells; ids are the task's number and a running one."""
+def _cut(size: int, cell: int):
+    """Consecutive rows of one key to blocks; ids are the task's number and a running one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, made = TaskContext.get().partitionId() << 32, 0
-        held: list[np.ndarray] = []
+        base, made = TaskContext.get().partitionId() << 24, 0
+        held: list[pa.RecordBatch] = []
         name = None
 
         def give():
-            nonlocal made
-            v = np.array(held)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array([name[0]]), pa.array([name[1]], pa.int32()), pa.array([base + made]), pa.array([len(v)]),
-                 *[pa.array([x.tolist()]) for x in (v.min(axis=0), v.max(axis=0), v[0])], pa.array([v.tobytes()], pa.binary())],
-                names=["key", "label", "node", "n", "lo", "hi", "tip", "block"])
+            nonlocal held, made
+            rows = pa.Table.from_batches(held)
+            held = []
+            label = rows["label"].to_numpy().astype(np.int32)
+            v = np.ascontiguousarray(rows["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(label), -1), float)
             made += 1
-            return out
+            one = {"key": name, "blk": base + made, "n": len(v), "cells": -(-len(v) // cell), "least_label": label.min(), "most_label": label.max(),
+                   "lo": v.min(axis=0).tolist(), "hi": v.max(axis=0).tolist(), "tip": v[0].tolist(), "tip_label": label[0],
+                   "v": v.tobytes(), "labels": label.tobytes()}
+            kinds = {c: pa.int32() for c in ("least_label", "most_label", "tip_label")} | {c: pa.binary() for c in ("v", "labels")}
+            return pa.RecordBatch.from_arrays([pa.array([x], kinds.get(c)) for c, x in one.items()], names=list(one))
 
         for b in batches:
-            for key, label, v in zip(b.column("key").to_pylist(), b.column("label").to_pylist(), b.column("v").to_pylist()):
-                if held and ((key, label) != name or len(held) >= CELL):
+            at = b.column("key").dictionary_encode()
+            number = at.indices.to_numpy()
+            ends = [*(np.flatnonzero(np.diff(number)) + 1), b.num_rows]
+            start = 0
+            for end in ends:
+                if start == end:
+                    continue
+                key = at.dictionary[int(number[start])].as_py()
+                if held and key != name:
                     yield give()
-                    held = []
-                name = (key, label)
-                held.append(np.array(v, float))
+                name = key
+                while start < end:
+                    take = min(end - start, size - sum(h.num_rows for h in held))
+                    held.append(b.slice(start, take))
+                    start += take
+                    if sum(h.num_rows for h in held) == size:
+                        yield give()
         if held:
             yield give()
     return run
 
 
-def cells(points: DataFrame) -> DataFrame:
-    """Cells of ``points(key string, label int, v)`` with their vectors as ``block``, a written table."""
+def cell_blocks(points: DataFrame) -> DataFrame:
+    """Blocks of ``points(key string, label int, v)`` along the curve, with their vectors and labels as bytes; a written table."""
     ship_package(points.sparkSession)
     low, high = vector_frame(points, "v")
     coded = written(points.select("key", "label", "v").mapInArrow(_coded(low, high), "key string, label int, v array<double>, code bigint"), "extreme-codes")
     dealt = coded.repartitionByRange("key", "label", "code").sortWithinPartitions("key", "label", "code", "v")
-    schema = _NODE.replace("parent bigint, ", "") + ", block binary"
-    return written(dealt.select("key", "label", "v").mapInArrow(_cells(), schema), "extreme-cells")
-
-
-def _lift(rows: pa.Table) -> pa.Table:
-    """FAN cells in a row of one key and label to one, whose box holds theirs."""
-    lo, hi = (np.array(rows[c].to_pylist()) for c in ("lo", "hi"))
-    return pa.table({"key": rows["key"][:1], "label": rows["label"][:1], "node": rows["parent"][:1], "n": [sum(rows["n"].to_pylist())],
-                     "lo": [lo.min(axis=0).tolist()], "hi": [hi.max(axis=0).tolist()], "tip": rows["tip"][:1]})
-
-
-PAIR = ("key", "same", "la", "a", "lb", "b")
-
-
-def _up():
-    """The number of the larger cell."""
-    return F.shiftright("node", FAN.bit_length() - 1)
-
-
-def _levels(bottom: DataFrame) -> list[DataFrame]:
-    """The cells, and larger and larger ones, until a key has few; each with the ``parent`` it has on the next level."""
-    levels = [bottom.drop("block").withColumn("parent", _up())]
-    rows = levels[0].groupBy("key").count().agg(F.max("count").alias("m")).first()["m"] or 0
-    while rows > TOP:
-        up = levels[-1].groupBy("key", "label", "parent").applyInArrow(_lift, _NODE.replace("parent bigint, ", ""))
-        up = written(up.withColumn("parent", _up()), "extreme-level")
-        fewer = up.groupBy("key").count().agg(F.max("count").alias("m")).first()["m"]
-        if fewer >= rows:  # one a label already
-            break
-        levels.append(up)
-        rows = fewer
-    return levels
-
-
-def _bounds(metric: Metric):
-    """Of pairs of cells: least and largest possible distance, and the distance of one real pair."""
+    return written(dealt.select("key", "label", "v").mapInArrow(_cut(CELL * TOP, CELL), f"{_BLOCK}, v binary, labels binary"), "extreme-blocks")
+
+
+def _boxes(metric: Metric) -> tuple[Column, Column, Column]:
+    """Of a pair of blocks: least and largest possible distance, and that of the pair's first vectors."""
+    def length(gaps: Column) -> Column:
+        def part(at: Column) -> Column:
+            return F.sqrt(F.aggregate(at, F.lit(0.0), lambda s, x: s + x * x))
+
+        d0 = F.lit(metric.a) * part(F.slice(gaps, 1, metric.split))
+        if not metric.b:
+            return d0
+        return d0 + F.lit(2 * metric.b) * F.asin(F.least(part(F.slice(gaps, metric.split + 1, F.greatest(F.size(gaps) - metric.split, F.lit(0)))) / 2, F.lit(1.0)))
+
+    def gap(p: str, q: str) -> Column:
+        return F.zip_with(p, q, lambda x, y: x - y)
+
+    least = length(F.zip_with(gap("lo_b", "hi_a"), gap("lo_a", "hi_b"), lambda x, y: F.greatest(x, y, F.lit(0.0))))
+    most = length(F.zip_with(gap("hi_b", "lo_a"), gap("hi_a", "lo_b"), lambda x, y: F.greatest(x, y)))
+    return least * (1 - 1e-9) - 1e-12, most * (1 + 1e-9) + 1e-12, length(gap("tip_a", "tip_b"))
+
+
+def _sides() -> tuple[Column, Column]:
+    """Whether a pair of blocks can hold two vectors of one label, and of two."""
+    shared = (F.col("least_label_a") <= F.col("most_label_b")) & (F.col("least_label_b") <= F.col("most_label_a"))
+    return shared, F.least("least_label_a", "least_label_b") < F.greatest("most_label_a", "most_label_b")
+
+
+class _Cells:
+    """The vectors of a block, its cells and their boxes."""
+
+    def __init__(self, v: np.ndarray, label: np.ndarray, cell: int):
+        self.v, self.label, self.cell = v, label, cell
+        self.at = np.arange(0, len(v), cell)
+        self.lo, self.hi = np.minimum.reduceat(v, self.at), np.maximum.reduceat(v, self.at)
+        self.first, self.last = np.minimum.reduceat(label, self.at), np.maximum.reduceat(label, self.at)
+
+    def part(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        s = slice(i * self.cell, (i + 1) * self.cell)
+        return self.v[s], self.label[s]
+
+
+def _cell_bounds(metric: Metric, a: _Cells, b: _Cells) -> tuple[np.ndarray, np.ndarray]:
+    def length(gaps) -> np.ndarray:
+        sums = [np.zeros((len(a.at), len(b.at))) for _ in range(2)]
+        for k in range(a.v.shape[1]):
+            gap = gaps(k)
+            sums[k >= metric.split] += gap * gap
+        return metric.of(np.sqrt(sums[0]), np.sqrt(sums[1]))
+
+    least = length(lambda k: np.maximum(np.maximum(b.lo[None, :, k] - a.hi[:, None, k], a.lo[:, None, k] - b.hi[None, :, k]), 0))
+    most = length(lambda k: np.maximum(b.hi[None, :, k] - a.lo[:, None, k], a.hi[:, None, k] - b.lo[None, :, k]))
+    return least * (1 - 1e-9) - 1e-12, most * (1 + 1e-9) + 1e-12
+
+
+def _ends(d: np.ndarray, same: np.ndarray) -> tuple[float, float]:
+    return float(np.max(d, where=same, initial=-1.0)), float(np.min(d, where=~same, initial=np.inf))
+
+
+def _whole(metric: Metric, a: _Cells, b: _Cells) -> tuple[float, float]:
+    """Both extremes of two blocks. Products of matrices find the pairs that may hold them, which are then measured."""
+    if metric.b:
+        found = [_ends(metric.between(a.v[s:s + 256], b.v), a.label[s:s + 256, None] == b.label[None]) for s in range(0, len(a.v), 256)]
+        return max(f[0] for f in found), min(f[1] for f in found)
+    d2 = squared(a.v, b.v)
+    # Rounding of the product form is far below this.
+    slack = 1e-11 * float((a.v * a.v).sum(1).max() + (b.v * b.v).sum(1).max())
+    same = a.label[:, None] == b.label[None]
+    inside = np.where(same, d2, -1.0)
+    across = np.where(same, np.inf, d2)
+    far, near = inside.max(), across.min()
+    none = np.empty(0, int), np.empty(0, int)
+    pairs = (np.nonzero(inside >= far - slack) if far >= 0 else none, np.nonzero(across <= near + slack) if near < np.inf else none)
+    out = [-1.0, np.inf]
+    for side, (i, j) in enumerate(pairs):
+        for s in range(0, len(i), 100_000):
+            gap = a.v[i[s:s + 100_000]] - b.v[j[s:s + 100_000]]
+            d = metric.a * np.sqrt((gap * gap).sum(1))
+            out[side] = min(out[1], float(d.min())) if side else max(out[0], float(d.max()))
+    return out[0], out[1]
+
+
+def _look(metric: Metric, a: _Cells, b: _Cells, once: bool, far: float, near: float) -> tuple[float, float, int]:
+    """Largest distance inside a label and smallest across labels of two blocks, as far as they beat ``far`` and ``near``, and the pairs of cells measured."""
+    def better(v, lv, w, lw):
+        nonlocal far, near
+        f, n = _ends(metric.between(v, w), lv[:, None] == lw[None])
+        far, near = max(far, f), min(near, n)
+
+    better(a.v[a.at], a.label[a.at], b.v[b.at], b.label[b.at])
+    least, most = _cell_bounds(metric, a, b)
+    live = np.triu(np.ones(least.shape, bool)) if once else np.ones(least.shape, bool)
+    shared = (a.first[:, None] <= b.last[None]) & (b.first[None] <= a.last[:, None])
+    apart = np.minimum(a.first[:, None], b.first[None]) < np.maximum(a.last[:, None], b.last[None])
+    measured, looks, possible = 0, 0, int(live.sum())
+    while True:
+        inside, across = live & shared & (most > far), live & apart & (least < near)
+        left = int((inside | across).sum())
+        if not left:
+            return far, near, measured
+        if looks >= 4 and possible > DENSE_FROM and left > DENSE_SHARE * possible:
+            f, n = _whole(metric, a, b)
+            return max(far, f), min(near, n), measured + left
+        for open_, rank in ((inside, -most), (across, least)):
+            at = np.flatnonzero(open_)
+            at = at[np.argsort(rank.ravel()[at], kind="stable")[:STEP]]
+            for x in at:
+                i, j = divmod(int(x), least.shape[1])
+                if live[i, j]:
+                    better(*a.part(i), *b.part(j))
+                    live[i, j] = False
+                    measured += 1
+        looks += 1
+
+
+_FOUND = "key string, max_w double, min_b double, measured bigint"
+
+
+def _measured(metric: Metric, known: dict[str, tuple[float, float]], cell: int):
+    """What each pair of blocks adds to the best distances ``known``, carried on from pair to pair of a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = {c: b.column(c).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, metric.split))
-                 for c in ("lo_a", "hi_a", "tip_a", "lo_b", "hi_b", "tip_b")}
-
-            def length(gap):
-                return metric.of(*[np.sqrt((part * part).sum(axis=1)) for part in metric.parts(gap)])
-
-            least = length(np.maximum(np.maximum(v["lo_b"] - v["hi_a"], v["lo_a"] - v["hi_b"]), 0))
-            most = length(np.maximum(v["hi_b"] - v["lo_a"], v["hi_a"] - v["lo_b"]))
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in PAIR], pa.array(least * (1 - 1e-9) - 1e-12), pa.array(most * (1 + 1e-9) + 1e-12),
-                                              pa.array(length(v["tip_a"] - v["tip_b"]))], names=[*PAIR, "least", "most", "real"])
-    return run
+        best = {k: [w, b, 0] for k, (w, b) in known.items()}
 
+        def side(b: pa.RecordBatch, s: str, i: int) -> _Cells:
+            label = np.frombuffer(b.column(f"labels_{s}")[i].as_buffer(), np.int32)
+            return _Cells(np.frombuffer(b.column(f"v_{s}")[i].as_buffer()).reshape(len(label), -1), label, cell)
 
-def _measured(metric: Metric):
-    """Exact extreme of each pair of bottom cells: the smallest distance across labels, the largest inside one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for same, p, q, np_, nq in zip(*(b.column(c).to_pylist() for c in ("same", "block_a", "block_b", "n_a", "n_b"))):
-                d = metric.between(np.frombuffer(p).reshape(np_, -1), np.frombuffer(q).reshape(nq, -1))
-                out.append(float(d.max() if same else d.min()))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(out, pa.float64())], names=["key", "same", "real"])
+            for i, key in enumerate(b.column("key_a").to_pylist()):
+                once = b.column("blk_a")[i] == b.column("blk_b")[i]
+                far, near, count = best[key]
+                far, near, more = _look(metric, side(b, "a", i), side(b, "b", i), once, far, near)
+                best[key] = [far, near, count + more]
+        if best:
+            keys = list(best)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.string()), pa.array([None if best[k][0] < 0 else best[k][0] for k in keys], pa.float64()),
+                 pa.array([None if np.isinf(best[k][1]) else best[k][1] for k in keys], pa.float64()), pa.array([best[k][2] for k in keys], pa.int64())],
+                names=["key", "max_w", "min_b", "measured"])
     return run
 
 
-def _ends(pairs: DataFrame, nodes: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    for s in "ab":
-        pairs = pairs.join(nodes.select("key", F.col("label").alias(f"l{s}"), F.col("node").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns]),
-                           ["key", f"l{s}", s])
-    return pairs
-
-
 class _Best:
-    """The best distances known per key and side: a row of each comes to the driver."""
+    """The best distances known per key; a row of each comes to the driver."""
 
     def __init__(self):
         self.tables: list[DataFrame] = []
-        self.known: dict[tuple[str, bool], float] = {}
+        self.known: dict[str, tuple[float, float]] = {}
 
     def add(self, rows: DataFrame, label: str) -> None:
-        """Rows (key, same, real)."""
-        best = written(rows.groupBy("key", "same").agg(F.when(F.col("same"), F.max("real")).otherwise(F.min("real")).alias("real")), label)
-        self.tables.append(best)
-        for r in best.collect():
-            at = (r["key"], r["same"])
-            old = self.known.get(at)
-            self.known[at] = r["real"] if old is None else (max if r["same"] else min)(old, r["real"])
-
-    def beaten(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of cells that may still hold something better."""
-        def now(same: bool, default: float):
-            cells = [F.lit(x) for (k, s), v in self.known.items() if s == same for x in (k, float(v))]
-            return F.coalesce(F.create_map(*cells)[F.col("key")], F.lit(default)) if cells else F.lit(default)
-
-        return pairs.where(F.when(F.col("same"), F.col("most") > now(True, -1.0)).otherwise(F.col("least") < now(False, float("inf"))))
+        """Rows (key, max_w, min_b, measured)."""
+        found = written(rows.groupBy("key").agg(F.max("max_w").alias("max_w"), F.min("min_b").alias("min_b"), F.sum("measured").alias("measured")), label)
+        self.tables.append(found)
+        for r in found.collect():
+            w, b = self.known.get(r["key"], (-1.0, float("inf")))
+            self.known[r["key"]] = (w if r["max_w"] is None else max(w, r["max_w"]), b if r["min_b"] is None else min(b, r["min_b"]))
+
+    def beaten(self, least: Column, most: Column) -> Column:
+        """Whether a pair of blocks may still hold something better."""
+        def now(place: int) -> Column:
+            cells = [F.lit(x) for k, v in self.known.items() for x in (k, float(v[place]))]
+            return F.create_map(*cells)[F.col("key_a")] if cells else F.lit(None).cast("double")
+
+        shared, apart = _sides()
+        return (shared & (most > now(0))) | (apart & (least < now(1)))
 
     def table(self) -> DataFrame:
         rows = self.tables[0]
         for t in self.tables[1:]:
             rows = rows.unionByName(t)
-        return rows.groupBy("key").agg(F.min(F.when(~F.col("same"), F.col("real"))).alias("min_b"), F.max(F.when(F.col("same"), F.col("real"))).alias("max_w"))
+        return rows.groupBy("key").agg(F.min("min_b").alias("min_b"), F.max("max_w").alias("max_w"), F.sum("measured").cast("bigint").alias("measured"))
 
 
 def cluster_extremes(points: DataFrame, metric: Metric) -> DataFrame:
@@ -213,43 +306,37 @@ def cluster_extremes(points: DataFrame, metric: Metric) -> DataFrame:
 
     ``min_b`` is the smallest distance between two vectors of different labels (NULL with one label), ``max_w`` the largest of two
     of one label (0 where all labels have one vector). ``measured`` counts the pairs of cells whose vectors were compared,
-    ``possible`` the pairs there are. A key is a whole task of its own: a partition, a scenario. Exact; an empty table gives no rows.
+    ``possible`` the pairs there are. A key is a whole task of its own: a partition, a scenario. Exact; an empty table gives no rows,
+    a vector without label takes no part.
     """
-    bottom = cells(points)
-    levels = _levels(bottom)
+    blocks = cell_blocks(points.where(F.col("label").isNotNull()))
+    least, most, tips = _boxes(metric)
+    alike = F.col("key_a") == F.col("key_b")
     best = _Best()
-    top = levels[-1].select("key", F.col("label").alias("la"), F.col("node").alias("a"))
-    pairs = top.join(top.toDF("key", "lb", "b"), "key").where(F.struct("la", "a") <= F.struct("lb", "b"))
-    for at in range(len(levels) - 1, -1, -1):
-        if at < len(levels) - 1:
-            # A number may stand for larger cells of several labels: the label tells them apart.
-            children = levels[at].select("key", "label", "parent", "node")
-            pairs = pairs.select("key", "la", "a", "lb", "b").join(children.toDF("key", "la", "a", "ca"), ["key", "la", "a"]).join(
-                children.toDF("key", "lb", "b", "cb"), ["key", "lb", "b"]).where(F.struct("la", "ca") <= F.struct("lb", "cb")).select(
-                "key", "la", F.col("ca").alias("a"), "lb", F.col("cb").alias("b"))
-        nodes = levels[at]
-        ship_package(points.sparkSession)
-        ends = _ends(pairs, nodes, ("lo", "hi", "tip")).withColumn("same", F.col("la") == F.col("lb"))
-        bounded = written(ends.select(*PAIR, *[f"{c}_{s}" for c in ("lo", "hi", "tip") for s in "ab"]).mapInArrow(
-            _bounds(metric), "key string, same boolean, la int, a bigint, lb int, b bigint, least double, most double, real double"), "extreme-bounds")
-        best.add(bounded, "extreme-tips")
-        pairs = best.beaten(bounded)
-    blocks = bottom.select("key", "label", "node", "n", "block")
-
-    def measure(rows: DataFrame) -> DataFrame:
-        return _ends(rows, blocks, ("n", "block")).select("key", "same", "n_a", "block_a", "n_b", "block_b").mapInArrow(
-            _measured(metric), "key string, same boolean, real double")
-
-    promise = F.when(F.col("same"), -F.col("most")).otherwise(F.col("least"))
-    ranked = written(pairs.withColumn("place", F.row_number().over(Window.partitionBy("key", "same").orderBy(promise, "la", "a", "lb", "b"))), "extreme-open")
-    best.add(measure(ranked.where(F.col("place") <= FIRST)), "extreme-first")
-    rest, seen = written_counted(best.beaten(ranked.where(F.col("place") > FIRST)), "extreme-rest")
-    if seen["rows"]:
-        best.add(measure(rest), "extreme-last")
-    looked = ranked.where(F.col("place") <= FIRST).select("key").unionByName(rest.select("key")).groupBy("key").agg(F.count(F.lit(1)).alias("measured"))
-    possible = bottom.groupBy("key").agg((F.count(F.lit(1)) * (F.count(F.lit(1)) + 1) / 2).cast("bigint").alias("possible"))
-    return best.table().join(looked, "key", "left").join(possible, "key").select(
-        "key", "min_b", "max_w", F.coalesce("measured", F.lit(0)).cast("bigint").alias("measured"), "possible")
+    boxes = crossed(blocks.drop("v", "labels"), where=alike)
+    same = F.col("tip_label_a") == F.col("tip_label_b")
+    best.add(boxes.select(F.col("key_a").alias("key"), F.when(same, tips).alias("max_w"), F.when(~same, tips).alias("min_b"), F.lit(0).alias("measured")),
+             "extreme-tips")
+    shared, apart = _sides()
+    open_ = boxes.where(best.beaten(least, most)).select("key_a", "blk_a", "blk_b", F.when(shared, -most).alias("inside"), F.when(apart, least).alias("across"))
+    first = set()
+    for side in ("inside", "across"):
+        rank = F.row_number().over(Window.partitionBy("key_a").orderBy(side, "blk_a", "blk_b"))
+        top = open_.where(F.col(side).isNotNull()).withColumn("place", rank).where(F.col("place") <= FIRST)
+        first |= {(r["blk_a"], r["blk_b"]) for r in top.select("blk_a", "blk_b").collect()}  # FIRST rows a key
+    pair = F.concat_ws("|", "blk_a", "blk_b")
+    chosen = pair.isin([f"{a}|{b}" for a, b in first]) if first else F.lit(False)
+
+    def measure(where: Column) -> DataFrame:
+        columns = [f"{c}_{s}" for c in ("key", "blk", "v", "labels") for s in "ab"]
+        return crossed(blocks, where=alike & where).select(columns).mapInArrow(_measured(metric, dict(best.known), CELL), _FOUND)
+
+    if first:
+        best.add(measure(chosen), "extreme-first")
+        best.add(measure(best.beaten(least, most) & ~chosen), "extreme-rest")
+    cells = F.sum("cells")
+    possible = blocks.groupBy("key").agg((cells * (cells + 1) / 2).cast("bigint").alias("possible"))
+    return best.table().join(possible, "key").select("key", "min_b", "max_w", "measured", "possible")
 
 
 def largest_distance(vectors: DataFrame, column: str, split: int, angle: bool = False, key: str | None = None) -> dict[str, float]:
