@@ -50,6 +50,34 @@ def test_tiles_give_the_same_indices(data, block_rows):
             assert brute.close(got[key, name], value), (key, name)
 
 
+def test_tiles_move_no_unit_once_per_tile(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    written_rows, plain = {}, tiles.written
+
+    def counted(df, label, path=None):
+        table = plain(df, label, path)
+        written_rows[label] = table.count()
+        return table
+
+    monkeypatch.setattr(tiles, "written", counted)
+    x = rng.standard_normal((400, 3))
+    x[5] = x[6]
+    units = written(spark.createDataFrame([(i, x[i].tolist(), i % 3, i // 9) for i in range(400)], "unit long, x array<double>, few int, many int"), "u")
+    parts = {"few": [i % 3 for i in range(400)], "many": [i // 9 for i in range(400)]}
+    d = {(i, j): float(np.linalg.norm(x[i] - x[j])) for i, j in itertools.combinations(range(400), 2)}
+    got = {(r["key"], r["index"]): r["value"] for r in
+           tiles.vector_indices(units, {"few": 0, "many": 0}, ["Sil", "McClain", "Cindex"], block_rows=20).collect()}
+    for key, p in parts.items():
+        want = {**brute.pair_indices(d, p), "Sil": brute.silhouette(400, d, p)}
+        assert all(brute.close(got[key, name], want[name]) for name in ("Sil", "McClain", "Cindex")), key
+    # One row for each unit and cluster however many tiles there are, and none of them where no index asks for it.
+    assert written_rows["tile-sums"] <= 400 * (3 + 45) + 2
+    tiles.vector_indices(units, {"few": 0, "many": 0}, ["McClain"], block_rows=20).collect()
+    assert written_rows["tile-sums"] == 2
+    plan = spark._jvm.PythonSQLUtils.explainString(tiles.tile_sums(tiles.packed(units.withColumn("labels", F.array("few")), 400, 20), [(0, 0.0)], (1.0, 1.0))._jdf.queryExecution(), "simple")
+    assert "Exchange" not in plan
+
+
 def test_tiles_blend_places_and_skip_missing_features(spark):
     rng = random.Random(9)
     rows = [(i, [rng.random(), None if i % 5 == 0 else rng.random()], rng.uniform(-90, 90), rng.uniform(-60, 60), i % 3)

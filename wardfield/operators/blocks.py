@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 from ..state import BLOCK_ROWS, ship_package, written
 
 
+# Files of a block table, so shares of it that tasks cross, and the most blocks of a file; blocks of a small table, and the fewest rows of those.
+FILES, FILE_BLOCKS = 16, 32
+BLOCKS, LEAST_ROWS = 32, 256
+
+
 def block_count(units: int, block_rows: int = BLOCK_ROWS) -> int:
     return max(1, -(-units // block_rows))
 
@@ -31,14 +36,18 @@ def unpack(column: pa.Array, i: int) -> pa.Table:
 
 
 def packed(units: DataFrame, count: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(blk, rows): the units by hash in blocks of about ``block_rows``, sorted by unit, one row a block; a written table."""
+    """(blk, rows): the units by hash in blocks of at most about ``block_rows``, sorted by unit, one row a block; a written table.
+
+    The number of files stays the same up to FILES * FILE_BLOCKS blocks, and with it the number of tasks that a unit takes part in.
+    """
     ship_package(units.sparkSession)
-    block = F.pmod(F.xxhash64("unit"), F.lit(block_count(count, block_rows))).cast("int")
+    blocks = block_count(count, min(block_rows, max(LEAST_ROWS, -(-count // BLOCKS))))
+    block = F.pmod(F.xxhash64("unit"), F.lit(blocks)).cast("int")
 
     def one(rows: pa.Table) -> pa.Table:
         return pa.table({"blk": rows["blk"].combine_chunks()[:1], "rows": pa.array([pack(rows.drop_columns("blk").sort_by("unit"))], pa.binary())})
 
-    return written(units.withColumn("blk", block).groupBy("blk").applyInArrow(one, "blk int, rows binary"), "blocks")
+    return written(units.withColumn("blk", block).repartition(max(FILES, -(-blocks // FILE_BLOCKS)), "blk").groupBy("blk").applyInArrow(one, "blk int, rows binary"), "blocks")
 
 
 def crossed(blocks: DataFrame, name: str = "blk", where: Column | None = None) -> DataFrame:

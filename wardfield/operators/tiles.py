@@ -1,8 +1,10 @@
 """Exact pairwise results for many units without a pair table.
 
-Units are hashed into blocks and each pair of blocks becomes one tile. A tile
-computes its distance matrix in a task and returns sums, extremes or nearest
-neighbours; what is shuffled is units times blocks, and state stays linear in the
+Units are hashed into blocks and each pair of blocks becomes one tile. A tile's
+distance matrix is computed in a task. Sums, extremes and histograms come from
+blocks crossed as :mod:`wardfield.operators.blocks` says: nothing is shuffled but
+what a task has added up over all its tiles. Nearest neighbours of many trees are
+found in tiles dealt by a shuffle, units times blocks. State stays linear in the
 number of units. Unit ids are unique, so no block can be hot.
 """
 
@@ -17,18 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_xyz
-from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written
+from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written, written_counted
 from . import extremes, small_trees
+from .blocks import block_count, crossed, packed, squared, unpack
 from .indices import c_index_values, dunn, mcclain_rao, silhouette_from_sums
 from .pairs import in_tiles
-from .ranks import BINS
 from .ward import GROUP, Tree, all_merges, by_scenario
 
 
-def block_count(units: int, block_rows: int = BLOCK_ROWS) -> int:
-    return max(1, -(-units // block_rows))
-
-
 # Arrow types of the columns tiles return.
 _TYPES = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
 
@@ -39,49 +37,22 @@ def _matrix(rows: pa.Table, column: str) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared Euclidean distances; missing coordinates are skipped and scaled for."""
-    holes = np.isnan(a).any() or np.isnan(b).any()
-    if holes:
-        ma, mb = (~np.isnan(a)).astype(float), (~np.isnan(b)).astype(float)
-        a, b = np.nan_to_num(a), np.nan_to_num(b)
-        na, nb, shared = (a * a) @ mb.T, ma @ (b * b).T, ma @ mb.T
-    else:
-        na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
-    d2 = na + nb - 2 * (a @ b.T)
-    # Where the terms nearly cancel the product form is inexact: redo those directly.
-    i, j = np.nonzero(d2 <= 1e-6 * (na + nb))
-    for s in range(0, len(i), 100_000):
-        ii, jj = i[s:s + 100_000], j[s:s + 100_000]
-        gap = a[ii] - b[jj]
-        if holes:
-            gap = gap * ma[ii] * mb[jj]
-        d2[ii, jj] = (gap * gap).sum(1)
-    if holes:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d2 = np.where(shared > 0, d2 * a.shape[1] / shared, np.nan)
-    return d2
-
-
 class _Tile:
     """One tile's two sides, sorted by unit, and its distances."""
 
-    def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("unit")
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
-        self.same = p == q
-        self.left = rows.filter(pc.equal(rows["blk"], p))
-        self.right = self.left if self.same else rows.filter(pc.equal(rows["blk"], q))
+    def __init__(self, p: int, q: int, left: pa.Table, right: pa.Table):
+        self.p, self.q, self.same = p, q, p == q
+        self.left, self.right = left, left if self.same else right
 
     def empty(self) -> bool:
         return len(self.left) == 0 or len(self.right) == 0
 
     def features(self) -> np.ndarray:
-        return np.sqrt(_squared(_matrix(self.left, "x"), _matrix(self.right, "x")))
+        return np.sqrt(squared(_matrix(self.left, "x"), _matrix(self.right, "x")))
 
     def places(self) -> np.ndarray:
         """Great-circle angle between the units' points on the sphere."""
-        chord = np.sqrt(_squared(_matrix(self.left, "g"), _matrix(self.right, "g")))
+        chord = np.sqrt(squared(_matrix(self.left, "g"), _matrix(self.right, "g")))
         return 2 * np.arcsin(np.minimum(chord / 2, 1.0))
 
     def once(self) -> np.ndarray:
@@ -96,10 +67,8 @@ def unit_point(lon: str = "lon", lat: str = "lat"):
     return F.array(p["x"], p["y"], p["z"])
 
 
-def _run(units: DataFrame, count: int, work: Callable[[_Tile], Iterator[dict]], schema: str,
-         by: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Run ``work`` on every tile; it yields column dictionaries, left-out columns are NULL."""
-    ship_package(units.sparkSession)
+def _tables(schema: str) -> tuple[pa.Schema, Callable[[dict], pa.Table]]:
+    """The Arrow schema, and what makes a table of a column dictionary; left-out columns are NULL."""
     fields = [(c.split()[0], _TYPES[c.split()[1]]) for c in schema.split(",")]
     arrow = pa.schema(fields)
 
@@ -108,22 +77,52 @@ def _run(units: DataFrame, count: int, work: Callable[[_Tile], Iterator[dict]],
         return pa.table([pa.array(columns[n], t) if n in columns else pa.nulls(rows, t) for n, t in fields],
                         schema=arrow)
 
+    return arrow, table
+
+
+def _over(blocks: DataFrame, work: Callable[[Iterator[_Tile]], Iterator[dict]], schema: str) -> DataFrame:
+    """Run ``work`` on the tiles of crossed blocks; it gets all tiles of a task and yields column dictionaries."""
+    _, table = _tables(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def tiles() -> Iterator[_Tile]:
+            for b in batches:
+                for i, (p, q) in enumerate(zip(b.column("blk_a").to_pylist(), b.column("blk_b").to_pylist())):
+                    yield _Tile(p, q, unpack(b.column("rows_a"), i), unpack(b.column("rows_b"), i))
+
+        for columns in work(tiles()):
+            yield from table(columns).to_batches()
+
+    return crossed(blocks).mapInArrow(run, schema)
+
+
+def _run(units: DataFrame, count: int, work: Callable[[_Tile], Iterator[dict]], schema: str,
+         by: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Run ``work`` on every tile of units dealt by a shuffle; it yields column dictionaries, left-out columns are NULL."""
+    ship_package(units.sparkSession)
+    arrow, table = _tables(schema)
+
     def tile(rows: pa.Table) -> pa.Table:
-        t = _Tile(rows)
+        rows = rows.sort_by("unit")
+        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
+        t = _Tile(p, q, rows.filter(pc.equal(rows["blk"], p)), rows.filter(pc.equal(rows["blk"], q)))
         found = [] if t.empty() else [table(c) for c in work(t)]
         return pa.concat_tables(found).combine_chunks() if found else arrow.empty_table()
 
     return in_tiles(units, block_count(count, block_rows)).groupBy(*by, "p", "q").applyInArrow(tile, schema)
 
 
-def largest_distances(units: DataFrame, count: int, geo: bool, block_rows: int = BLOCK_ROWS) -> tuple[float, float]:
-    """Largest feature distance and largest great-circle angle over all pairs."""
+def largest_distances(blocks: DataFrame, geo: bool) -> tuple[float, float]:
+    """Largest feature distance and largest great-circle angle over all pairs of packed units."""
 
-    def work(t: _Tile):
-        yield {"m0": [float(np.nanmax(t.features(), initial=0.0))],
-               "m1": [float(t.places().max()) if geo else 0.0]}
+    def work(tiles: Iterator[_Tile]):
+        m0, m1 = 0.0, 0.0
+        for t in tiles:
+            m0 = max(m0, float(np.nanmax(t.features(), initial=0.0)))
+            m1 = max(m1, float(t.places().max()) if geo else 0.0)
+        yield {"m0": [m0], "m1": [m1]}
 
-    top = _run(units, count, work, "m0 double, m1 double", block_rows=block_rows).agg(F.max("m0"), F.max("m1")).first()
+    top = _over(blocks, work, "m0 double, m1 double").agg(F.max("m0"), F.max("m1")).first()
     return float(top[0] or 0.0), float(top[1] or 0.0)
 
 
@@ -132,94 +131,166 @@ def _blend(t: _Tile, alpha: float, scale: tuple[float, float]) -> np.ndarray:
     return d + alpha / scale[1] * t.places() if alpha > 0 else d
 
 
-def tile_sums(units: DataFrame, count: int, combos: list[tuple[int, float]], scale: tuple[float, float],
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One pass for all partitions: units(unit, x, [g], labels array<int>).
+# Clusters in a block up to which sums by cluster are a product of matrices, and sums a task holds before it hands them on.
+PRODUCT, HELD = 64, 8_000_000
+
+
+def _by_label(d: np.ndarray, code: np.ndarray, size: int) -> np.ndarray:
+    """Row sums of ``d`` over the columns of each label."""
+    if size <= PRODUCT:
+        return d @ np.eye(size)[code]
+    order = np.argsort(code, kind="stable")
+    return np.add.reduceat(d[:, order], np.searchsorted(code[order], np.arange(size)), axis=1)
+
+
+class _Held:
+    """Distance sums of units to clusters, added up over the tiles of a task; one matrix for each block and partition."""
+
+    def __init__(self):
+        self.sums: dict[tuple[int, int], list] = {}
+        self.cells = 0
+
+    def add(self, blk: int, combo: int, rows: pa.Table, own: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        old = self.sums.get((blk, combo))
+        if old is not None and np.array_equal(old[2], ids):
+            old[3] += s
+            return
+        if old is not None:
+            both = np.union1d(old[2], ids)
+            wide = np.zeros((len(own), len(both)))
+            wide[:, np.searchsorted(both, old[2])] = old[3]
+            wide[:, np.searchsorted(both, ids)] += s
+            self.cells -= old[3].size
+            ids, s = both, wide
+        self.sums[blk, combo] = [rows["unit"].to_numpy(), own, ids, s]
+        self.cells += s.size
+
+    def give(self) -> Iterator[dict]:
+        for (_, combo), (unit, own, ids, s) in self.sums.items():
+            at, cl = np.divmod(np.arange(s.size), len(ids))
+            yield {"combo": np.full(s.size, combo), "unit": unit[at], "own": own[at], "other": ids[cl], "s": s.ravel()}
+        self.sums, self.cells = {}, 0
 
-    ``combos`` holds (partition number, weight). Rows with a unit carry its distance
-    sums and pair counts per cluster; rows without one carry the tile's within and
-    between sums, counts and extremes.
+
+def tile_sums(blocks: DataFrame, combos: list[tuple[int, float]], scale: tuple[float, float], units: bool = True, ends: bool = True) -> DataFrame:
+    """One pass for all partitions: :func:`packed` units(unit, x, [g], labels array<int>).
+
+    ``combos`` holds (partition number, weight). Rows without a unit carry sums and pair counts within and between clusters and
+    the smallest and largest distance, with ``ends`` also ``max_w`` and ``min_b``. With ``units``, rows with one carry its distance
+    sum to each cluster. Both are what a task has added up, to be added up further.
     """
 
-    def work(t: _Tile):
-        lab_l, lab_r = _matrix(t.left, "labels"), _matrix(t.right, "labels")
-        once, cache = t.once(), {}
-        for c, alpha in combos:
-            if alpha not in cache:
-                cache[alpha] = _blend(t, alpha, scale)
-            d = cache[alpha]
-            own, other = lab_l[:, c], lab_r[:, c]
-            same = own[:, None] == other[None, :]
-            inside, across = d[once & same], d[once & ~same]
-            yield {"combo": [c], "s_w": [inside.sum()], "n_w": [len(inside)],
-                   "max_w": [inside.max() if len(inside) else None], "s_b": [across.sum()],
-                   "n_b": [len(across)], "min_b": [across.min() if len(across) else None]}
-            sides = [(t.left, own, other, d)] + ([] if t.same else [(t.right, other, own, d.T)])
-            for rows, mine, theirs, m in sides:
-                ids, code = np.unique(theirs, return_inverse=True)
-                hot = np.eye(len(ids))[code]
-                sums, counts = m @ hot, np.tile(hot.sum(0), (len(rows), 1))
-                if t.same:  # a unit is no neighbour of itself
-                    counts -= hot
-                keep = counts > 0
-                at, cl = np.nonzero(keep)
-                yield {"combo": np.full(len(at), c), "unit": rows["unit"].to_numpy()[at], "own": mine[at],
-                       "other": ids[cl], "s": sums[at, cl], "n": counts[at, cl].astype(int)}
-
-    return _run(units, count, work,
-                "combo int, unit bigint, own int, other int, s double, n bigint, s_w double, n_w bigint, "
-                "max_w double, s_b double, n_b bigint, min_b double", block_rows=block_rows)
-
-
-def tile_histogram(units: DataFrame, count: int, alphas: dict[str, float], scale: tuple[float, float],
-                   block_rows: int = BLOCK_ROWS):
-    """Histogram passes over all pair distances, for the rank search."""
+    def work(tiles: Iterator[_Tile]):
+        total = {c: {"s_w": 0.0, "n_w": 0, "s_b": 0.0, "n_b": 0, "lo": None, "hi": None, "max_w": None, "min_b": None} for c, _ in combos}
+        held = _Held()
+
+        def least(old, d):
+            return old if not len(d) else float(d.min()) if old is None else min(old, float(d.min()))
+
+        def most(old, d):
+            return old if not len(d) else float(d.max()) if old is None else max(old, float(d.max()))
+
+        for t in tiles:
+            lab_l, lab_r = _matrix(t.left, "labels"), _matrix(t.right, "labels")
+            once, cache, seen = t.once(), {}, {}
+            for c, alpha in combos:
+                if alpha not in cache:
+                    cache[alpha] = _blend(t, alpha, scale)
+                    flat = cache[alpha][once] if t.same else cache[alpha].ravel()
+                    seen[alpha] = least(None, flat), most(None, flat)
+                d, sum_ = cache[alpha], total[c]
+                for k, pick, v in (("lo", min, seen[alpha][0]), ("hi", max, seen[alpha][1])):
+                    if v is not None:
+                        sum_[k] = v if sum_[k] is None else pick(sum_[k], v)
+                own, other = lab_l[:, c], lab_r[:, c]
+                (ids_l, code_l), (ids_r, code_r) = (np.unique(v, return_inverse=True) for v in (own, other))
+                far = _by_label(d, code_r, len(ids_r))
+                pair = _by_label(far.T, code_l, len(ids_l)).T
+                size_l, size_r = np.bincount(code_l), np.bincount(code_r)
+                alike = ids_l[:, None] == ids_r[None]
+                # Both orders of a pair stand in a block's tile with itself, and its diagonal is 0.
+                half = 2 if t.same else 1
+                counts = size_l[:, None] * size_r[None]
+                if t.same:
+                    counts = counts - np.diag(size_l)
+                for k, mask in (("w", alike), ("b", ~alike)):
+                    sum_[f"s_{k}"] += float(pair[mask].sum()) / half
+                    sum_[f"n_{k}"] += int(counts[mask].sum()) // half
+                if ends:
+                    inside = own[:, None] == other[None, :]
+                    sum_["max_w"], sum_["min_b"] = most(sum_["max_w"], d[once & inside]), least(sum_["min_b"], d[once & ~inside])
+                if units:
+                    held.add(t.p, c, t.left, own, ids_r, far)
+                    if not t.same:
+                        held.add(t.q, c, t.right, other, ids_l, _by_label(d.T, code_l, len(ids_l)))
+            if held.cells > HELD:
+                yield from held.give()
+        yield from held.give()
+        yield {"combo": list(total), **{k: [v[k] for v in total.values()] for k in next(iter(total.values()))}}
+
+    return _over(blocks, work, "combo int, unit bigint, own int, other int, s double, s_w double, n_w bigint, max_w double, "
+                               "s_b double, n_b bigint, min_b double, lo double, hi double")
+
+
+# Bins of a histogram pass over pairs, as a power of two.
+BIN_BITS = 16
+# Values of a tile up to which a pass looks for the smallest and largest in a bin; beyond, a bin's own ends stand for them.
+EXACT_ENDS = 1 << 18
+
+
+def tile_histogram(blocks: DataFrame, alphas: dict[str, float], scale: tuple[float, float]):
+    """Histogram passes over all pair distances, for the rank search.
+
+    Numbers of 0 or more have the order of their bits as integers, so a bin is a range of those: its ends are exact, and an interval
+    shrinks by 2 ** BIN_BITS a pass or to the values seen.
+    """
 
     def run(open_: DataFrame, _rows: int) -> DataFrame:
         intervals = [tuple(r) for r in open_.collect()]  # at most two a partition
 
-        def work(t: _Tile):
-            once, cache = t.once(), {}
+        def work(tiles: Iterator[_Tile]):
+            size = 1 << BIN_BITS
+            bins = []
             for key, lo, hi in intervals:
-                if key not in cache:
-                    cache[key] = _blend(t, alphas[key], scale)[once]
-                v = cache[key]
-                v = v[(v >= lo) & (v <= hi)]
-                if not len(v):
-                    continue
-                b = np.minimum(((v - lo) / (hi - lo) * BINS).astype(int), BINS - 1)
-                n = np.bincount(b, minlength=BINS)
-                small, large = np.full(BINS, np.inf), np.full(BINS, -np.inf)
-                np.minimum.at(small, b, v)
-                np.maximum.at(large, b, v)
+                first, last = (int(np.float64(v).view(np.int64)) for v in (lo + 0.0, hi + 0.0))
+                bins.append((key, lo, hi, first, last, max(0, (last - first).bit_length() - BIN_BITS),
+                             np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)))
+            for t in tiles:
+                once, cache = t.once(), {}
+                for key, lo, hi, first, last, shift, n, s, small, large in bins:
+                    if key not in cache:
+                        d = _blend(t, alphas[key], scale) + 0.0
+                        cache[key] = d[once] if t.same else d.ravel()
+                    v = cache[key]
+                    fits = (v >= lo) & (v <= hi)
+                    v = v if fits.all() else v[fits]
+                    if not len(v):
+                        continue
+                    b = (v.view(np.int64) - first) >> shift
+                    count = np.bincount(b, minlength=size)
+                    n += count
+                    s += np.bincount(b, weights=v, minlength=size)
+                    if len(v) <= EXACT_ENDS:
+                        np.minimum.at(small, b, v)
+                        np.maximum.at(large, b, v)
+                    else:
+                        u = np.nonzero(count)[0]
+                        start = first + (u << shift)
+                        small[u] = np.minimum(small[u], start.view(np.float64))
+                        large[u] = np.maximum(large[u], np.minimum(start + (1 << shift) - 1, last).view(np.float64))
+            for key, lo, hi, *_, n, s, small, large in bins:
                 u = np.nonzero(n)[0]
-                yield {"key": [key] * len(u), "lo": np.full(len(u), lo), "hi": np.full(len(u), hi), "b": u,
-                       "n": n[u], "s": np.bincount(b, weights=v, minlength=BINS)[u],
-                       "small": small[u], "large": large[u]}
+                if len(u):
+                    yield {"key": [key] * len(u), "lo": np.full(len(u), lo), "hi": np.full(len(u), hi), "b": u, "n": n[u], "s": s[u],
+                           "small": small[u], "large": large[u]}
 
-        rows = _run(units, count, work, "key string, lo double, hi double, b int, n bigint, s double, "
-                                        "small double, large double", block_rows=block_rows)
+        rows = _over(blocks, work, "key string, lo double, hi double, b int, n bigint, s double, small double, large double")
         return rows.groupBy("key", "lo", "hi", "b").agg(
             F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("small").alias("small"), F.max("large").alias("large"))
 
     return run
 
 
-def tile_bounds(units: DataFrame, count: int, alphas: dict[str, float], scale: tuple[float, float],
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(key, n, lo, hi): number, smallest and largest of all distances at each weight."""
-
-    def work(t: _Tile):
-        once = t.once()
-        for key, alpha in alphas.items():
-            v = _blend(t, alpha, scale)[once]
-            if len(v):
-                yield {"key": [key], "n": [len(v)], "lo": [v.min()], "hi": [v.max()]}
-
-    rows = _run(units, count, work, "key string, n bigint, lo double, hi double", block_rows=block_rows)
-    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
 def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[str] | None = None,
                    block_rows: int = BLOCK_ROWS, variant: str = "sums") -> DataFrame:
     """(key, index, value) of Silhouette, Dunn, C-index and McClain-Rao for given partitions.
@@ -235,19 +306,25 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
         return pruned_dunn(units, partitions).select("key", F.lit("Dunn").alias("index"), "value")
     payload = units.select("unit", "x", *(["g"] if geo else []),
                            F.array(*[F.col(k).cast("int") for k in keys]).alias("labels"))
-    count = payload.count()
-    scale = largest_distances(payload, count, True, block_rows) if geo else (1.0, 1.0)
+    blocks = packed(payload, payload.count(), block_rows)
+    scale = largest_distances(blocks, True) if geo else (1.0, 1.0)
     alphas = {k: step / 100.0 for k, step in partitions.items()}
-    sums = written(tile_sums(payload, count, [(i, alphas[k]) for i, k in enumerate(keys)], scale,
-                             block_rows), "tile-sums")
+    combos = [(i, alphas[k]) for i, k in enumerate(keys)]
+    found = tile_sums(blocks, combos, scale, "Sil" in wanted, "Dunn" in wanted)
+    # Added up by the task that made them and once more here, so what is written is a row for each unit and cluster at most.
+    sums = written(found.groupBy("combo", "unit", "own", "other").agg(
+        *[F.sum(c).alias(c) for c in ("s", "s_w", "n_w", "s_b", "n_b")], F.max("max_w").alias("max_w"), F.min("min_b").alias("min_b"),
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")), "tile-sums")
     name = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("combo") + 1).alias("key")
-    overall = sums.where(F.col("unit").isNull()).groupBy("combo").agg(
-        *[F.sum(c).alias(c) for c in ("s_w", "n_w", "s_b", "n_b")],
-        F.max("max_w").alias("max_w"), F.min("min_b").alias("min_b"))
+    overall = sums.where(F.col("unit").isNull()).drop("unit", "own", "other", "s")
     out = []
     if "Sil" in wanted:
-        per = sums.where(F.col("unit").isNotNull()).groupBy("combo", "unit", "own", "other").agg(
-            F.sum("s").alias("s"), F.sum("n").alias("n"))
+        sizes, seen = written_counted(payload.select(F.posexplode("labels").alias("combo", "other")).groupBy("combo", "other").agg(
+            F.count(F.lit(1)).alias("size")), "tile-sizes")
+        per = sums.where(F.col("unit").isNotNull()).select("combo", "unit", "own", "other", "s").join(
+            maybe_broadcast(sizes, seen["rows"]), ["combo", "other"])
+        # A unit is no neighbour of itself.
+        per = per.withColumn("n", F.col("size") - (F.col("own") == F.col("other")).cast("int")).where("n > 0")
         out.append(("Sil", silhouette_from_sums(per, ["combo"])))
     if "Dunn" in wanted:
         out.append(("Dunn", dunn(overall)))
@@ -256,9 +333,9 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     if "Cindex" in wanted:
         by_alpha = {str(a): a for a in alphas.values()}
         weight = F.element_at(F.array(*[F.lit(str(alphas[k])) for k in keys]), F.col("combo") + 1).alias("key")
-        keyed = written(overall.select("combo", "s_w", "n_w", "s_b", "n_b", weight), "tile-overall")
-        bounds = written(tile_bounds(payload, count, by_alpha, scale, block_rows), "tile-bounds")
-        out.append(("Cindex", c_index_values(keyed, bounds, tile_histogram(payload, count, by_alpha, scale, block_rows), variant)))
+        keyed = written(overall.select("combo", "s_w", "n_w", "s_b", "n_b", weight, "lo", "hi"), "tile-overall")
+        bounds = keyed.groupBy("key").agg(F.max(F.col("n_w") + F.col("n_b")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        out.append(("Cindex", c_index_values(keyed.drop("lo", "hi"), bounds, tile_histogram(blocks, by_alpha, scale), variant)))
     parts = [df.select(name, F.lit(n).alias("index"), "value") for n, df in out]
     result = parts[0]
     for p in parts[1:]:
@@ -311,7 +388,7 @@ def nearest_clusters(clusters: DataFrame, per_tree: int, split: int, scales: dic
             return rows["unit"].to_numpy(), w, _matrix(rows, "z") / w[:, None] * stretch
 
         (ia, wa, ua), (ib, wb, ub) = side(t.left), side(t.right)
-        ward = _squared(ua, ub) * (wa[:, None] * wb[None, :] / (wa[:, None] + wb[None, :]))
+        ward = squared(ua, ub) * (wa[:, None] * wb[None, :] / (wa[:, None] + wb[None, :]))
         if t.same:
             np.fill_diagonal(ward, np.inf)
         for ids, others, m in [(ia, ib, ward)] + ([] if t.same else [(ib, ia, ward.T)]):
