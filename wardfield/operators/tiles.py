@@ -448,7 +448,7 @@ def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[flo
     n = units.count()
     split = units.select(F.max(F.size("x"))).first()[0]
     if scale is None:
-        top0, top1 = largest_distances(units, n, True, block_rows)
+        top0, top1 = largest_distances(packed(units, n, block_rows), True)
         scale = (top0 or 1.0, 2 * np.sin(top1 / 2) or 1.0)
     scales = {scenario: scale}
     steps = F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])).alias("alpha_step")
