@@ -127,6 +127,29 @@ def test_graph_tree_is_near_the_exact_one_with_linear_edges(spark):
     assert sizes == {7}
 
 
+def test_edges_of_the_graph_are_never_written(spark, monkeypatch):
+    kept, plain = [], graph_tree.Rounds.keep
+
+    def counted(self, df, name):
+        table = plain(self, df, name)
+        kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(graph_tree.Rounds, "keep", counted)
+    x, g = vectors(1_300, 7, 20)
+    x[400:450], g[400:450] = x[3], g[3]
+    tree = graph_tree.ward_tree_graph(unit_table(spark, {"s": (x, g)}), [30])
+    # A round keeps a row for each cluster left and each merge: no more than there were units.
+    assert max(kept) <= 1_300 and tree.rounds[0][2] > 1_300
+    rows = tree.merges.collect()
+    assert len({r["right"] for r in rows}) == len(rows) == 1_299 and all(r["left"] < r["right"] for r in rows)
+    # The copies are one cluster at no cost.
+    assert sum(r["height"] < 1e-20 for r in rows) >= 50
+    labels = cut.cut_tree(tree, [5])
+    assert labels.count() == 1_300 and labels.select("cluster").distinct().count() == 5
+    assert labels.where("unit = 3 or unit between 400 and 449").select("cluster").distinct().count() == 1
+
+
 def test_copies_and_few_units(spark):
     x, g = vectors(6, 3)
     x[1], g[1] = x[0], g[0]
