@@ -4,12 +4,13 @@ import random
 from pathlib import Path
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wardfield import state
 from wardfield.functions.arrays import euclidean
-from wardfield.operators import cut, inertia, pairs, tiles, ward
+from wardfield.operators import cut, inertia, nearest, pairs, tiles, ward
 from wardfield.state import written
 
 N = 16
@@ -167,3 +168,72 @@ def test_pairs_are_complete_in_any_number_of_blocks(spark, monkeypatch):
     assert got.where("i >= j").count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def brute_nearest(ids, w, v):
+    gap = v[:, None] - v[None]
+    ward = (gap * gap).sum(2) * (w[:, None] * w[None] / (w[:, None] + w[None]))
+    np.fill_diagonal(ward, np.inf)
+    return ids[ward.argmin(1)], ward.min(1)
+
+
+def test_nearest_clusters_are_exact_and_few_pairs_are_compared(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 2_500
+    z, w, ids = rng.standard_normal((n, 4)) + 8 * rng.integers(0, 2, (n, 4)), rng.integers(1, 4, n) / n, np.sort(rng.choice(10 * n, n, replace=False))
+    z[:, 0] = np.round(z[:, 0], 1)
+    z[700:900], w[700:900] = z[:200], w[:200]
+    want, value = brute_nearest(ids, w, z)
+    compared, plain = [0], nearest._best_of
+
+    def counted(*a):
+        compared[0] += len(a[0]) * len(a[-1]) * nearest.CELL
+        return plain(*a)
+
+    monkeypatch.setattr(nearest, "_best_of", counted)
+    cells = nearest.Cells.of(ids, w, z)
+    best, nbr = cells.unknown()
+    nearest.search(cells, cells, best, nbr, np.arange(best.size).reshape(best.shape))
+    assert (nbr.ravel()[:n] == want[cells.order]).all() and np.allclose(best.ravel()[:n], value[cells.order], rtol=1e-12)
+    many = rng.random((20_000, 3))
+    cells, compared[0] = nearest.Cells.of(np.arange(20_000), np.full(20_000, 1.0), many), 0
+    nearest.search(cells, cells, *cells.unknown(), np.arange(cells.ids.size).reshape(cells.ids.shape))
+    # All pairs once would be half of the square.
+    assert compared[0] < 20_000 ** 2 / 10
+    monkeypatch.undo()
+    clusters = written(spark.createDataFrame([("s", 40, int(i), float(x), (float(x) * v).tolist()) for i, x, v in zip(ids, w, z)],
+                                             "scenario string, alpha_step int, unit long, w double, z array<double>"), "c")
+    # One factor for all entries, so that the mix is the plain distance.
+    rows = tiles.nearest_clusters(clusters, n, 1, {"s": (0.6 ** 0.5, 0.4 ** 0.5)}, block_rows=100).collect()
+    got = {r["node"]: r["best"] for r in rows}
+    for i, who, x in zip(ids, want, value):
+        assert math.isclose(got[i]["ward"], x, rel_tol=1e-9, abs_tol=1e-20) and (got[i]["nbr"] == who or x < 1e-20)
+
+
+def test_large_vector_tree_is_the_same_with_few_rounds_for_copies(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((30, 2))[np.arange(240) % 30]
+    g = rng.standard_normal((240, 3))
+    g /= np.linalg.norm(g, axis=1)[:, None]
+    units = written(spark.createDataFrame([(i, x[i].tolist(), g[i].tolist()) for i in range(240)], "unit long, x array<double>, g array<double>"), "u")
+    d0, d1 = (np.linalg.norm(m[:, None] - m[None], axis=2) for m in (x, g))
+    d0, d1 = d0 / d0.max(), d1 / d1.max()
+    kept, plain = [], tiles.Rounds.keep
+    monkeypatch.setattr(tiles.Rounds, "keep", lambda self, df, name: kept.append(name) or plain(self, df, name))
+    monkeypatch.setattr(tiles.small_trees, "FEW", 10)
+    found = {}
+    for large in (60, 32_768):
+        kept.clear()
+        monkeypatch.setattr(tiles.small_trees, "LARGE", large)
+        tree = tiles.ward_tree_vectors(units, [0, 30], block_rows=64)
+        found[large] = {(r["alpha_step"], r["left"], r["right"]): (r["height"], r["dw0"], r["dw1"]) for r in tree.merges.collect()}
+        # Seven copies of each vector take no round each.
+        assert len([name for name in kept if name.startswith("clusters")]) <= (10 if large == 60 else 0)
+    assert found[60].keys() == found[32_768].keys() and len(found[60]) == 2 * 239
+    assert np.allclose([found[60][k] for k in found[60]], [found[32_768][k] for k in found[60]], rtol=1e-9, atol=1e-12)
+    for a in (0, 30):
+        heights = np.sort([v[0] for k, v in found[60].items() if k[0] == a])
+        pairs_of = {(i, j): (d0[i, j], d1[i, j]) for i, j in itertools.combinations(range(240), 2)}
+        want = brute.ward(240, {k: v[0] for k, v in pairs_of.items()}, {k: v[1] for k, v in pairs_of.items()}, a / 100, "squared") if a else None
+        if want:
+            assert np.allclose(heights, np.sort([h for _, _, h in want]), rtol=1e-7, atol=1e-12)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..state import Rounds, maybe_broadcast, ship_package, written
 from . import small_trees
 from .extremes import largest_distance, vector_frame
+from .small_trees import stretched
 from .tiles import merged_vectors, nearest_clusters
 from .ward import GROUP, MERGES, Steps, Tree, all_merges, by_scenario, steps_column, steps_in, unit_counts
 from .zorder import codes
@@ -42,12 +43,6 @@ def scales_of(units: DataFrame, split: int) -> Scales:
     return {s: (far[s] or 1.0, wide[s] or 1.0) for s in far}
 
 
-def stretched(scale: tuple[float, float], split: int, alpha_step: int) -> np.ndarray:
-    """Factor of each entry that makes the squared mix of both distances one squared length."""
-    alpha = alpha_step / 100.0
-    return np.sqrt(np.r_[np.full(split, (1 - alpha) / scale[0] ** 2), np.full(3, alpha / scale[1] ** 2)])
-
-
 def _vectors(b: pa.RecordBatch, scales: Scales, split: int) -> np.ndarray:
     """Mean vectors of clusters, stretched by their tree's weight."""
     z = b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) / b.column("w").to_numpy()[:, None]

@@ -6,8 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Clusters of a tree up to which one task merges the rest of it.
-FEW = 128
+from .nearest import grown
+
+# Clusters of a tree up to which one task merges the rest of it, smallest pair first; and of vectors, up to which it merges what is each other's nearest.
+FEW, LARGE = 128, 32_768
 MERGED = "scenario string, alpha_step int, round int, left bigint, right bigint, height double, dw0 double, dw1 double"
 _NAMES = [f.split()[0] for f in MERGED.split(", ")]
 
@@ -77,14 +79,32 @@ def finish_pairs(state: DataFrame, first_round: int) -> DataFrame:
     return state.groupBy("scenario", "alpha_step").applyInArrow(run, MERGED)
 
 
+def stretched(scale: tuple[float, float], split: int, alpha_step: int) -> np.ndarray:
+    """Factor of each entry that makes the squared mix of both distances one squared length."""
+    alpha = alpha_step / 100.0
+    return np.sqrt(np.r_[np.full(split, (1 - alpha) / scale[0] ** 2), np.full(3, alpha / scale[1] ** 2)])
+
+
 def finish_vectors(clusters: DataFrame, split: int, scales: dict[str, tuple[float, float]], first_round: int) -> DataFrame:
-    """The same for ``clusters(scenario, alpha_step, unit, w, z, h)``, sums of vectors."""
+    """The same for ``clusters(scenario, alpha_step, unit, w, z, h)``, sums of vectors, with at most LARGE clusters a tree."""
+    few = FEW
+
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("unit")
+        rows = rows.sort_by("unit").combine_chunks()
         tree = rows["scenario"][0].as_py(), rows["alpha_step"][0].as_py()
         alpha, scale = tree[1] / 100.0, scales[tree[0]]
-        ids, w, h = rows["unit"].to_numpy(), rows["w"].to_numpy().copy(), rows["h"].to_numpy().copy()
-        z = np.array(rows["z"].to_pylist(), float)
+        ids, w, h = (rows[c].to_numpy().copy() for c in ("unit", "w", "h"))
+        z = rows["z"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).copy()
+        out, step = [], first_round
+        for left, right, ward, (ids, w, z, h) in grown(ids, w, z, h, stretched(scale, split, tree[1]), few):
+            if not len(left):
+                continue
+            gap = z[left] / w[left, None] - z[right] / w[right, None]
+            half = w[left] * w[right] / (w[left] + w[right])
+            dw0, dw1 = ((part * part).sum(1) * half / s ** 2 for part, s in ((gap[:, :split], scale[0]), (gap[:, split:], scale[1])))
+            out.append(_table(tree, list(zip([step] * len(left), ids[left].tolist(), ids[right].tolist(), np.maximum(ward, np.maximum(h[left], h[right])).tolist(),
+                                             dw0.tolist(), dw1.tolist()))))
+            step += 1
 
         def squares(v):
             d = np.zeros((len(v), len(v)))
@@ -104,6 +124,6 @@ def finish_vectors(clusters: DataFrame, split: int, scales: dict[str, tuple[floa
             w[p] += w[q]
             z[p] += z[q]
 
-        return _table(tree, _merge_all(ids, h, first_round, growths, join))
+        return pa.concat_tables([*out, _table(tree, _merge_all(ids, h, step, growths, join))])
 
     return clusters.groupBy("scenario", "alpha_step").applyInArrow(run, MERGED)

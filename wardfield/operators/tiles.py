@@ -4,8 +4,8 @@ Units are hashed into blocks and each pair of blocks becomes one tile. A tile's
 distance matrix is computed in a task. Sums, extremes and histograms come from
 blocks crossed as :mod:`wardfield.operators.blocks` says: nothing is shuffled but
 what a task has added up over all its tiles. Nearest neighbours of many trees are
-found in tiles dealt by a shuffle, units times blocks. State stays linear in the
-number of units. Unit ids are unique, so no block can be hot.
+found in blocks of clusters that lie together, crossed as far as their boxes allow
+(:mod:`wardfield.operators.nearest`). State stays linear in the number of units.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_xyz
 from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written, written_counted
-from . import extremes, small_trees
-from .blocks import block_count, crossed, packed, squared, unpack
+from . import extremes, nearest, small_trees
+from .blocks import FILE_BLOCKS, FILES, block_count, crossed, packed, squared, unpack
 from .indices import c_index_values, dunn, mcclain_rao, silhouette_from_sums
-from .pairs import in_tiles
 from .ward import GROUP, Tree, all_merges, by_scenario
 
 
@@ -96,22 +95,6 @@ def _over(blocks: DataFrame, work: Callable[[Iterator[_Tile]], Iterator[dict]],
     return crossed(blocks).mapInArrow(run, schema)
 
 
-def _run(units: DataFrame, count: int, work: Callable[[_Tile], Iterator[dict]], schema: str,
-         by: tuple[str, ...] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Run ``work`` on every tile of units dealt by a shuffle; it yields column dictionaries, left-out columns are NULL."""
-    ship_package(units.sparkSession)
-    arrow, table = _tables(schema)
-
-    def tile(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("unit")
-        p, q = rows["p"][0].as_py(), rows["q"][0].as_py()
-        t = _Tile(p, q, rows.filter(pc.equal(rows["blk"], p)), rows.filter(pc.equal(rows["blk"], q)))
-        found = [] if t.empty() else [table(c) for c in work(t)]
-        return pa.concat_tables(found).combine_chunks() if found else arrow.empty_table()
-
-    return in_tiles(units, block_count(count, block_rows)).groupBy(*by, "p", "q").applyInArrow(tile, schema)
-
-
 def largest_distances(blocks: DataFrame, geo: bool) -> tuple[float, float]:
     """Largest feature distance and largest great-circle angle over all pairs of packed units."""
 
@@ -374,34 +357,148 @@ def vector_inertia(units: DataFrame, x: str = "x", by: list[str] | None = None)
     return spread.groupBy(*by).agg(F.sum("s").alias("inertia"))
 
 
+# Clusters drawn for a block of a tree, to halve the space by, and those drawn for all trees.
+DRAWN, ALL_DRAWN = 32, 131_072
+
+
+def _halves(v: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and cut of every node of ``depth`` halvings of the space, so that each part holds about as many of the rows."""
+    axis, cut = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf)
+    rows = {0: np.arange(len(v))}
+    for node in range(len(axis)):
+        mine = rows.pop(node)
+        if len(mine):
+            part = v[mine]
+            axis[node] = (part.max(0) - part.min(0)).argmax()
+            along = part[:, axis[node]]
+            cut[node] = np.partition(along, (len(along) - 1) // 2)[(len(along) - 1) // 2]
+            over = along > cut[node]
+            rows[2 * node + 1], rows[2 * node + 2] = mine[~over], mine[over]
+        else:
+            rows[2 * node + 1] = rows[2 * node + 2] = mine
+    return axis, cut
+
+
+def _part(v: np.ndarray, axis: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The part of the space that each row lies in."""
+    node = np.zeros(len(v), np.int64)
+    while len(axis) and len(node) and node[0] < len(axis):
+        node = 2 * node + 1 + (v[np.arange(len(v)), axis[node]] > cut[node])
+    return node - len(axis)
+
+
+_NEAR_BLOCK = "scenario string, alpha_step int, blk bigint, lo array<double>, hi array<double>, least double, top double, n int, rows binary"
+
+
+def near_blocks(clusters: DataFrame, per_tree: int, split: int, scales: dict[str, tuple[float, float]], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Clusters that lie together as blocks of at most ``block_rows``, a row each with its box, least weight and the largest of its
+    clusters' smallest Ward values inside the block; a written table. Only a few clusters are drawn to see where they lie.
+    """
+    ship_package(clusters.sparkSession)
+    trees = clusters.select(*GROUP).distinct().count()
+    depth = (min(block_count(per_tree, block_rows), max(1, ALL_DRAWN // (DRAWN * max(1, trees)))) - 1).bit_length()
+
+    def vectors(rows: pa.Table, tree: tuple[str, int]) -> np.ndarray:
+        return _matrix(rows, "z") / rows["w"].to_numpy()[:, None] * small_trees.stretched(scales[tree[0]], split, tree[1])
+
+    def of(rows: pa.Table, tree: tuple[str, int]) -> pa.Table:
+        return rows.filter(pc.and_(pc.equal(rows["scenario"], tree[0]), pc.equal(rows["alpha_step"], tree[1])))
+
+    def found_in(rows: pa.Table) -> list[tuple[str, int]]:
+        return [tuple(r.values()) for r in rows.select(GROUP).group_by(GROUP).aggregate([]).to_pylist()]
+
+    drawn = clusters.sample(min(1.0, DRAWN * 2.0**depth / per_tree), 7).select(*GROUP, "w", "z").toArrow() if depth else None  # ALL_DRAWN rows
+    cuts = {t: _halves(vectors(of(drawn, t), t), depth) for t in found_in(drawn)} if depth else {}
+    none = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, np.inf)
+
+    def parted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            for t in found_in(rows):
+                mine = of(rows, t)
+                yield from mine.append_column("part", pa.array(_part(vectors(mine, t), *cuts.get(t, none)))).to_batches()
+
+    def blocks(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("unit").combine_chunks()
+        tree, part = (rows["scenario"][0].as_py(), rows["alpha_step"][0].as_py()), rows["part"][0].as_py()
+        ids, w, v = rows["unit"].to_numpy(), rows["w"].to_numpy(), vectors(rows, tree)
+        order, out = nearest.halved(v), []
+        for piece, start in enumerate(range(0, len(ids), block_rows)):
+            at = order[start:start + block_rows]
+            c = nearest.Cells.ordered(np.arange(len(at)), ids[at], w[at], v[at])
+            best, nbr = c.unknown()
+            nearest.search(c, c, best, nbr, np.arange(best.size).reshape(best.shape))
+            best, nbr = best.ravel()[:len(at)], nbr.ravel()[:len(at)]
+            # Numbers of a tree's blocks are odd and even alike, whatever the pieces.
+            out.append((*tree, part * 65_537 + piece, v[at].min(0).tolist(), v[at].max(0).tolist(), float(w[at].min()), float(best.max()), len(at),
+                        b"".join(x.tobytes() for x in (ids[at].astype(np.int64), nbr, w[at], best, v[at]))))
+        names = [c.split()[0] for c in _NEAR_BLOCK.split(", ")]
+        kinds = [pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.int32(), pa.binary()]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    whole = clusters.select("scenario", "alpha_step", F.col("unit").cast("bigint").alias("unit"), "w", "z")
+    dealt = whole.mapInArrow(parted, "scenario string, alpha_step int, unit bigint, w double, z array<double>, part bigint")
+    files = max(FILES, -(-trees * (1 << depth) // FILE_BLOCKS))
+    return written(dealt.repartition(files, *GROUP, "part").groupBy(*GROUP, "part").applyInArrow(blocks, _NEAR_BLOCK), "near-blocks")
+
+
+class _Asked:
+    """A block's clusters in cells, and the nearest neighbours known to a task."""
+
+    def __init__(self, n: int, rows: bytes):
+        ids, nbr = np.frombuffer(rows, np.int64, 2 * n).reshape(2, n)
+        rest = np.frombuffer(rows, np.float64, offset=16 * n)
+        self.cells = nearest.Cells.ordered(np.arange(n), ids, rest[:n], rest[2 * n:].reshape(n, -1))
+        self.n, self.whole, self.first = n, False, (rest[n:2 * n], nbr)
+        self.best, self.nbr = self.cells.unknown()
+        self.best.ravel()[:n], self.nbr.ravel()[:n] = self.first
+
+    def give(self, scenario: str, step: int) -> dict | None:
+        """Neighbours that are better than those in the block itself, which are given once: with the block's pair with itself."""
+        best, nbr = self.best.ravel()[:self.n], self.nbr.ravel()[:self.n]
+        at = np.flatnonzero(np.isfinite(best) & (self.whole | (best != self.first[0]) | (nbr != self.first[1])))
+        return {"scenario": [scenario] * len(at), "alpha_step": np.full(len(at), step), "node": self.cells.ids.ravel()[at], "nbr": nbr[at], "ward": best[at]}
+
+
+_NEAREST = "scenario string, alpha_step int, node bigint, nbr bigint, ward double"
+
+
 def nearest_clusters(clusters: DataFrame, per_tree: int, split: int, scales: dict[str, tuple[float, float]],
                      block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact nearest neighbour of every cluster by Ward value, ties to the smallest id; one scale per scenario."""
-
-    def work(t: _Tile):
-        scenario, step = t.left["scenario"][0].as_py(), t.left["alpha_step"][0].as_py()
-        alpha, scale = step / 100.0, scales[scenario]
-        stretch = np.sqrt(np.r_[np.full(split, (1 - alpha) / scale[0] ** 2), np.full(3, alpha / scale[1] ** 2)])
-
-        def side(rows):
-            w = rows["w"].to_numpy()
-            return rows["unit"].to_numpy(), w, _matrix(rows, "z") / w[:, None] * stretch
-
-        (ia, wa, ua), (ib, wb, ub) = side(t.left), side(t.right)
-        ward = squared(ua, ub) * (wa[:, None] * wb[None, :] / (wa[:, None] + wb[None, :]))
-        if t.same:
-            np.fill_diagonal(ward, np.inf)
-        for ids, others, m in [(ia, ib, ward)] + ([] if t.same else [(ib, ia, ward.T)]):
-            best = m.argmin(1)
-            value = m[np.arange(len(ids)), best]
-            ok = np.isfinite(value)
-            yield {"scenario": [scenario] * int(ok.sum()), "alpha_step": np.full(ok.sum(), step), "node": ids[ok],
-                   "nbr": others[best[ok]], "ward": value[ok]}
-
-    near = _run(clusters.select("scenario", "alpha_step", "unit", "w", "z"), per_tree, work,
-                "scenario string, alpha_step int, node bigint, nbr bigint, ward double", by=("scenario", "alpha_step"),
-                block_rows=block_rows)
-    return near.groupBy(*GROUP, "node").agg(F.min(F.struct("ward", "nbr")).alias("best"))
+    """Exact nearest neighbour of every cluster by Ward value, ties to the smallest id; one scale per scenario.
+
+    A pair of blocks meets only if its boxes allow a value that beats what the clusters of either have in their own block.
+    """
+    blocks = near_blocks(clusters, per_tree, split, scales, block_rows)
+    _, table = _tables(_NEAREST)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, _Asked] = {}
+        for b in batches:
+            keys = [list(zip(*(b.column(f"{c}_{s}").to_pylist() for c in ("scenario", "alpha_step", "blk")))) for s in "ab"]
+            for i, (p, q) in enumerate(zip(*keys)):
+                for key, s in ((p, "a"), (q, "b")):
+                    if key not in held:
+                        held[key] = _Asked(b.column(f"n_{s}")[i].as_py(), b.column(f"rows_{s}")[i].as_py())
+                left, right = held[p], held[q]
+                if p == q:
+                    left.whole = True
+                    continue
+                nearest.search(left.cells, right.cells, left.best, left.nbr)
+                nearest.search(right.cells, left.cells, right.best, right.nbr)
+        for (scenario, step, _), asked in held.items():
+            yield from table(asked.give(scenario, step)).to_batches()
+
+    def gap(p: str, q: str):
+        return F.zip_with(p, q, lambda x, y: x - y)
+
+    apart = F.zip_with(gap("lo_b", "hi_a"), gap("lo_a", "hi_b"), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    half = F.col("least_a") * F.col("least_b") / (F.col("least_a") + F.col("least_b"))
+    least = F.aggregate(apart, F.lit(0.0), lambda s, x: s + x * x) * half * (1 - 1e-9)
+    one = (F.col("scenario_a") == F.col("scenario_b")) & (F.col("alpha_step_a") == F.col("alpha_step_b"))
+    met = crossed(blocks, where=one & (least <= F.greatest("top_a", "top_b")))
+    columns = [f"{c}_{s}" for c in ("scenario", "alpha_step", "blk", "n", "rows") for s in "ab"]
+    return met.select(columns).mapInArrow(run, _NEAREST).groupBy(*GROUP, "node").agg(F.min(F.struct("ward", "nbr")).alias("best"))
 
 
 def merged_vectors(clusters: DataFrame, best: DataFrame, split: int, scales: dict[str, tuple[float, float]],
@@ -434,47 +531,93 @@ def merged_vectors(clusters: DataFrame, best: DataFrame, split: int, scales: dic
         F.zip_with("z_left", "z_right", lambda a, b: a + b).alias("z"))
 
 
+def _copies(units: DataFrame, alpha_steps: list[int], n: int, split: int, scale: tuple[float, float]) -> DataFrame:
+    """Units of the same vector in a tree merge at no height, the smallest with one after the other as tied neighbours do.
+
+    One row per unit and weight: its merge with the ``left`` one (round 0: it is that one), and with the last, which has ``size`` rows
+    before it, the cluster's vector sum ``z``.
+    """
+    width = split + 3
+    steps = F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])).alias("alpha_step")
+    # A part of the vector without weight may differ.
+    same = F.when(F.col("alpha_step") == 0, F.col("x")).when(F.col("alpha_step") == 100, F.col("g")).otherwise(F.concat("x", "g"))
+    rows = units.select(F.col("unit").cast("bigint").alias("unit"), "x", "g", steps)
+    rows = rows.select("alpha_step", "unit", F.concat("x", "g").alias("v"), same.alias("same"))
+    whole = Window.partitionBy("alpha_step", "same")
+    upto = whole.orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = F.array(*[F.sum(F.col("v")[k]).over(upto) for k in range(width)])
+    rows = rows.select("alpha_step", "unit", "v", F.row_number().over(whole.orderBy("unit")).alias("place"), F.count(F.lit(1)).over(whole).alias("size"),
+                       F.first("unit").over(upto).alias("left"), sums.alias("z"))
+    before = F.col("place") - 1
+    gap = F.zip_with("z", "v", lambda s, v: F.pow((s - v) / before - v, F.lit(2.0)))
+
+    def growth(start: int, count: int, scale_: float):
+        spread = F.aggregate(F.slice(gap, start, count), F.lit(0.0), lambda s, v: s + v) * before / F.col("place") / float(n) / scale_ ** 2
+        return F.when(before > 0, spread)
+
+    return rows.select("alpha_step", before.cast("int").alias("round"), "left", F.col("unit").alias("right"), F.lit(0.0).alias("height"),
+                       growth(1, split, scale[0]).alias("dw0"), growth(split + 1, 3, scale[1]).alias("dw1"),
+                       F.when(F.col("place") == F.col("size"), F.transform("z", lambda v: v / F.lit(float(n)))).alias("z"),
+                       (F.col("size") / F.lit(float(n))).alias("w"))
+
+
+# Tasks for each tree that one task finishes, so that trees seldom share one.
+SPREAD = 32
+
+
 def ward_tree_vectors(units: DataFrame, alpha_steps: list[int], scale: tuple[float, float] | None = None,
                       scenario: str = "all", block_rows: int = BLOCK_ROWS) -> Tree:
     """Exact Ward trees (squared mix) for units(unit, x, g) with linear state.
 
     Feature distances are Euclidean and places are straight lines between points of
     the unit sphere, so a cluster is its weight and its vector sum, and the Ward value
-    needs only those. Each round finds every cluster's exact nearest neighbour over
-    tiles and merges the reciprocal ones.
+    needs only those. Copies merge first. A round finds every cluster's exact nearest
+    neighbour in blocks of what lies together and merges the reciprocal ones; trees with
+    at most ``small_trees.LARGE`` clusters are left to the end, when one task finishes each.
     """
     spark = units.sparkSession
     units = written(units.select("unit", "x", "g"), "units")
     n = units.count()
     split = units.select(F.max(F.size("x"))).first()[0]
-    if scale is None:
+    if scale is None and n <= small_trees.LARGE:
         top0, top1 = largest_distances(packed(units, n, block_rows), True)
         scale = (top0 or 1.0, 2 * np.sin(top1 / 2) or 1.0)
+    elif scale is None:
+        scale = (extremes.largest_distance(units, "x", split)["all"] or 1.0, extremes.largest_distance(units, "g", 3)["all"] or 1.0)
     scales = {scenario: scale}
-    steps = F.explode(F.array(*[F.lit(int(a)) for a in alpha_steps])).alias("alpha_step")
-    weighted = F.transform(F.concat("x", "g"), lambda v: v / F.lit(float(n)))
     rounds, done = Rounds(spark, "ward-vectors"), []
-    clusters = rounds.keep(units.select(
-        F.lit(scenario).alias("scenario"), steps, F.col("unit").cast("bigint"), F.lit(1.0 / n).alias("w"),
-        weighted.alias("z"), F.lit(0.0).alias("h")), "clusters-0")
-    left = {int(a): n for a in alpha_steps}
-    while max(left.values()) > 1:
-        step = len(done) + 1
-        alive, per_tree = sum(left.values()), max(left.values())
-        rounds.fit(alive * block_count(per_tree, block_rows))
-        if per_tree <= small_trees.FEW:
-            done.append(rounds.keep(small_trees.finish_vectors(clusters, split, scales, step), f"merges-{step}"))
+    left, step = {int(a): n for a in alpha_steps}, 1
+    named = F.lit(scenario).alias("scenario")
+
+    def merged(merges: DataFrame) -> None:
+        done.append(merges.select([c.split()[0] for c in small_trees.MERGED.split(", ")]))
+        for r in merges.groupBy("alpha_step").agg(F.count(F.lit(1)).alias("count")).collect():  # one row per weight
+            left[r["alpha_step"]] -= r["count"]
+
+    rounds.fit(8 * n * len(left))
+    copies = rounds.keep(_copies(units, alpha_steps, n, split, scale).select(named, "*"), "copies")
+    merged(copies.where("round > 0"))
+    step += copies.agg(F.max("round")).first()[0] or 0
+    clusters = copies.where(F.col("z").isNotNull()).select(*GROUP, F.col("left").alias("unit"), "w", "z", F.lit(0.0).alias("h"))
+    kept = None
+    while True:
+        large = {a: count for a, count in left.items() if count > small_trees.LARGE}
+        if not large:
             break
-        formed = merged_vectors(clusters, nearest_clusters(clusters, per_tree, split, scales, block_rows), split, scales, step)
-        merges, merged = rounds.keep_counted(formed, f"merges-{step}")
-        done.append(merges.drop("w", "z"))
-        for a, count in merges.groupBy("alpha_step").count().collect():  # one row per weight
-            left[a] -= count
-        if max(left.values()) > 1:
-            touched = merges.select(*GROUP, F.explode(F.array("left", "right")).alias("unit"))
-            kept = clusters.join(maybe_broadcast(touched, 2 * merged), [*GROUP, "unit"], "left_anti")
-            fresh = merges.select(*GROUP, F.col("left").alias("unit"), "w", "z", F.col("height").alias("h"))
-            clusters = rounds.keep(kept.select(fresh.columns).unionByName(fresh), f"clusters-{step}")
-        rounds.drop(f"clusters-{step - 1}")
+        rounds.fit(8 * sum(large.values()))
+        near = nearest_clusters(clusters.where(F.col("alpha_step").isin(list(large))), max(large.values()), split, scales, block_rows)
+        merges, count = rounds.keep_counted(merged_vectors(clusters, near, split, scales, step), f"merges-{step}")
+        if not count:
+            raise ValueError("no clusters to merge: a vector has missing entries")
+        merged(merges)
+        touched = merges.select(*GROUP, F.explode(F.array("left", "right")).alias("unit"))
+        stay = clusters.join(maybe_broadcast(touched, 2 * count), [*GROUP, "unit"], "left_anti")
+        fresh = merges.select(*GROUP, F.col("left").alias("unit"), "w", "z", F.col("height").alias("h"))
+        clusters = rounds.keep(stay.select(fresh.columns).unionByName(fresh), f"clusters-{step}")
+        if kept:
+            rounds.drop(kept)
+        kept, step = f"clusters-{step}", step + 1
+    if max(left.values()) > 1:
+        done.append(rounds.keep(small_trees.finish_vectors(clusters.repartition(SPREAD * len(left), *GROUP), split, scales, step), f"merges-{step}"))
     return Tree(units.select(F.lit(scenario).alias("scenario"), "unit"), all_merges(rounds, done, spark),
                 list(alpha_steps), {scenario: n})
