@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardfield.operators import compare, indices, tiles
+from wardfield.operators import blocks, compare, indices, tiles
 from wardfield.sources import sinks
 from wardfield.state import written
 
@@ -132,3 +132,33 @@ def test_sinks_overwrite(spark, tmp_path):
     for _ in range(2):
         sinks.write_cluster_profiles(prof, str(tmp_path / "prof"))
     assert spark.read.parquet(str(tmp_path / "prof")).where(F.col("sheet") == "y").first()["mean"] == 3.0
+
+
+def test_c_index_reads_all_pairs_once_for_sums_and_first_bins(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((700, 3)) * 1e-3 + rng.integers(0, 2, (700, 1)) * 40.0
+    x[11], x[12, 1] = x[10], np.nan
+    label = rng.integers(0, 4, 700)
+    rows = [(i, [None if np.isnan(v) else float(v) for v in x[i]], int(label[i])) for i in range(700)]
+    units = written(spark.createDataFrame(rows, "unit long, x array<double>, c int"), "u")
+    passes, plain = [], tiles._over
+    monkeypatch.setattr(tiles, "_over", lambda *a: passes.append(a[2]) or plain(*a))
+    got = tiles.vector_indices(units, {"c": 0}, ["Cindex"], block_rows=100).first()["value"]
+    shared = ~np.isnan(x[:, None] - x[None])
+    gap = np.nan_to_num(x[:, None] - x[None])
+    d = np.sqrt((gap * gap).sum(2) * 3 / shared.sum(2))
+    d = {(i, j): float(d[i, j]) for i, j in itertools.combinations(range(700), 2)}
+    assert brute.close(got, brute.pair_indices(d, list(label))["Cindex"])
+    # The same pass gives sums and bins; the others look at values in open bins only.
+    assert [("s_w" in schema, "b int" in schema) for schema in passes] == [(True, True)] + [(False, True)] * (len(passes) - 1) and len(passes) <= 4
+
+
+def test_squared_distances_in_strips_are_those_of_the_whole():
+    rng = np.random.default_rng(2)
+    a, b = rng.standard_normal((150, 5)), rng.standard_normal((40, 5))
+    b[3] = a[100]
+    for hole in (False, True):
+        if hole:
+            a[7, 2] = np.nan
+        got = np.concatenate([d.copy() for _, d in blocks.squared_strips(a, b)])
+        assert np.allclose(got, blocks.squared(a, b), rtol=1e-12) and got[100, 3] == 0

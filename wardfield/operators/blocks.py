@@ -7,6 +7,8 @@ its pairs before it leaves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -63,6 +65,46 @@ def crossed(blocks: DataFrame, name: str = "blk", where: Column | None = None) -
     return a.hint("shuffle_replicate_nl").join(b, pick if where is None else pick & where)
 
 
+def _redone(d2: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ma: np.ndarray | None = None, mb: np.ndarray | None = None) -> np.ndarray:
+    """``d2`` from products, redone directly where the terms nearly cancel: there the product form is inexact.
+
+    ``na`` and ``nb`` are the squared lengths, ``ma`` and ``mb`` tell which coordinates are there.
+    """
+    bound = 1e-6 * float(na.max(initial=0) + nb.max(initial=0))
+    if not d2.size or d2.min() > bound:
+        return d2
+    i, j = np.nonzero(d2 <= bound)
+    close = d2[i, j] <= 1e-6 * (np.broadcast_to(na, d2.shape)[i, j] + np.broadcast_to(nb, d2.shape)[i, j])
+    i, j = i[close], j[close]
+    for s in range(0, len(i), 100_000):
+        ii, jj = i[s:s + 100_000], j[s:s + 100_000]
+        gap = a[ii] - b[jj]
+        if ma is not None:
+            gap = gap * ma[ii] * mb[jj]
+        d2[ii, jj] = (gap * gap).sum(1)
+    return d2
+
+
+# Rows of a strip of distances, so that one stays in a processor's cache.
+STRIP = 64
+
+
+def squared_strips(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """:func:`squared` in strips of rows: the first row of each, and its distances, which the next strip overwrites."""
+    if np.isnan(a).any() or np.isnan(b).any():
+        for s in range(0, len(a), STRIP):
+            yield s, squared(a[s:s + STRIP], b)
+        return
+    na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[:, None]
+    # Lengths are columns of their own, so one product is the whole sum.
+    left, right = np.hstack([-2 * a, na, np.ones_like(na)]), np.hstack([b, np.ones_like(nb), nb])
+    room = np.empty((min(STRIP, len(a)), len(b)))
+    for s in range(0, len(a), STRIP):
+        part = left[s:s + STRIP]
+        d2 = np.matmul(part, right.T, out=room[:len(part)])
+        yield s, _redone(d2, a[s:s + STRIP], b, na[s:s + STRIP], nb.T)
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared Euclidean distances; missing coordinates are skipped and scaled for."""
     holes = np.isnan(a).any() or np.isnan(b).any()
@@ -76,16 +118,7 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d2 *= -2
     d2 += na
     d2 += nb
-    # Where the terms nearly cancel the product form is inexact: redo those directly.
-    i, j = np.nonzero(d2 <= 1e-6 * float(na.max(initial=0) + nb.max(initial=0)))
-    close = d2[i, j] <= 1e-6 * (np.broadcast_to(na, d2.shape)[i, j] + np.broadcast_to(nb, d2.shape)[i, j])
-    i, j = i[close], j[close]
-    for s in range(0, len(i), 100_000):
-        ii, jj = i[s:s + 100_000], j[s:s + 100_000]
-        gap = a[ii] - b[jj]
-        if holes:
-            gap = gap * ma[ii] * mb[jj]
-        d2[ii, jj] = (gap * gap).sum(1)
+    d2 = _redone(d2, a, b, na, nb, *((ma, mb) if holes else ()))
     if holes:
         with np.errstate(divide="ignore", invalid="ignore"):
             d2 = np.where(shared > 0, d2 * a.shape[1] / shared, np.nan)

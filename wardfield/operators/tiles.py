@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import to_xyz
 from ..state import BLOCK_ROWS, Rounds, maybe_broadcast, ship_package, written, written_counted
 from . import extremes, nearest, small_trees
-from .blocks import FILE_BLOCKS, FILES, block_count, crossed, packed, squared, unpack
+from .blocks import FILE_BLOCKS, FILES, block_count, crossed, packed, squared, squared_strips, unpack
 from .indices import c_index_values, dunn, mcclain_rao, silhouette_from_sums
 from .ward import GROUP, Tree, all_merges, by_scenario
 
@@ -54,6 +54,18 @@ class _Tile:
         chord = np.sqrt(squared(_matrix(self.left, "g"), _matrix(self.right, "g")))
         return 2 * np.arcsin(np.minimum(chord / 2, 1.0))
 
+    def strips(self, alpha: float, scale: tuple[float, float]) -> Iterator[tuple[int, np.ndarray, float]]:
+        """First row, distances and what multiplies their roots, of strips of rows: squared feature distances without places, else the blend and 0."""
+        x, y = _matrix(self.left, "x"), _matrix(self.right, "x")
+        if not alpha:
+            for s, d2 in squared_strips(x, y):
+                yield s, d2, 1 / scale[0]
+            return
+        g, h = _matrix(self.left, "g"), _matrix(self.right, "g")
+        for (s, d2), (_, c2) in zip(squared_strips(x, y), squared_strips(g, h)):
+            angle = 2 * np.arcsin(np.minimum(np.sqrt(c2) / 2, 1.0))
+            yield s, (1 - alpha) / scale[0] * np.sqrt(d2) + alpha / scale[1] * angle, 0.0
+
     def once(self) -> np.ndarray:
         """Mask of the entries that stand for an unordered pair of units."""
         shape = (len(self.left), len(self.right))
@@ -215,65 +227,232 @@ def tile_sums(blocks: DataFrame, combos: list[tuple[int, float]], scale: tuple[f
                                "s_b double, n_b bigint, min_b double, lo double, hi double")
 
 
-# Bins of a histogram pass over pairs, as a power of two.
-BIN_BITS = 16
-# Values of a tile up to which a pass looks for the smallest and largest in a bin; beyond, a bin's own ends stand for them.
+# Bins of a histogram pass over pairs, as a power of two; of the first, which every pair goes to and which so has to stay in a cache; and octaves of
+# that one: what is smaller shares its first bin. The second pass finds many values in every bin, so it has few: each task gives a row for a bin.
+BIN_BITS, FIRST_BITS, SECOND_BITS, OCTAVE_BITS = 16, 13, 12, 3
+# Values kept before they are counted, up to which the smallest and largest in a bin are looked for; beyond, a bin's own ends stand for them.
 EXACT_ENDS = 1 << 18
 
 
+def _bits(v: float) -> int:
+    return int(np.float64(v + 0.0).view(np.int64))
+
+
+class _Bins:
+    """Counts, sums and ends of bins of values from ``lo`` to ``hi``.
+
+    Numbers of 0 or more have the order of their bits as integers, so a bin is a range of those: its ends are exact.
+    """
+
+    def __init__(self, key: str, lo: float, hi: float, first: int | None = None, bits: int = BIN_BITS):
+        self.key, self.lo, self.hi = key, lo, hi
+        self.first, self.last = _bits(lo) if first is None else first, _bits(hi)
+        self.shift = max(0, (self.last - self.first).bit_length() - bits)
+        self.room = np.empty(0, np.int64)
+        size = 1 << bits
+        self.n, self.s, self.small, self.large = np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)
+
+    def add(self, v: np.ndarray, exact: bool) -> None:
+        if not len(v):
+            return
+        if len(self.room) < len(v):
+            self.room = np.empty(len(v), np.int64)
+        b = np.subtract(v.view(np.int64), self.first, out=self.room[:len(v)])
+        if _bits(self.lo) < self.first:
+            np.maximum(b, 0, out=b)
+        b >>= self.shift
+        size = len(self.n)
+        count = np.bincount(b, minlength=size)
+        self.n += count
+        self.s += np.bincount(b, weights=v, minlength=size)
+        if exact:
+            np.minimum.at(self.small, b, v)
+            np.maximum.at(self.large, b, v)
+        else:
+            u = np.flatnonzero(count)
+            self._ends(u)
+
+    def _ends(self, u: np.ndarray) -> None:
+        start = self.first + (u << self.shift)
+        low = start.view(np.float64).copy()
+        low[u == 0] = min(self.lo, float(np.int64(self.first).view(np.float64)))
+        self.small[u] = np.minimum(self.small[u], low)
+        self.large[u] = np.maximum(self.large[u], np.minimum(start + (1 << self.shift) - 1, self.last).view(np.float64))
+
+    def columns(self) -> dict:
+        u = np.flatnonzero(self.n)
+        return {"key": [self.key] * len(u), "lo": np.full(len(u), self.lo), "hi": np.full(len(u), self.hi), "b": u, "n": self.n[u], "s": self.s[u],
+                "small": self.small[u], "large": self.large[u]}
+
+
+_BINS = "key string, lo double, hi double, b int, n bigint, s double, small double, large double"
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key", "lo", "hi", "b").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("small").alias("small"), F.max("large").alias("large"))
+
+
+class _Own:
+    """Sums of a tile's distances inside clusters, for all partitions of one weight, from strips of its rows."""
+
+    def __init__(self, t: _Tile, combos: list[int]):
+        left, right = _matrix(t.left, "labels"), _matrix(t.right, "labels")
+        self.half = 2 if t.same else 1  # both orders of a pair stand in a block's tile with itself, and its diagonal is 0
+        self.parts, self.n, hot, width = [], {}, [], 0
+        for c in combos:
+            ids, code = np.unique(right[:, c], return_inverse=True)
+            at = np.searchsorted(ids, left[:, c])
+            known = ids[np.minimum(at, len(ids) - 1)] == left[:, c]
+            size = np.bincount(code)
+            self.n[c] = (int(size[at[known]].sum()) - (len(left) if t.same else 0)) // self.half
+            product = len(ids) <= PRODUCT
+            self.parts.append((c, at, known, width if product else None, code, len(ids)))
+            if product:
+                hot.append(np.eye(len(ids))[code])
+                width += len(ids)
+        self.hot = np.concatenate(hot, axis=1) if hot else None
+
+    def add(self, start: int, d: np.ndarray, total: dict[int, dict]) -> None:
+        far = d @ self.hot if self.hot is not None else None
+        for c, at, known, offset, code, size in self.parts:
+            rows = np.flatnonzero(known[start:start + len(d)])
+            mine = at[start:start + len(d)][rows]
+            sums = far[rows, offset + mine] if offset is not None else _by_label(d, code, size)[rows, mine]
+            total[c]["s_w"] += float(sums.sum()) / self.half
+
+
+def tile_totals(blocks: DataFrame, combos: list[tuple[int, float]], keys: dict[str, float], scale: tuple[float, float], top: dict[str, float]) -> DataFrame:
+    """One pass over all distances: sums and pair counts within and between clusters as in :func:`tile_sums` (rows with a combo), and the
+    first histogram of each weight of ``keys`` (rows with a key), whose distances are at most ``top``.
+    """
+
+    def work(tiles: Iterator[_Tile]):
+        total = {c: {"s_w": 0.0, "n_w": 0, "s_b": 0.0, "n_b": 0} for c, _ in combos}
+        bins = {k: _Bins(k, 0.0, top[k], max(0, _bits(top[k]) - (1 << (52 + OCTAVE_BITS)) + 1), FIRST_BITS) for k in keys}
+        ends = {k: [np.inf, -np.inf] for k in keys}
+        for t in tiles:
+            if t.empty():
+                continue
+            for key, alpha in keys.items():
+                mine = [c for c, a in combos if a == alpha]
+                own, all_ = _Own(t, mine), 0.0
+                pairs_ = len(t.left) * (len(t.left) - 1) // 2 if t.same else len(t.left) * len(t.right)
+                for start, d, root in t.strips(alpha, scale):
+                    if root:
+                        np.sqrt(d, out=d)
+                        if root != 1:
+                            d *= root
+                    own.add(start, d, total)
+                    all_ += float(d.sum())
+                    v = d[np.arange(len(d))[:, None] + start < np.arange(d.shape[1])] if t.same else d.ravel()
+                    low, high = (float(v.min()), float(v.max())) if len(v) else (np.inf, -np.inf)
+                    if np.isnan(low):
+                        v = v[~np.isnan(v)]
+                        low, high = (float(v.min()), float(v.max())) if len(v) else (np.inf, -np.inf)
+                    ends[key] = [min(ends[key][0], low), max(ends[key][1], high)]
+                    bins[key].add(v, False)
+                for c in mine:
+                    total[c]["n_w"] += own.n[c]
+                    total[c]["n_b"] += pairs_ - own.n[c]
+                    total[c]["s_b"] += all_ / own.half
+        for c, sums in total.items():
+            yield {"combo": [c], "s_w": [sums["s_w"]], "n_w": [sums["n_w"]], "s_b": [sums["s_b"] - sums["s_w"]], "n_b": [sums["n_b"]]}
+        for k, (low, high) in ends.items():
+            if low <= high:
+                yield {"key": [k], "small": [low], "large": [high]}
+            yield bins[k].columns()
+
+    return _over(blocks, work, "combo int, s_w double, n_w bigint, s_b double, n_b bigint, " + _BINS)
+
+
 def tile_histogram(blocks: DataFrame, alphas: dict[str, float], scale: tuple[float, float]):
-    """Histogram passes over all pair distances, for the rank search.
+    """Histogram passes over all pair distances, for the rank search; an interval shrinks by 2 ** BIN_BITS a pass or to the values seen.
 
-    Numbers of 0 or more have the order of their bits as integers, so a bin is a range of those: its ends are exact, and an interval
-    shrinks by 2 ** BIN_BITS a pass or to the values seen.
+    Squared distances tell what may lie in an interval, and only of that roots are taken.
     """
 
-    def run(open_: DataFrame, _rows: int) -> DataFrame:
+    def run(open_: DataFrame, _rows: int, bits: int = BIN_BITS) -> DataFrame:
         intervals = [tuple(r) for r in open_.collect()]  # at most two a partition
 
         def work(tiles: Iterator[_Tile]):
-            size = 1 << BIN_BITS
-            bins = []
-            for key, lo, hi in intervals:
-                first, last = (int(np.float64(v).view(np.int64)) for v in (lo + 0.0, hi + 0.0))
-                bins.append((key, lo, hi, first, last, max(0, (last - first).bit_length() - BIN_BITS),
-                             np.zeros(size, np.int64), np.zeros(size), np.full(size, np.inf), np.full(size, -np.inf)))
+            bins = [_Bins(*one, bits=bits) for one in intervals]
+            over, under = np.empty((2, 0), bool)
+            kept: list[list[np.ndarray]] = [[] for _ in bins]
+            held = [0] * len(bins)
+
+            def count(at: int) -> None:
+                if held[at]:
+                    bins[at].add(np.concatenate(kept[at]), held[at] <= EXACT_ENDS)
+                    kept[at], held[at] = [], 0
+
             for t in tiles:
-                once, cache = t.once(), {}
-                for key, lo, hi, first, last, shift, n, s, small, large in bins:
-                    if key not in cache:
-                        d = _blend(t, alphas[key], scale) + 0.0
-                        cache[key] = d[once] if t.same else d.ravel()
-                    v = cache[key]
-                    fits = (v >= lo) & (v <= hi)
-                    v = v if fits.all() else v[fits]
-                    if not len(v):
-                        continue
-                    b = (v.view(np.int64) - first) >> shift
-                    count = np.bincount(b, minlength=size)
-                    n += count
-                    s += np.bincount(b, weights=v, minlength=size)
-                    if len(v) <= EXACT_ENDS:
-                        np.minimum.at(small, b, v)
-                        np.maximum.at(large, b, v)
-                    else:
-                        u = np.nonzero(count)[0]
-                        start = first + (u << shift)
-                        small[u] = np.minimum(small[u], start.view(np.float64))
-                        large[u] = np.maximum(large[u], np.minimum(start + (1 << shift) - 1, last).view(np.float64))
-            for key, lo, hi, *_, n, s, small, large in bins:
-                u = np.nonzero(n)[0]
-                if len(u):
-                    yield {"key": [key] * len(u), "lo": np.full(len(u), lo), "hi": np.full(len(u), hi), "b": u, "n": n[u], "s": s[u],
-                           "small": small[u], "large": large[u]}
-
-        rows = _over(blocks, work, "key string, lo double, hi double, b int, n bigint, s double, small double, large double")
-        return rows.groupBy("key", "lo", "hi", "b").agg(
-            F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("small").alias("small"), F.max("large").alias("large"))
+                for key in {b.key for b in bins}:
+                    for start, d, root in t.strips(alphas[key], scale) if not t.empty() else ():
+                        d = d[np.arange(len(d))[:, None] + start < np.arange(d.shape[1])] if t.same else d.ravel()
+                        if len(over) < len(d):
+                            over, under = np.empty((2, len(d)), bool)
+                        for at, one in enumerate(bins):
+                            if one.key != key:
+                                continue
+                            low, high = ((one.lo / root) ** 2 * (1 - 1e-14), (one.hi / root) ** 2 * (1 + 1e-14)) if root else (one.lo, one.hi)
+                            fits = np.greater_equal(d, low, out=over[:len(d)])
+                            fits &= np.less_equal(d, high, out=under[:len(d)])
+                            v = d[np.flatnonzero(fits)]
+                            if root and len(v):
+                                v = np.sqrt(v) * root
+                                v = v[(v >= one.lo) & (v <= one.hi)]
+                            if len(v):
+                                kept[at].append(v + 0.0)
+                                held[at] += len(v)
+                                if held[at] > EXACT_ENDS:
+                                    count(at)
+            for at, one in enumerate(bins):
+                count(at)
+                yield one.columns()
+
+        return _added(_over(blocks, work, _BINS))
 
     return run
 
 
+def _c_index(blocks: DataFrame, alphas: dict[str, float], scale: tuple[float, float], variant: str) -> DataFrame:
+    """(combo, value) of the C-index: one pass for the sums and the first histogram, and the passes of the rank search for what is left."""
+    combos = list(enumerate(alphas.values()))
+    weights = {str(a): a for a in alphas.values()}
+    first = written(tile_totals(blocks, combos, weights, scale, _tops(blocks, weights, scale)), "tile-totals")
+    key = F.element_at(F.array(*[F.lit(str(a)) for _, a in combos]), F.col("combo") + 1).alias("key")
+    keyed = written(first.where(F.col("combo").isNotNull()).groupBy("combo").agg(*[F.sum(c).alias(c) for c in ("s_w", "n_w", "s_b", "n_b")]).select("*", key), "tile-overall")
+    ends = first.where(F.col("b").isNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("small").alias("lo"), F.max("large").alias("hi"))
+    bounds = written(keyed.groupBy("key").agg(F.max(F.col("n_w") + F.col("n_b")).alias("n")).join(F.broadcast(ends), "key"), "tile-bounds")  # a row a weight
+    seen = _added(first.where(F.col("b").isNotNull())).drop("lo", "hi").join(F.broadcast(bounds.select("key", "lo", "hi")), "key")
+    # No value lies outside of the smallest and the largest.
+    seen = seen.withColumns({"small": F.greatest("small", "lo"), "large": F.least("large", "hi")})
+    later, turn = tile_histogram(blocks, weights, scale), []
+
+    def bins(open_: DataFrame, rows: int) -> DataFrame:
+        turn.append(rows)
+        return later(open_, rows, SECOND_BITS if len(turn) == 2 else BIN_BITS) if len(turn) > 1 else seen.select([c.split()[0] for c in _BINS.split(", ")])
+
+    return c_index_values(keyed, bounds, bins, variant).select("combo", "value")
+
+
+def _tops(blocks: DataFrame, weights: dict[str, float], scale: tuple[float, float]) -> dict[str, float]:
+    """No distance is larger, for each weight: from the largest entry of every column, not from pairs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = _matrix(unpack(b.column("rows"), i), "x")
+                with np.errstate(invalid="ignore"):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(x.shape[1])), pa.array(np.fmin.reduce(x)), pa.array(np.fmax.reduce(x))], names=["at", "lo", "hi"])
+
+    span = F.max("hi") - F.min("lo")
+    ends = blocks.mapInArrow(run, "at bigint, lo double, hi double").where("NOT isnan(lo)").groupBy("at").agg(span.alias("v"))
+    # Of columns that are missing in places a few, scaled up to all, may be the only shared ones.
+    most, count = ends.agg(F.max("v"), F.count(F.lit(1))).first()
+    wide = float(most or 0.0) * float(count or 1) ** 0.5 * (1 + 1e-6) / scale[0]
+    return {k: max((1 - a) * wide + a * float(np.pi) * (1 + 1e-6) / scale[1], 1e-300) for k, a in weights.items()}
+
+
 def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[str] | None = None,
                    block_rows: int = BLOCK_ROWS, variant: str = "sums") -> DataFrame:
     """(key, index, value) of Silhouette, Dunn, C-index and McClain-Rao for given partitions.
@@ -293,14 +472,14 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     scale = largest_distances(blocks, True) if geo else (1.0, 1.0)
     alphas = {k: step / 100.0 for k, step in partitions.items()}
     combos = [(i, alphas[k]) for i, k in enumerate(keys)]
-    found = tile_sums(blocks, combos, scale, "Sil" in wanted, "Dunn" in wanted)
-    # Added up by the task that made them and once more here, so what is written is a row for each unit and cluster at most.
-    sums = written(found.groupBy("combo", "unit", "own", "other").agg(
-        *[F.sum(c).alias(c) for c in ("s", "s_w", "n_w", "s_b", "n_b")], F.max("max_w").alias("max_w"), F.min("min_b").alias("min_b"),
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")), "tile-sums")
     name = F.element_at(F.array(*[F.lit(k) for k in keys]), F.col("combo") + 1).alias("key")
-    overall = sums.where(F.col("unit").isNull()).drop("unit", "own", "other", "s")
     out = []
+    if set(wanted) - {"Cindex"}:
+        found = tile_sums(blocks, combos, scale, "Sil" in wanted, "Dunn" in wanted)
+        # Added up by the task that made them and once more here, so what is written is a row for each unit and cluster at most.
+        sums = written(found.groupBy("combo", "unit", "own", "other").agg(
+            *[F.sum(c).alias(c) for c in ("s", "s_w", "n_w", "s_b", "n_b")], F.max("max_w").alias("max_w"), F.min("min_b").alias("min_b")), "tile-sums")
+        overall = sums.where(F.col("unit").isNull()).drop("unit", "own", "other", "s")
     if "Sil" in wanted:
         sizes, seen = written_counted(payload.select(F.posexplode("labels").alias("combo", "other")).groupBy("combo", "other").agg(
             F.count(F.lit(1)).alias("size")), "tile-sizes")
@@ -314,11 +493,7 @@ def vector_indices(units: DataFrame, partitions: dict[str, int], indices: list[s
     if "McClain" in wanted:
         out.append(("McClain", mcclain_rao(overall)))
     if "Cindex" in wanted:
-        by_alpha = {str(a): a for a in alphas.values()}
-        weight = F.element_at(F.array(*[F.lit(str(alphas[k])) for k in keys]), F.col("combo") + 1).alias("key")
-        keyed = written(overall.select("combo", "s_w", "n_w", "s_b", "n_b", weight, "lo", "hi"), "tile-overall")
-        bounds = keyed.groupBy("key").agg(F.max(F.col("n_w") + F.col("n_b")).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        out.append(("Cindex", c_index_values(keyed.drop("lo", "hi"), bounds, tile_histogram(blocks, by_alpha, scale), variant)))
+        out.append(("Cindex", _c_index(blocks, alphas, scale, variant)))
     parts = [df.select(name, F.lit(n).alias("index"), "value") for n, df in out]
     result = parts[0]
     for p in parts[1:]:
